@@ -71,35 +71,37 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
-def chunks(text: str, pattern: regex.Pattern, size: int, overlap: int) -> Iterator[tuple[int, int, str]]:
-    """(start, next chunk's start or -1, text): each reaches over the next one's start by the overlap at least."""
-    start = 0
+def chunks(text: str, pattern: regex.Pattern, size: int, overlap: int) -> Iterator[tuple[int, int, int, str]]:
+    """(start, next chunk's start or -1, previous chunk's end, text): each reaches over the next one's start by the overlap at least."""
+    start = end = 0
     while True:
-        cut = start + size
-        while cut + overlap < len(text):
-            stop, seen, first = cut, 0, cut
-            for m in pattern.finditer(text, cut):
-                stop, seen = m.end(), seen + 1
-                first = stop if seen == 1 else first
-                if first - cut > overlap or (seen >= 8 and stop - cut >= overlap):
+        cut, stop = start + size, -1
+        while stop < 0 and cut + overlap < len(text):
+            giant = False
+            for seen, m in enumerate(pattern.finditer(text, cut), 1):
+                giant = seen == 1 and m.end() - cut > overlap
+                if giant:
+                    cut = m.end()
                     break
-            if first - cut <= overlap:
+                if seen >= 8 and m.end() - cut >= overlap and m.end() + MARGIN <= len(text):
+                    stop = m.end() + MARGIN
+                    break
+            if not giant:
                 break
-            cut = first
-        if cut + overlap >= len(text):
-            yield start, -1, text[start:]
+        if stop < 0:
+            yield start, -1, end, text[start:]
             return
-        yield start, cut, text[start : stop + MARGIN]
-        start = cut
+        yield start, cut, end, text[start:stop]
+        start, end = cut, stop
 
 
-def encode_chunk(text: str, start: int, cut: int, overlap: int, of: Codec) -> tuple[bytes, list[int], list[int], list[int], list[int]]:
+def encode_chunk(text: str, start: int, cut: int, until: int, of: Codec) -> tuple[bytes, list[int], list[int], list[int], list[int]]:
     """The ids, and the boundaries near the chunk's head and tail as (text position, bytes of ids before)."""
     pieces = of.pattern.findall(text)
     ids = [of.ids[p] for p in pieces]
     at = start + np.concatenate([[0], np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))])
     before = np.concatenate([[0], np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))])
-    head = at <= start + 4 * overlap if start else at < start
+    head = at <= until if start else at < start
     trusted = at <= start + len(text) - MARGIN
     tail = trusted & (at >= cut) if cut >= 0 else at < start
     head &= trusted if cut >= 0 else True
@@ -146,14 +148,14 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
 
     short = rows.filter(~is_long).mapInArrow(whole, out_type)
 
-    cut_type = T.StructType([*out_type.fields[:1], *(T.StructField(n, T.LongType()) for n in ("digest", "size", "start", "cut")), T.StructField("text", T.StringType())])
+    cut_type = T.StructType([*out_type.fields[:1], *(T.StructField(n, T.LongType()) for n in ("digest", "size", "start", "cut", "until")), T.StructField("text", T.StringType())])
 
     def cutting(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         splits = regex.compile(pattern)
         for frame in frames:
             for id_, text, digest in zip(frame["id"], frame["text"], frame["digest"], strict=True):
-                for start, cut, piece in chunks(text, splits, chunk, overlap):
-                    yield pd.DataFrame({"id": [id_], "digest": [digest], "size": [len(text)], "start": [start], "cut": [cut], "text": [piece]})
+                for start, cut, until, piece in chunks(text, splits, chunk, overlap):
+                    yield pd.DataFrame({"id": [id_], "digest": [digest], "size": [len(text)], "start": [start], "cut": [cut], "until": [until], "text": [piece]})
 
     longs = T.ArrayType(T.LongType())
     part_type = T.StructType([*cut_type.fields[:4], out_type.fields[1], *(T.StructField(n, longs) for n in ("head", "head_ids", "tail", "tail_ids"))])
@@ -161,7 +163,8 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
     def parts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         of = codec(path, pattern)
         for frame in frames:
-            made = [encode_chunk(t, s, c, overlap, of) for t, s, c in zip(frame["text"], frame["start"], frame["cut"], strict=True)]
+            rows = zip(*(frame[n] for n in ("text", "start", "cut", "until")), strict=True)
+            made = [encode_chunk(*row, of) for row in rows]
             out = frame[["id", "digest", "size", "start"]].copy()
             for i, name in enumerate(("ids", "head", "head_ids", "tail", "tail_ids")):
                 out[name] = [m[i] for m in made]

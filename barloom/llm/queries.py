@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import bpe, mixing, secrets, simhash
+from barloom.llm import bpe, licenses, mixing, mpeg, secrets, simhash
 from barloom.llm.common import table
 
 
@@ -24,6 +24,27 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op4_mpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    n_bytes = F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes")
+    found = mpeg.read(mpeg.write(docs.select("doc_id", n_bytes, mpeg.padded().alias("payload"))))
+    found = found.withColumn("payload", F.expr("substring(body, 1, cast(tags['payload_bytes'] as int))"))
+    feature = F.format_string(
+        "mpeg%s layer%d %dHz %dch frames=%d samples=%d last=%d vbr=%s/%d crc=%d/%d junk=%d",
+        *["version", "layer", "rate", "channels", "frames", "samples", F.element_at("offsets", -1), "vbr_kind", "vbr_frames", "crc_ok", "crc_bad", "junk"],
+    )
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.expr("substring(payload, -16, 16)")).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        feature.alias("feature"),
+    )
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, sf_dir, "documents"))
 
@@ -42,11 +63,31 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    words = F.transform("base", lambda b: b["word"])
+    base, own = (F.transform(c, lambda s: s["label"]) for c in ("base", "spans"))
+    best = F.array_max(F.transform("spans", lambda s: s["similarity"]))
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("base").cast("long").alias("n_base"),
+        F.array_min(words).alias("first_word"),
+        F.array_max(words).alias("last_word"),
+        F.array_join(F.array_sort(F.array_distinct(base)), ",").alias("base_labels"),
+        F.array_join(F.array_sort(F.array_union(base, own)), ",").alias("labels"),
+        F.when(F.size("base") > 0, 1.0).otherwise(F.coalesce(best, F.lit(0.0))).alias("score"),
+        "spans",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix": op1_mix,
     "op2_bpe": op2_bpe,
+    "op4_mpeg": op4_mpeg,
     "op6_secrets": op6_secrets,
     "op7_simhash": op7_simhash,
+    "op8_licenses": op8_licenses,
 }
 
 ORACLES: dict[str, str] = {}
