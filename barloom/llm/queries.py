@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import bpe, licenses, mixing, mpeg, secrets, simhash
-from barloom.llm.common import table
+from barloom.llm import bpe, licenses, mixing, mpeg, secrets, simhash, warc
+from barloom.llm.common import staged, table
 
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +24,18 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.archive(table(spark, sf_dir, "pages"))
+    size, digest = F.octet_length("payload").cast("long"), F.sha1("payload")
+    found = found.select("record_id", F.col("type").alias("record_type"), F.col("refers_to").alias("of"), size.alias("payload_bytes"), digest.alias("payload_digest"))
+    found = staged(found, "records")
+    full = found.filter("record_type = 'response'").groupBy(F.col("record_id").alias("of"))
+    full = full.agg(F.first("payload_bytes").alias("payload_bytes"), F.first("payload_digest").alias("payload_digest"))
+    revisits = found.filter("record_type = 'revisit'").select("record_id", "record_type", "of").join(full, "of", "left")
+    every = found.filter("record_type = 'response'").unionByName(revisits)
+    return every.select(warc.page_id("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", warc.page_id("of").alias("refers_to"))
+
+
 def op4_mpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     n_bytes = F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes")
@@ -84,6 +96,7 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix": op1_mix,
     "op2_bpe": op2_bpe,
+    "op3_warc": op3_warc,
     "op4_mpeg": op4_mpeg,
     "op6_secrets": op6_secrets,
     "op7_simhash": op7_simhash,
