@@ -11,7 +11,9 @@ A radius-2 ball over 64 bits has 2,081 points, too many rows to shuffle for
 fingerprints that have no partner at all. These are set aside without loss
 first: if two fingerprints differ in at most 4 bits, one of their 32-bit halves
 differs in at most 2, so the same ball hashing with a quarter of the radius (33
-variants) on each half finds every fingerprint that can have a partner.
+variants) on each half, and again on the quarters of the other half (17 variants,
+for those that share a half's variant), keeps every fingerprint that can have a
+partner.
 """
 
 from __future__ import annotations
@@ -21,12 +23,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
 
-from barloom.llm.common import UPPER, staged
+from barloom.llm.common import UPPER, maybe_broadcast, staged
 from barloom.llm.components import components
 
 _LOWER = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
@@ -84,22 +86,39 @@ def _ball(df: DataFrame, bits: int, value: str, variant: str, radius: int) -> Da
     return out.drop("_at")
 
 
+def _sharing(keys: DataFrame, by: list[str], tag: str) -> DataFrame:
+    """The rows of keys whose key also another fingerprint has. Counts per key only, so no bucket is gathered."""
+    shared = keys.groupBy(*by).agg(F.min("fingerprint").alias("lo"), F.max("fingerprint").alias("hi")).filter("lo < hi").select(*by)
+    shared = staged(shared, tag)
+    return keys.join(maybe_broadcast(shared, shared.count(), 8 * len(by) + 8), by, "left_semi")
+
+
+def _half(side: Column) -> Column:
+    low = F.col("fingerprint").bitwiseAND(F.lit(0xFFFFFFFF))
+    return F.when(side == 0, low).otherwise(F.shiftrightunsigned("fingerprint", 32))
+
+
 def with_possible_partner(distinct: DataFrame, radius: int) -> DataFrame:
-    """The fingerprints one of whose halves is within radius/2 bits of another's same half."""
-    half = F.when(F.col("_side") == 0, F.col("fingerprint").bitwiseAND(F.lit(0xFFFFFFFF)))
-    half = half.otherwise(F.shiftrightunsigned("fingerprint", 32))
-    sides = distinct.withColumn("_side", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("_half", half)
-    keys = _ball(sides, 32, "_half", "_variant", radius // 4)
+    """The fingerprints that share a half's variant with another and, with it, a variant of a quarter of the other half."""
+    sides = distinct.withColumn("_side", F.explode(F.array(F.lit(0), F.lit(1))))
+    keys = _ball(sides.withColumn("_half", _half(F.col("_side"))), 32, "_half", "_variant", radius // 4)
     keys = keys.select(F.expr("_variant + shiftleft(cast(_side as long), 32)").alias("key"), "fingerprint")
-    shared = keys.groupBy("key").agg(F.min("fingerprint").alias("lo"), F.max("fingerprint").alias("hi")).filter("lo < hi")
-    return keys.join(shared, "key", "left_semi").select("fingerprint").distinct()
+    near = _sharing(keys, ["key"], "halves")
+    other = _half(1 - F.shiftrightunsigned("key", 32))
+    parts = near.withColumn("_part", F.explode(F.array(F.lit(0), F.lit(1))))
+    parts = parts.withColumn("_quarter", F.when(F.col("_part") == 0, other.bitwiseAND(F.lit(0xFFFF))).otherwise(F.shiftrightunsigned(other, 16)))
+    parts = _ball(parts, 16, "_quarter", "_variant", radius // 4)
+    parts = parts.select("key", F.expr("_variant + shiftleft(cast(_part as long), 16)").alias("part"), "fingerprint")
+    return _sharing(parts, ["key", "part"], "quarters").select("fingerprint").distinct()
 
 
 def links(distinct: DataFrame, radius: int = 4) -> DataFrame:
     """Edges (a, b), a > b, whose transitive closure is that of all links within the radius."""
     if radius % 4:
         raise ValueError("radius must be a multiple of 4")
-    rows = _ball(with_possible_partner(distinct, radius), 64, "fingerprint", "variant", radius // 2)
+    possible = staged(with_possible_partner(distinct, radius), "possible")
+    spread = possible.repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fingerprint")
+    rows = _ball(spread, 64, "fingerprint", "variant", radius // 2)
     least = F.min("fingerprint").over(W.Window.partitionBy("variant"))
     edges = rows.withColumn("b", least).filter("fingerprint > b").select(F.col("fingerprint").alias("a"), "b").distinct()
     return edges.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
