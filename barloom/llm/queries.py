@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import bpe, licenses, lines, mixing, mpeg, secrets, simhash, warc
+from barloom.llm import bpe, licenses, lines, mixing, mpeg, quality, secrets, simhash, warc
 from barloom.llm.common import staged, table
 
 
@@ -57,6 +57,11 @@ def op4_mpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "text_score", "page_score", "score", "keep")
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, sf_dir, "documents"))
 
@@ -103,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op3_warc": op3_warc,
     "op4_mpeg": op4_mpeg,
+    "op5_quality": op5_quality,
     "op6_secrets": op6_secrets,
     "op7_simhash": op7_simhash,
     "op8_licenses": op8_licenses,
