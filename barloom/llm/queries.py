@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import bpe, licenses, lines, mixing, mpeg, quality, secrets, simhash, warc
+from barloom.llm import bpe, licenses, lines, mixing, mpeg, quality, secrets, simhash, topk, warc
 from barloom.llm.common import staged, table
 
 
@@ -98,6 +98,10 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "documents"))
+
+
 def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lines.dedup_lines(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", "n_dropped", F.length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
@@ -112,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_secrets": op6_secrets,
     "op7_simhash": op7_simhash,
     "op8_licenses": op8_licenses,
+    "op9_topk": op9_topk,
     "op10_lines": op10_lines,
 }
 
