@@ -38,6 +38,8 @@ NOTICES = (
 #: Word bytes: digits, small letters and all bytes of other characters; the rest separates.
 _NORMAL = bytes(c + 32 if c in UPPER.encode() else c if c >= 0x80 or chr(c).isdigit() or chr(c).islower() else 32 for c in range(256))
 
+_GRAM = 3
+
 
 def normal_words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").translate(_NORMAL).split()
@@ -52,7 +54,9 @@ class Finder:
         seeds: dict[str, list[tuple[int, int]]] = {}
         for at, (label, text) in enumerate(notices):
             edits = int(len(text) * error_rate)
-            self.notices.append((label, text, edits, regex.compile(f"(?b)(?:{regex.escape(text)}){{e<={edits}}}")))
+            grams = [text[i : i + _GRAM] for i in range(len(text) - _GRAM + 1)]
+            # An edit spoils at most _GRAM grams, so a window with fewer of them holds no match.
+            self.notices.append((label, text, edits, regex.compile(f"(?b)(?:{regex.escape(text)}){{e<={edits}}}"), grams, len(grams) - _GRAM * edits))
             ends = [round(i * len(text) / (edits + 1)) for i in range(edits + 2)]
             for a, b in zip(ends, ends[1:], strict=False):
                 seeds.setdefault(text[a:b], []).append((at, a))
@@ -79,17 +83,27 @@ class Finder:
         found = []
         for last, (size, places) in self.seeds.iter(joined):
             for at, offset in places:
-                label, text, edits, pattern = self.notices[at]
+                label, text, edits, pattern, grams, least = self.notices[at]
                 start = last + 1 - size - offset
-                begin = max(done[at], start - edits)
-                if start <= tried[at] or last < done[at]:
+                begin, end = max(done[at], start - edits), start + len(text) + edits
+                if last < done[at] or end <= begin:
+                    continue
+                exact = joined.find(text, begin, end)
+                if exact >= 0:
+                    found.append((label, exact, exact + len(text), 0, 1.0))
+                    done[at] = exact + len(text)
+                    continue
+                if start == tried[at]:
                     continue
-                match = pattern.search(joined, begin, max(begin, start + len(text) + edits))
                 tried[at] = start
+                window = joined[begin:end]
+                if sum(map(window.__contains__, grams)) < least:
+                    continue
+                match = pattern.search(window)
                 if match and match.end() > match.start():
                     wrong = sum(match.fuzzy_counts)
-                    found.append((label, match.start(), match.end(), wrong, 1 - wrong / len(text)))
-                    done[at] = match.end()
+                    found.append((label, begin + match.start(), begin + match.end(), wrong, 1 - wrong / len(text)))
+                    done[at] = begin + match.end()
         return sorted(found, key=lambda f: f[1:3])
 
 
