@@ -147,10 +147,17 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def keep_one_per_group(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
     """df without the near copies: of each component only the row with the smallest id stays.
 
-    Rows with null ids all stay if their component has no id; repeated rows of
-    the kept id stay once.
+    Of repeated rows with one id, one stays. Rows with null ids all stay. Texts are
+    shuffled only where the ids to drop are too many to broadcast.
     """
-    found = near_duplicates(df, id_col, text_col, shingle, radius)
-    kept = found.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(id_col).distinct()
-    kept = kept.withColumnRenamed(id_col, "_kept")
-    return df.join(kept, df[id_col].eqNullSafe(kept["_kept"]), "left_semi")
+    found = near_duplicates(df, id_col, text_col, shingle, radius).filter(F.col(id_col).isNotNull())
+    found = staged(found.groupBy(id_col).agg(F.min("component_id").alias("least"), F.count("*").alias("n")), "groups")
+    gone = staged(found.filter(F.col(id_col) > F.col("least")).select(F.col(id_col).alias("_id")), "gone")
+    again = found.filter((F.col(id_col) <= F.col("least")) & (F.col("n") > 1)).select(F.col(id_col).alias("_id"))
+    again = staged(again, "again")
+    n_gone, n_again = gone.count(), again.count()
+    kept = df.join(maybe_broadcast(gone, n_gone, 16), df[id_col] == gone["_id"], "left_anti")
+    if not n_again:
+        return kept
+    once, repeated = (kept.join(maybe_broadcast(again, n_again, 16), kept[id_col] == again["_id"], how) for how in ("left_anti", "left_semi"))
+    return once.unionByName(repeated.dropDuplicates([id_col]))
