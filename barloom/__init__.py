@@ -1,0 +1 @@
+"""Time-series panel operators for futures bars, as PySpark DataFrame functions."""

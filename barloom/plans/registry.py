@@ -3,11 +3,619 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
-FLAGSHIP = "weighted_index"
+from barloom.operators import backtest as B
+from barloom.operators import bars as Q
+from barloom.operators import calendar as K
+from barloom.operators import clean as P
+from barloom.operators import features as X
+from barloom.operators import folds as M
+from barloom.operators import index as I
+from barloom.operators import learn as L
+from barloom.operators import panel as A
+from barloom.operators import signals as S
+from barloom.operators import var as V
+from barloom.plans import sql as D
+from barloom.sources import adapters
+from barloom.sources import bars as IO
+from barloom.sources.adapters import read_table
+from barloom.sources.schemas import BARS, MEASURES
+from barloom.sources.scratch import scratch_path, settled
+from barloom.streaming.refresh import refresh_bars as stream_refresh
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+FLAGSHIP = "weighted_index"
+SYMBOLS = D.SYMBOLS
+DAY = "2001-06-15"
 
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query under its function's name, with its SQL if it has any."""
+
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def six(c: str | Column) -> Column:
+    """Rounded to 6 digits as the SQL does: the product is rounded, not the decimal text, and halves go up."""
+    x = F.col(c) if isinstance(c, str) else c
+    return F.round(x * 1e6 + 0.003, 0) / 1e6 + F.lit(0.0)
+
+
+def seven(df: DataFrame, *names: str) -> DataFrame:
+    """Seven significant digits."""
+    return df.withColumns({n: F.when(F.col(n).isNotNull(), F.format_string("%.6e", n).cast("double")) for n in names})
+
+
+def rounded(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: six(n) for n in names})
+
+
+def _lines(spark: SparkSession, sf: str) -> DataFrame:
+    return read_table(spark, sf, "lineitem")
+
+
+def _main(spark: SparkSession, sf: str) -> DataFrame:
+    return adapters.main_bars(_lines(spark, sf)).withColumn("commodity_slug", F.lower("symbol"))
+
+
+def _contracts(spark: SparkSession, sf: str) -> DataFrame:
+    return adapters.contract_bars(_lines(spark, sf))
+
+
+def _market(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _main(spark, sf).drop("commodity_slug").withColumn("dataset", F.col("symbol")).drop("symbol")
+    return P.normalize_market(rows.withColumn("ordinal", F.lit(0)), None, "ordinal")
+
+
+def _weighted_market(spark: SparkSession, sf: str) -> DataFrame:
+    rows = I.build_index(_contracts(spark, sf)).withColumn("dataset", F.concat("product", F.lit("_weighted"))).drop("product")
+    return P.normalize_market(rows.withColumn("ordinal", F.lit(0)), None, "ordinal")
+
+
+# --- bar tables and canned questions
+
+SLUGGED = f"WITH {D.MAIN} SELECT symbol, commodity_slug, "
+
+
+@query(SLUGGED + "count(*) AS rows, min(date) AS start_date, max(date) AS end_date, round(min(close), 2) AS min_close, round(max(close), 2) AS max_close FROM main GROUP BY ALL")
+def summary(spark: SparkSession, sf: str) -> DataFrame:
+    return Q.summary(_main(spark, sf))
+
+
+@query(SLUGGED + "date, close, settle, volume, hold FROM main QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY date DESC) = 1")
+def latest(spark: SparkSession, sf: str) -> DataFrame:
+    return Q.latest(_main(spark, sf)).select("symbol", "commodity_slug", "date", "close", "settle", "volume", "hold")
+
+
+_INTERVAL = "min(date) AS start_date, arg_min(close, date) AS start_close, max(date) AS end_date, arg_max(close, date) AS end_close, round((arg_max(close, date) / nullif(arg_min(close, date), 0) - 1) * 100, 2) AS return_pct FROM main"
+
+
+@query(SLUGGED + _INTERVAL + " GROUP BY ALL")
+def interval_returns(spark: SparkSession, sf: str) -> DataFrame:
+    return Q.interval_returns(_main(spark, sf))
+
+
+@query(SLUGGED + _INTERVAL + " WHERE date >= DATE '1996-01-01' AND date <= DATE '1998-12-31' GROUP BY ALL")
+def interval_returns_bounded(spark: SparkSession, sf: str) -> DataFrame:
+    return Q.interval_returns(_main(spark, sf), start="1996-01-01", end="1998-12-31")
+
+
+@query(SLUGGED + "min(date) AS start_date, max(date) AS end_date, count(*) AS row_count FROM main GROUP BY ALL")
+def bar_metadata(spark: SparkSession, sf: str) -> DataFrame:
+    return IO.bar_metadata(_main(spark, sf))
+
+
+@query(f"WITH {D.MAIN} SELECT symbol, date, close, volume FROM main WHERE symbol IN ('A', 'R') AND date >= DATE '1997-01-01'")
+def symbols_and_dates(spark: SparkSession, sf: str) -> DataFrame:
+    return P.date_range(P.only_symbols(_main(spark, sf), ["A", "R"], ["symbol", "date", "close", "volume"]), start="1997-01-01")
+
+
+@query(
+    f"WITH {D.LINES} SELECT l_returnflag AS dataset, date, arg_max(px, k) AS open, arg_max(px, k) AS high, arg_max(px, k) AS low, arg_max(px, k) AS close, arg_max(px, k) AS settle, arg_max(l_quantity, k) AS volume, arg_max(l_extendedprice, k) AS open_interest FROM li GROUP BY l_returnflag, date"
+)
+def normalize_dedupe(spark: SparkSession, sf: str) -> DataFrame:
+    """Every line is a version of its day's bar, given as text; the last line stays."""
+    price = (F.col("l_extendedprice") / F.col("l_quantity")).cast("string")
+    rows = _lines(spark, sf).select(
+        F.col("l_returnflag").alias("dataset"),
+        F.to_date("l_shipdate").cast("string").alias("date"),
+        *[price.alias(c) for c in ("open", "high", "low", "close", "settle")],
+        F.col("l_quantity").cast("string").alias("volume"),
+        F.col("l_extendedprice").cast("string").alias("hold"),
+        F.struct("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").alias("ordinal"),
+    )
+    return P.normalize_market(rows, None, "ordinal")
+
+
+_BARS_SQL = "open, high, low, close, CAST(volume AS BIGINT) AS volume, CAST(floor(hold) AS BIGINT) AS hold, settle"
+
+
+@query(f"WITH {D.MAIN} SELECT symbol, commodity_slug, date, {_BARS_SQL} FROM main")
+def csv_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """Bars written as one folder of CSV files per symbol, read back as the long table, saved and read again."""
+    rows = _main(spark, sf)
+    where = scratch_path(spark, "csv")
+    rows.select("symbol", "date", *MEASURES).write.option("header", True).partitionBy("symbol").csv(where)
+    key = F.regexp_extract(F.col("_metadata.file_path"), r"symbol=([^/]+)/", 1)
+    registry = rows.select("symbol", "commodity_slug").distinct()
+    read = IO.read_bars(spark, f"{where}/*/*.csv", registry, key_from_path=key)
+    table = scratch_path(spark, "bars")
+    IO.save_bars(read, table)
+    return spark.read.schema(BARS).parquet(table).select(*BARS.names)
+
+
+@query(
+    f"WITH {D.CONTRACTS} SELECT contract, count(*) AS rows, min(date) AS start_date, max(date) AS end_date, CAST(sum(volume) AS BIGINT) AS volume_sum FROM contracts GROUP BY contract"
+)
+def manifest(spark: SparkSession, sf: str) -> DataFrame:
+    return IO.contract_manifest(_contracts(spark, sf))
+
+
+# --- contract calendars and sessions
+
+
+def _registry(spark: SparkSession, sf: str) -> DataFrame:
+    return _lines(spark, sf).select(F.col("l_returnflag").alias("code")).distinct()
+
+
+_CALENDAR = (
+    "codes AS (SELECT DISTINCT l_returnflag AS product FROM lineitem), months AS (SELECT product, y, m, product || lpad(CAST(y % 100 AS VARCHAR), 2, '0') || lpad(CAST(m AS VARCHAR), 2, '0') AS contract, make_date(y, m, 1) AS period"
+    " FROM codes, range(2000, 2004) a(y), range(1, 13) b(m)), window_ AS (SELECT product, contract, period, (2001 - year(period)) * 12 + 6 - month(period) > 2 AS settled FROM months WHERE (year(period) - 2001) * 12 + month(period) - 6 <= 15)"
+)
+
+
+def _calendar(spark: SparkSession, sf: str) -> DataFrame:
+    return K.in_listing_window(K.contract_symbols(_registry(spark, sf), 2000, 2003), DAY)
+
+
+@query(f"WITH {_CALENDAR} SELECT * FROM window_")
+def contract_calendar(spark: SparkSession, sf: str) -> DataFrame:
+    return K.with_settled(_calendar(spark, sf), DAY)
+
+
+_CACHED = "cache AS (SELECT l_returnflag || lpad(CAST(year(l_shipdate) % 100 AS VARCHAR), 2, '0') || lpad(CAST(month(l_shipdate) AS VARCHAR), 2, '0') AS contract, CAST(count(*) AS BIGINT) AS n FROM lineitem WHERE l_linenumber <> 3 GROUP BY 1)"
+
+
+@query(
+    f"WITH {_CALENDAR}, {_CACHED} SELECT product, w.contract, period, settled, n IS NOT NULL AS cached, NOT (settled AND n IS NOT NULL AND coalesce(n, 0) > 0) AS refetch FROM window_ w LEFT JOIN cache c USING (contract)"
+)
+def refresh_plan(spark: SparkSession, sf: str) -> DataFrame:
+    name = F.concat("l_returnflag", F.date_format("l_shipdate", "yyMM"))
+    cached = _lines(spark, sf).filter("l_linenumber <> 3").groupBy(name.alias("contract")).agg(F.count("*").alias("rows"))
+    return K.refresh_plan(_calendar(spark, sf), cached, DAY)
+
+
+@query(
+    "WITH s AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders WHERE dayofweek(o_orderdate) NOT IN (0, 6)), q AS (SELECT DISTINCT CAST(o_orderdate AS DATE) + 3 AS date FROM orders)"
+    " SELECT q.date, EXISTS (SELECT 1 FROM s WHERE s.d = q.date) AS is_trading_day, s.d AS previous_session FROM q ASOF JOIN s ON q.date > s.d"
+)
+def previous_session(spark: SparkSession, sf: str) -> DataFrame:
+    days = read_table(spark, sf, "orders").select(F.to_date("o_orderdate").alias("d"))
+    return K.previous_session(days.select(F.date_add("d", 3).alias("date")), days.filter(~F.dayofweek("d").isin(1, 7)).select(F.col("d").alias("trade_date")))
+
+
+# --- weighted index
+
+_RETURN_COLUMNS = "product, contract, date, close, volume, hold, prev_close, prev_volume, prev_hold"
+
+
+@query(f"WITH {D.RETURNS_CTE} SELECT {_RETURN_COLUMNS}, {D.R('contract_return_pct')} AS contract_return_pct FROM returns")
+def contract_returns(spark: SparkSession, sf: str) -> DataFrame:
+    out = rounded(I.contract_returns(_contracts(spark, sf)), "contract_return_pct")
+    return out.select(*_RETURN_COLUMNS.split(", "), "contract_return_pct")
+
+
+_TOTAL_NAMES = list(D.TOTALS)
+_SHARES = [n for n in D.RANKS if not n.endswith("contract")]
+
+
+def _large(name: str) -> bool:
+    """Whether a column depends on the index level, which may have any size."""
+    return name in (*I.PRICES, "return_index_close", "oi_volume_weighted_close_gap_pct")
+
+
+def _sql_rounded(names: list[str], plain: tuple[str, ...] = ()) -> str:
+    return ", ".join(n if n in plain else f"{(D.S if _large(n) else D.R)(n)} AS {n}" for n in names)
+
+
+def both_rounded(df: DataFrame, names: list[str]) -> DataFrame:
+    return seven(rounded(df, *[n for n in names if not _large(n)]), *[n for n in names if _large(n)])
+
+
+_COUNTS = ("active_contracts", "volume", "open_interest")
+
+
+@query(f"WITH {D.DAYS} SELECT product, date, {_sql_rounded(_TOTAL_NAMES, _COUNTS)} FROM days")
+def daily_weighted(spark: SparkSession, sf: str) -> DataFrame:
+    out = I.daily_totals(I.contract_returns(_contracts(spark, sf)))
+    return both_rounded(out, [n for n in _TOTAL_NAMES if n not in _COUNTS])
+
+
+@query(f"WITH {D.DAYS} SELECT product, date, dominant_oi_contract, {_sql_rounded([n for n in _SHARES if 'oi' in n])} FROM days")
+def rank_features(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(I.rank_features(_contracts(spark, sf), "hold", "oi"), *[n for n in _SHARES if "oi" in n])
+
+
+@query(f"WITH {D.INDEX} SELECT product, date, dominant_volume_contract, dominant_volume_contract_changed FROM idx")
+def dominant_changed(spark: SparkSession, sf: str) -> DataFrame:
+    out = I.rank_features(_contracts(spark, sf), "volume", "volume")
+    return out.select("product", "date", "dominant_volume_contract", I.dominant_changed("dominant_volume_contract").alias("dominant_volume_contract_changed"))
+
+
+@query(f"WITH {D.INDEX} SELECT product, date, {D.S('return_index_close')} AS return_index_close FROM idx")
+def return_index(spark: SparkSession, sf: str) -> DataFrame:
+    days = I.daily_totals(I.contract_returns(_contracts(spark, sf)))
+    out = I.return_index(days, "product", "oi_weighted_close", "oi_weighted_return_pct")
+    return seven(out.select("product", "date", "return_index_close"), "return_index_close")
+
+
+_INDEX_NAMES = [*D.TOTALS, *D.RANKS, *D.CHANGED, "return_index_close", "open", "high", "low", "close", "settle"]
+_INDEX_PLAIN = (*_COUNTS, *D.CHANGED, *[n for n in D.RANKS if n.endswith("contract")])
+
+
+@query(f"WITH {D.INDEX} SELECT product, date, {_sql_rounded(_INDEX_NAMES, _INDEX_PLAIN)} FROM idx")
+def weighted_index(spark: SparkSession, sf: str) -> DataFrame:
+    return both_rounded(I.build_index(_contracts(spark, sf)), [n for n in _INDEX_NAMES if n not in _INDEX_PLAIN])
+
+
+# --- features and labels
+
+_MAIN5, _NAMES = D.features(D.MAIN_MARKET, 5)
+_MAIN10, _ = D.features(D.MAIN_MARKET, 10)
+_WEIGHTED5, _WNAMES = D.features(D.INDEX_MARKET, 5, weighted=True)
+
+
+@query(f"WITH {_MAIN5} SELECT dataset, date, close, {_sql_rounded(['daily_return_pct', *_NAMES])} FROM feats")
+def features_main(spark: SparkSession, sf: str) -> DataFrame:
+    rows, _, names = X.add_features(_market(spark, sf), horizon=5)
+    return rounded(rows.select("dataset", "date", "close", "daily_return_pct", *names), "daily_return_pct", *names)
+
+
+@query(f"WITH {_WEIGHTED5} SELECT dataset, date, {_sql_rounded(_WNAMES)} FROM feats")
+def features_weighted(spark: SparkSession, sf: str) -> DataFrame:
+    rows, _, names = X.add_features(_weighted_market(spark, sf), horizon=5)
+    return both_rounded(rows.select("dataset", "date", *names), names)
+
+
+def _labels(spark: SparkSession, sf: str, h: int) -> DataFrame:
+    rows, _, _ = X.add_features(_market(spark, sf), horizon=h)
+    return rounded(rows.select("dataset", "date", X.target_column(h), X.direction_column(h)), X.target_column(h))
+
+
+@query(f"WITH {_MAIN5} SELECT dataset, date, {D.R('target')} AS future_5d_return_pct, up AS future_5d_up FROM feats")
+def labels_h5(spark: SparkSession, sf: str) -> DataFrame:
+    return _labels(spark, sf, 5)
+
+
+@query(f"WITH {_MAIN10} SELECT dataset, date, {D.R('target')} AS future_10d_return_pct, up AS future_10d_up FROM feats")
+def labels_h10(spark: SparkSession, sf: str) -> DataFrame:
+    return _labels(spark, sf, 10)
+
+
+@query(
+    "WITH h AS (SELECT event_type AS symbol, date_trunc('hour', ts) AS date, arg_max(value, row(ts, event_id)) AS close, CAST(count(*) AS DOUBLE) AS volume FROM events GROUP BY 1, 2), r AS (SELECT *, "
+    + D.ln_pct("close", D.lag("close", 1, "symbol"))
+    + f" AS ret FROM h) SELECT symbol, strftime(date, '%Y-%m-%d %H') AS hour, close, volume, {D.R('ret')} AS ret, {D.R(D.full('stddev_samp', 'ret', 20, 'symbol'))} AS vol20 FROM r"
+)
+def hourly_returns(spark: SparkSession, sf: str) -> DataFrame:
+    from barloom.functions import columns as C
+
+    w = W.partitionBy("symbol").orderBy("date")
+    rows = adapters.hourly_bars(read_table(spark, sf, "events")).withColumn("ret", C.log_return("close", 1, w))
+    rows = rows.withColumn("vol20", C.rolling_vol("ret", 20, w))
+    return rounded(rows.select("symbol", F.date_format("date", "yyyy-MM-dd HH").alias("hour"), "close", "volume", "ret", "vol20"), "ret", "vol20")
+
+
+# --- folds
+
+
+def _model_rows(spark: SparkSession, sf: str, horizon: int = 5, weighted: bool = False) -> tuple[DataFrame, list[str]]:
+    market = _weighted_market(spark, sf) if weighted else _market(spark, sf)
+    _, rows, names = X.add_features(market, horizon=horizon)
+    return settled(X.labelled(rows, horizon), "model-rows"), names
+
+
+def _folds(spark: SparkSession, sf: str, **options: object) -> DataFrame:
+    rows, _ = _model_rows(spark, sf)
+    return M.fold_table(M.assign_folds(rows, ["dataset"], 5, **options), ["dataset"]).drop("_")
+
+
+_FOLDS = (
+    " SELECT dataset, f.fold, f.train_end, test_window_start, test_window_end, test_rows, p.date AS train_end_date FROM"
+    " (SELECT dataset, fold, min(train_end) AS train_end, min(date) AS test_window_start, max(date) AS test_window_end, count(*) AS test_rows FROM folded WHERE fold IS NOT NULL GROUP BY dataset, fold) f"
+    " LEFT JOIN folded p USING (dataset) WHERE p.position + 1 = f.train_end"
+)
+
+
+@query(f"WITH {D.folds(_MAIN5, 5)}{_FOLDS}")
+def folds(spark: SparkSession, sf: str) -> DataFrame:
+    return _folds(spark, sf, start_date=None)
+
+
+@query(f"WITH {D.folds(_MAIN5, 5, start_date='1999-01-04')}{_FOLDS}")
+def folds_dated(spark: SparkSession, sf: str) -> DataFrame:
+    return _folds(spark, sf, start_date="1999-01-04")
+
+
+@query(f"WITH {D.folds(_MAIN5, 5, min_train=0, purge=0)}{_FOLDS}")
+def folds_unpurged(spark: SparkSession, sf: str) -> DataFrame:
+    return _folds(spark, sf, start_date=None, min_train=0, purge=0)
+
+
+@query(f"WITH {D.folds(_MAIN5, 5)}, ends AS (SELECT DISTINCT dataset, fold, train_end FROM folded WHERE fold IS NOT NULL) SELECT dataset, e.fold, count(*) FILTER (WHERE p.position < e.train_end) AS train_rows, count(*) FILTER (WHERE p.fold = e.fold) AS test_rows FROM ends e JOIN folded p USING (dataset) GROUP BY dataset, e.fold")
+def train_test_rows(spark: SparkSession, sf: str) -> DataFrame:
+    rows, _ = _model_rows(spark, sf)
+    table = M.fold_table(M.assign_folds(rows, ["dataset"], 5, start_date=None), ["dataset"])
+    return table.select("dataset", "fold", F.col("train_end").cast("long").alias("train_rows"), "test_rows")
+
+
+# --- backtests, with the last five days' return as the prediction
+
+
+def _predictions(spark: SparkSession, sf: str, weighted: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Predictions, model rows, and the feature rows' last day scored."""
+    market = _weighted_market(spark, sf) if weighted else _market(spark, sf)
+    features = settled(X.add_features(market, horizon=5)[0], "features")
+    rows = M.assign_folds(X.labelled(features.dropna(subset=[X.target_column(5)]), 5), ["dataset"], 5, start_date=None)
+    pred = rows.filter("fold IS NOT NULL").withColumn("prediction", F.col("return_5d_pct"))
+    last = Q.latest(features, ["dataset"]).withColumn("prediction", F.col("return_5d_pct")).withColumn("horizon", F.lit(5))
+    live = last.select("dataset", "horizon", "date", "close", "prediction", F.when(F.col("prediction") > 0, 1).otherwise(-1).alias("signal"))
+    return pred, rows, live
+
+
+_BT = D.backtest(D.folds(_MAIN5, 5))
+_WBT = D.backtest(D.folds(_WEIGHTED5, 5))
+_BT_NAMES = ["prediction", "target", "strategy_daily_return_pct", "strategy_equity", "buy_hold_equity"]
+
+
+@query(f"WITH {_BT} SELECT dataset, date, fold, signal, position_ AS position, turnover, {D.R('prediction')} AS prediction, {D.R('target')} AS target, {D.R('strategy')} AS strategy_daily_return_pct, {D.R('strategy_equity')} AS strategy_equity, {D.R('buy_hold_equity')} AS buy_hold_equity FROM bt")
+def backtest(spark: SparkSession, sf: str) -> DataFrame:
+    pred, _, _ = _predictions(spark, sf)
+    return rounded(B.backtest(pred).select("dataset", "date", "fold", "signal", "position", "turnover", *_BT_NAMES), *_BT_NAMES)
+
+
+_METRICS = ["mae", "rmse", "r2", "directional_accuracy", "strategy_total_return_pct", "buy_hold_total_return_pct", "strategy_annual_return_pct", "strategy_annual_vol_pct", "strategy_sharpe", "max_drawdown_pct"]
+
+
+def _metrics(spark: SparkSession, sf: str, weighted: bool = False) -> DataFrame:
+    pred, rows, _ = _predictions(spark, sf, weighted)
+    return rounded(B.metrics(B.backtest(pred), model_rows=rows), *_METRICS).drop("horizon")
+
+
+@query(f"WITH {D.metrics(_BT)} SELECT * FROM scored JOIN known USING (dataset)")
+def metrics(spark: SparkSession, sf: str) -> DataFrame:
+    return _metrics(spark, sf)
+
+
+@query(f"SELECT * FROM (WITH {D.metrics(_BT)} SELECT * FROM scored JOIN known USING (dataset)) UNION ALL SELECT * FROM (WITH {D.metrics(_WBT)} SELECT * FROM scored JOIN known USING (dataset))")
+def compare_datasets(spark: SparkSession, sf: str) -> DataFrame:
+    """Main and weighted series side by side."""
+    return _metrics(spark, sf).unionByName(_metrics(spark, sf, weighted=True))
+
+
+_QUALITY = ["avg_predicted_return_pct", "avg_realized_return_pct", "median_realized_return_pct", "direction_accuracy", "sample_share"]
+
+
+@query(f"WITH {D.quality(_BT)} SELECT * FROM quality")
+def forecast_quality(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(B.forecast_quality(_predictions(spark, sf)[0]), *_QUALITY).drop("horizon")
+
+
+_LIVE = "live AS (SELECT dataset, date, close, return_5d_pct AS prediction, CASE WHEN return_5d_pct > 0 THEN 1 ELSE -1 END AS signal FROM feats QUALIFY row_number() OVER (PARTITION BY dataset ORDER BY date DESC) = 1)"
+
+
+@query(
+    f"WITH {_BT}, {_LIVE}, last AS (SELECT * FROM bt QUALIFY row_number() OVER (PARTITION BY dataset ORDER BY date DESC) = 1)"
+    f" SELECT dataset, l.date AS live_date, l.close AS live_close, {D.R('l.prediction')} AS live_prediction, l.signal AS live_signal, v.date AS verified_date, {D.R('v.prediction')} AS verified_prediction, {D.R('v.target')} AS verified_target, v.signal AS verified_signal FROM live l LEFT JOIN last v USING (dataset)"
+)
+def latest_vs_verified(spark: SparkSession, sf: str) -> DataFrame:
+    pred, _, live = _predictions(spark, sf)
+    out = B.latest_vs_verified(live, B.backtest(pred)).drop("horizon")
+    return rounded(out, "live_prediction", "verified_prediction", "verified_target")
+
+
+@query(
+    f"WITH {D.quality(_BT)}, {_LIVE} SELECT dataset AS product, 5 AS horizon, strftime(date, '%Y-%m-%d') AS source_date, close, {D.R('prediction')} AS predicted_return_pct, signal, CASE WHEN signal > 0 THEN 'bullish' ELSE 'bearish' END AS direction, samples, avg_realized_return_pct, direction_accuracy"
+    " FROM live l LEFT JOIN (SELECT dataset AS d, forecast, samples, avg_realized_return_pct, direction_accuracy FROM quality) q ON l.dataset = q.d AND q.forecast = CASE WHEN signal > 0 THEN 'bullish' ELSE 'bearish' END"
+)
+def signals(spark: SparkSession, sf: str) -> DataFrame:
+    pred, _, live = _predictions(spark, sf)
+    quality = rounded(B.forecast_quality(pred), *_QUALITY).withColumnRenamed("dataset", "product")
+    out = S.latest_signals(rounded(live.withColumnRenamed("dataset", "product"), "prediction"), quality)
+    return out.select("product", "horizon", F.date_format("date", "yyyy-MM-dd").alias("source_date"), "close", "forecast.predicted_return_pct", "forecast.signal", "forecast.direction", "forecast.quality.*")
+
+
+@query()
+def signals_document(spark: SparkSession, sf: str) -> DataFrame:
+    """The published JSON document of both horizons, written as text and read back."""
+    live, quality = [], []
+    for h in (5, 10):
+        features = settled(X.add_features(_market(spark, sf), horizon=h)[0], "features")
+        pred = M.assign_folds(X.labelled(features.dropna(subset=[X.target_column(h)]), h), ["dataset"], h, start_date=None).filter("fold IS NOT NULL")
+        pred = pred.withColumn("prediction", F.col("return_5d_pct")).withColumnRenamed("dataset", "product")
+        quality.append(B.forecast_quality(pred, ("product", "horizon")))
+        last = Q.latest(features, ["dataset"]).withColumns({"prediction": F.col("return_5d_pct"), "horizon": F.lit(h)})
+        live.append(last.select(F.col("dataset").alias("product"), "horizon", "date", "close", "prediction", F.when(F.col("prediction") > 0, 1).otherwise(-1).alias("signal")))
+    join = lambda parts: reduce(DataFrame.unionByName, parts)
+    found = S.assert_one_source_date(S.latest_signals(join(live), join(quality)))
+    calendar = read_table(spark, sf, "orders").select(F.to_date("o_orderdate").alias("trade_date"))
+    where = scratch_path(spark, "signals")
+    IO.write_document(S.payload(found, calendar, "2002-01-01", "2002-01-01T00:00:00+09:00"), where)
+    return spark.read.text(where)
+
+
+# --- learners
+
+
+@query()
+def walk_forward_ridge(spark: SparkSession, sf: str) -> DataFrame:
+    rows, names = _model_rows(spark, sf)
+    out = L.walk_forward(M.assign_folds(rows, ["dataset"], 5, start_date=None), names, "target", L.ridge())
+    out = M.with_fold_dates(out, ["dataset"])
+    return rounded(out.select("dataset", "date", "fold", "train_end_date", "test_window_start", "test_window_end", "target", "prediction"), "target", "prediction")
+
+
+@query()
+def walk_forward_ridge_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """The ridge forecasts of both horizons, backtested."""
+    parts = []
+    for h in (5, 10):
+        rows, names = _model_rows(spark, sf, h)
+        parts.append(L.walk_forward(M.assign_folds(rows, ["dataset"], h, start_date=None), names, "target", L.ridge()))
+    pred = parts[0].unionByName(parts[1])
+    return rounded(B.metrics(B.backtest(pred)), *_METRICS)
+
+
+@query()
+def walk_forward_trees(spark: SparkSession, sf: str) -> DataFrame:
+    """Boosted trees, kept small: 3 trees, one symbol, test windows of a year."""
+    rows, names = _model_rows(spark, sf)
+    rows = M.assign_folds(rows.filter("dataset = 'N'"), ["dataset"], 5, start_date=None, test_rows=252)
+    out = L.walk_forward(rows, names, "target", L.gbt(trees=3), test_rows=252)
+    return rounded(out.select("dataset", "date", "fold", "target", "prediction"), "target", "prediction")
+
+
+@query()
+def importance(spark: SparkSession, sf: str) -> DataFrame:
+    features, _, names = X.add_features(_market(spark, sf), horizon=5)
+    features = settled(features, "features")
+    model = features.dropna(subset=[X.target_column(5)])
+    found, _ = L.final_fit(features, X.labelled(model, 5), names, L.ridge())
+    return rounded(L.top_features(found, 12), "importance")
+
+
+@query()
+def latest_forecast(spark: SparkSession, sf: str) -> DataFrame:
+    features, _, names = X.add_features(_market(spark, sf), horizon=5)
+    features = settled(features, "features")
+    model = features.dropna(subset=[X.target_column(5)])
+    return rounded(L.final_fit(features, X.labelled(model, 5), names, L.ridge())[1], "prediction")
+
+
+# --- panel studies
+
+
+@query(f"WITH {D.WIDE} SELECT date, {_sql_rounded([f'{k}_{s}' for s in SYMBOLS for k in ('close', 'ret', 'vol20', 'volume_chg', 'hold_chg')], tuple(f'close_{s}' for s in SYMBOLS))} FROM panel")
+def wide_features(spark: SparkSession, sf: str) -> DataFrame:
+    out = A.wide_features(_main(spark, sf), SYMBOLS)
+    return rounded(out, *[c for c in out.columns if c != "date" and not c.startswith("close")])
+
+
+@query(f"WITH {D.MAIN} SELECT date, " + ", ".join(f"max(close) FILTER (WHERE symbol = '{s}') AS \"{s}\"" for s in SYMBOLS) + " FROM main GROUP BY date")
+def pivot_close(spark: SparkSession, sf: str) -> DataFrame:
+    return A.pivot_field(_main(spark, sf), "close", SYMBOLS)
+
+
+@query(f"WITH {D.PANEL} SELECT symbol, date, {D.R('close / first_value(close) OVER (PARTITION BY symbol ORDER BY date) * 100')} AS price_index FROM long")
+def price_index(spark: SparkSession, sf: str) -> DataFrame:
+    out = A.price_index(A.common_features(_main(spark, sf), SYMBOLS))
+    return rounded(out.select("symbol", "date", "price_index"), "price_index")
+
+
+@query(f"WITH {D.WIDE} " + " UNION ALL ".join(f"SELECT 'ret_{a}' AS \"left\", 'ret_{b}' AS \"right\", {D.R(f'corr(ret_{a}, ret_{b})')} AS correlation FROM panel" for a in SYMBOLS for b in SYMBOLS))
+def corr_matrix(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(A.corr_matrix(A.wide_features(_main(spark, sf), SYMBOLS), [f"ret_{s}" for s in SYMBOLS]), "correlation")
+
+
+def _rolling_sql(a: str, b: str) -> str:
+    w = "OVER (ORDER BY date ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)"
+    return f"{D.R(f'CASE WHEN count(CASE WHEN {a} IS NOT NULL THEN {b} END) {w} = 60 THEN corr({a}, {b}) {w} END')} AS corr_{a}_{b}"
+
+
+@query(f"WITH {D.WIDE} SELECT date, " + ", ".join(_rolling_sql(a, b) for a, b in A.all_pairs(SYMBOLS)) + " FROM panel")
+def rolling_corr(spark: SparkSession, sf: str) -> DataFrame:
+    out = A.rolling_corr(A.wide_features(_main(spark, sf), SYMBOLS), A.all_pairs(SYMBOLS))
+    return rounded(out, *out.columns[1:])
+
+
+@query(
+    f"WITH {D.PANEL}, n AS (SELECT *, CASE WHEN ret IS NOT NULL THEN row_number() OVER (PARTITION BY symbol ORDER BY ret IS NULL, date DESC) END AS nth FROM long)"
+    f" SELECT symbol, max(date) AS latest_date, arg_max(close, date) AS latest_close, {D.R('sum(ret) FILTER (WHERE nth <= 5)')} AS return_5d_pct, {D.R('sum(ret) FILTER (WHERE nth <= 20)')} AS return_20d_pct, {D.R('arg_max(vol20, date) FILTER (WHERE vol20 IS NOT NULL)')} AS volatility_20d_pct FROM n GROUP BY symbol"
+)
+def dashboard(spark: SparkSession, sf: str) -> DataFrame:
+    out = A.dashboard(A.common_features(_main(spark, sf), SYMBOLS))
+    return rounded(out, "return_5d_pct", "return_20d_pct", "volatility_20d_pct")
+
+
+_RETS = [f"ret_{s}" for s in SYMBOLS]
+
+
+def _panel(spark: SparkSession, sf: str) -> DataFrame:
+    return A.wide_features(_main(spark, sf), SYMBOLS).select(F.lit("all").alias("panel"), "date", *_RETS)
+
+
+def _gram_sql() -> str:
+    cols = ["1", *_RETS, *[f"{c}_l1" for c in _RETS]]
+    lagged = ", ".join(f"lag({c}) OVER (ORDER BY date) AS {c}_l1" for c in _RETS)
+    known = " AND ".join(f"{c} IS NOT NULL" for c in _RETS)
+    rows = " UNION ALL ".join(f"SELECT 'all' AS panel, {i} AS i, {j} AS j, round(sum({a} * {b}), 4) AS value FROM lagged WHERE ret_A_l1 IS NOT NULL" for i, a in enumerate(cols) for j, b in enumerate(cols) if i <= j)
+    return f"WITH {D.WIDE}, lagged AS (SELECT *, {lagged} FROM panel WHERE {known}) {rows}"
+
+
+@query(_gram_sql())
+def var_gram(spark: SparkSession, sf: str) -> DataFrame:
+    """Sums over the rows that have their one lag."""
+    out = V.var_gram(_panel(spark, sf), ["panel"], _RETS, 1).filter("lags = 1")
+    return out.select("panel", "i", "j", (F.round(F.col("value") * 1e4, 0) / 1e4).alias("value"))
+
+
+@query()
+def var_fit(spark: SparkSession, sf: str) -> DataFrame:
+    return V.var_fit(_panel(spark, sf), ["panel"], _RETS)
+
+
+def _irf(spark: SparkSession, sf: str) -> DataFrame:
+    return V.orth_irf(V.var_fit(_panel(spark, sf), ["panel"], _RETS), ["panel"])
+
+
+@query()
+def irf_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(V.irf_summary(_irf(spark, sf), ["panel"]), "day0_response", "peak_response", "cumulative_response")
+
+
+@query()
+def top_cross_irf(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(V.top_cross_irf(V.irf_summary(_irf(spark, sf), ["panel"])), "day0_response", "peak_response", "cumulative_response")
+
+
+@query()
+def fevd(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(V.fevd(_irf(spark, sf), key=["panel"]), "share_pct")
+
+
+@query()
+def adf(spark: SparkSession, sf: str) -> DataFrame:
+    long = A.common_features(_main(spark, sf), SYMBOLS)
+    kinds = F.explode(F.array(F.struct(F.lit("log_close").alias("series"), F.ln("close").alias("value")), F.struct(F.lit("return").alias("series"), F.col("ret").alias("value"))))
+    rows = long.select("symbol", "date", kinds.alias("of")).select("symbol", "date", "of.*")
+    return rounded(V.adf(rows, ["symbol", "series"], "value"), "adf_stat", "p_value")
+
+
+# --- streaming
+
+
+@query(f"WITH {D.MAIN} SELECT symbol, commodity_slug, date, {_BARS_SQL} FROM main")
+def refresh_bars(spark: SparkSession, sf: str) -> DataFrame:
+    """Two arrivals of bar files, the first with wrong closes that the second corrects; the table ends up right."""
+    rows = _main(spark, sf).select(*[F.col(f.name).cast(f.dataType) for f in BARS.fields])
+    rows = rows.withColumn("hold", F.floor(F.col("hold")).cast("long"))
+    arrivals, table, checkpoint = (scratch_path(spark, t) for t in ("arrivals", "table", "checkpoint"))
+    wrong = rows.withColumn("close", F.when(F.dayofmonth("date") % 2 == 0, F.col("close") + 1).otherwise(F.col("close")))
+    for part in (wrong, rows.filter(F.dayofmonth("date") % 2 == 0)):
+        part.write.mode("append").parquet(arrivals)
+        stream_refresh(spark, arrivals, table, checkpoint).awaitTermination()
+    return spark.read.parquet(table).select(*[F.col(f.name).cast(f.dataType) for f in BARS.fields])
