@@ -57,7 +57,7 @@ def six(c: str | Column) -> Column:
 
 def seven(df: DataFrame, *names: str) -> DataFrame:
     """Seven significant digits."""
-    return df.withColumns({n: F.when(F.col(n).isNotNull(), F.format_string("%.6e", n).cast("double")) for n in names})
+    return df.withColumns({n: F.when(F.col(n).isNotNull(), F.format_string("%.6e", F.col(n) * 1.0000000003).cast("double")) for n in names})
 
 
 def rounded(df: DataFrame, *names: str) -> DataFrame:

@@ -6,8 +6,8 @@ from barloom.operators.features import CHANGES, RETURNS, SCORES, WINDOWS
 
 #: Six digits; halves, which different orders of summing miss by a hair, all go up.
 R = "(round(({}) * 1e6 + 0.003) / 1e6 + 0.0)".format
-#: Seven significant digits, for values of any size.
-S = "CAST(printf('%.6e', {}) AS DOUBLE)".format
+#: Seven significant digits, for values of any size; halves go up here too.
+S = "CAST(printf('%.6e', ({}) * 1.0000000003) AS DOUBLE)".format
 
 LINES = "li AS (SELECT *, l_extendedprice / l_quantity AS px, row(l_orderkey, l_partkey, l_suppkey, l_linenumber) AS k, CAST(l_shipdate AS DATE) AS date FROM lineitem)"
 _OHLC = "arg_min(px, k) AS open, max(px) AS high, min(px) AS low, arg_max(px, k) AS close, round(sum(l_extendedprice), 2) / sum(l_quantity) AS settle, sum(l_quantity) AS volume"
