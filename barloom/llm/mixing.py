@@ -18,6 +18,8 @@ from pyspark.sql.window import Window as W
 
 from barloom.llm.common import maybe_broadcast, staged, word_count
 
+#: What a source's plan is called beside the columns of a table.
+_P = "_plan_"
 #: Runs of these marks lower the default quality weight of a text.
 MARKS = r"[#$%&*|!<>{}\\^~@_+=]+"
 
@@ -63,7 +65,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = (1, 2, 3), most_
 
 def _bucket(rows_per_bucket: int) -> Column:
     """Buckets rise with the key; a source has about as many as its rows need."""
-    count = F.ceil(F.col("n") / F.lit(float(rows_per_bucket)))
+    count = F.ceil(F.col(_P + "n") / F.lit(float(rows_per_bucket)))
     return F.floor((F.lit(1.0) - F.exp(-F.col("_key"))) * count).cast("long")
 
 
@@ -71,22 +73,22 @@ def _plan(rows: DataFrame, id_col: str, weights: Sequence[float], most_epochs: i
     """Per source: targets and the bucket in which its budget ends; and the rows picked in these buckets."""
     sizes = rows.groupBy("_source").agg(F.sum("_size").alias("source_size"), F.count("*").alias("n"))
     targets = staged(source_targets(sizes, weights, most_epochs), "targets")
-    small = maybe_broadcast(targets.withColumnRenamed("_source", "_of"), targets.count(), 200)
-    keyed = rows.join(small, rows["_source"].eqNullSafe(small["_of"])).withColumn("_bucket", _bucket(rows_per_bucket))
-    sums = keyed.groupBy("_source", "_bucket").agg(F.sum("_size").alias("_sum"), F.first("rest").alias("rest"))
+    keyed = _with_plan(rows, targets, rows_per_bucket)
+    sums = keyed.groupBy("_source", "_bucket").agg(F.sum("_size").alias("_sum"), F.first(_P + "rest").alias("rest"))
     before = F.sum("_sum").over(W.partitionBy("_source").orderBy("_bucket")) - F.col("_sum")
     cuts = sums.withColumn("cut_offset", before).filter("cut_offset <= rest AND rest < cut_offset + _sum")
     cuts = cuts.select(F.col("_source").alias("_of"), F.col("_bucket").alias("cut"), "cut_offset")
     plan = staged(targets.join(cuts, targets["_source"].eqNullSafe(cuts["_of"]), "left").drop("_of"), "plan")
-    edge = _with_plan(rows, plan, rows_per_bucket).filter("_bucket = cut")
+    edge = _with_plan(rows, plan, rows_per_bucket).filter(F.col("_bucket") == F.col(_P + "cut"))
     upto = F.sum("_size").over(W.partitionBy("_source").orderBy("_key", id_col))
     alike = F.sum("_size").over(W.partitionBy("_source", "_key", id_col))
-    edge = edge.withColumn("_middle", F.col("cut_offset") + upto - alike / 2)
-    return plan, staged(edge.filter("_middle <= rest").select(F.col(id_col).alias("_id"), F.col("_key").alias("_edge")).distinct(), "edge")
+    edge = edge.withColumn("_middle", F.col(_P + "cut_offset") + upto - alike / 2)
+    return plan, staged(edge.filter(F.col("_middle") <= F.col(_P + "rest")).select(F.col(id_col).alias("_id"), F.col("_key").alias("_edge")).distinct(), "edge")
 
 
 def _with_plan(rows: DataFrame, plan: DataFrame, rows_per_bucket: int) -> DataFrame:
-    small = maybe_broadcast(plan.withColumnRenamed("_source", "_of"), plan.count(), 200)
+    named = plan.select(F.col("_source").alias("_of"), *[F.col(c).alias(_P + c) for c in plan.columns if c != "_source"])
+    small = maybe_broadcast(named, named.count(), 200)
     return rows.join(small, rows["_source"].eqNullSafe(small["_of"])).drop("_of").withColumn("_bucket", _bucket(rows_per_bucket))
 
 
@@ -94,8 +96,8 @@ def _copies(rows: DataFrame, plan: DataFrame, edge: DataFrame, id_col: str, rows
     edge = maybe_broadcast(edge, edge.count(), 64)
     out = _with_plan(rows, plan, rows_per_bucket)
     out = out.join(edge, out[id_col].eqNullSafe(edge["_id"]) & (out["_key"] == edge["_edge"]), "left")
-    picked = F.coalesce(F.col("_bucket") < F.col("cut"), F.lit(False)) | F.col("_edge").isNotNull()
-    return out.withColumn("copies", F.col("epochs") + picked.cast("long"))
+    picked = F.coalesce(F.col("_bucket") < F.col(_P + "cut"), F.lit(False)) | F.col("_edge").isNotNull()
+    return out.withColumn("_copies", F.col(_P + "epochs") + picked.cast("long"))
 
 
 def mix(
@@ -122,7 +124,9 @@ def mix(
     rows = staged(rows.select(id_col, "_source", "_size", "_key"), "sizes")
     plan, edge = _plan(rows, id_col, weights, most_epochs, rows_per_bucket)
     out = _copies(rows, plan, edge, id_col, rows_per_bucket)
-    return out.select(id_col, F.col("_source").alias("source"), F.col("_size").alias("size"), "source_size", "target", "copies", (F.col("_size") * F.col("copies")).alias("taken"))
+    plan_columns = [F.col(_P + c).alias(c) for c in ("source_size", "target")]
+    taken = (F.col("_size") * F.col("_copies")).alias("taken")
+    return out.select(id_col, F.col("_source").alias("source"), F.col("_size").alias("size"), *plan_columns, F.col("_copies").alias("copies"), taken)
 
 
 def mixture(
@@ -141,4 +145,5 @@ def mixture(
     rows = staged(keyed.select(id_col, "_source", "_size", "_key"), "sizes")
     plan, edge = _plan(rows, id_col, weights, most_epochs, rows_per_bucket)
     out = _copies(keyed, plan, edge, id_col, rows_per_bucket)
-    return out.withColumn("_copy", F.explode(F.expr("sequence(1, greatest(copies, 1))"))).filter("copies > 0").select(*df.columns)
+    out = out.filter("_copies > 0").withColumn("_copy", F.explode(F.expr("sequence(1L, _copies)")))
+    return out.select(*df.columns)

@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import FeatureHasher, HashingTF, VectorAssembler
+from pyspark.ml.feature import FeatureHasher, HashingTF, VectorAssembler, VectorSizeHint
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -83,6 +83,7 @@ def _with_features(df: DataFrame, text_col: str, page_cols: list[str], features:
     stages = [HashingTF(inputCol=_P + "words", outputCol=_P + "text", numFeatures=features, binary=True)]
     if page_cols:
         stages.append(FeatureHasher(inputCols=[_P + c for c in page_cols], outputCol=_P + "known", numFeatures=128))
+    stages.append(VectorSizeHint(inputCol=_P + "layout", size=len(layout("")), handleInvalid="optimistic"))
     joined = [_P + "layout", *([_P + "known"] if page_cols else [])]
     stages.append(VectorAssembler(inputCols=joined, outputCol=_P + "page"))
     out = PipelineModel(stages).transform(out)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from barloom.llm import bpe, licenses, lines, mixing, mpeg, quality, secrets, simhash, topk, warc
 from barloom.llm.common import staged, table
+from barloom.llm.oracles import ORACLES  # noqa: F401
 
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,5 +120,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_topk": op9_topk,
     "op10_lines": op10_lines,
 }
-
-ORACLES: dict[str, str] = {}
