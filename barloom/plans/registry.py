@@ -158,6 +158,14 @@ def csv_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.schema(BARS).parquet(table).select(*BARS.names)
 
 
+@query(f"WITH {D.MAIN_MARKET} SELECT * FROM market WHERE dataset = 'A'")
+def market_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """One main series written as a CSV result and read back as a market frame."""
+    where = scratch_path(spark, "market") + ".csv"
+    IO.write_result(_market(spark, sf).filter("dataset = 'A'").drop("dataset"), where, form="csv")
+    return IO.read_market(spark, where, "A").select("dataset", "date", "open", "high", "low", "close", "volume", "settle", "open_interest")
+
+
 @query(
     f"WITH {D.CONTRACTS} SELECT contract, count(*) AS rows, min(date) AS start_date, max(date) AS end_date, CAST(sum(volume) AS BIGINT) AS volume_sum FROM contracts GROUP BY contract"
 )
@@ -200,12 +208,12 @@ def refresh_plan(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    "WITH s AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders WHERE dayofweek(o_orderdate) NOT IN (0, 6)), q AS (SELECT DISTINCT CAST(o_orderdate AS DATE) + 3 AS date FROM orders)"
+    "WITH s AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders), q AS (SELECT DISTINCT CAST(o_orderdate AS DATE) + 3 AS date FROM orders)"
     " SELECT q.date, EXISTS (SELECT 1 FROM s WHERE s.d = q.date) AS is_trading_day, s.d AS previous_session FROM q ASOF JOIN s ON q.date > s.d"
 )
 def previous_session(spark: SparkSession, sf: str) -> DataFrame:
     days = read_table(spark, sf, "orders").select(F.to_date("o_orderdate").alias("d"))
-    return K.previous_session(days.select(F.date_add("d", 3).alias("date")), days.filter(~F.dayofweek("d").isin(1, 7)).select(F.col("d").alias("trade_date")))
+    return K.previous_session(days.select(F.date_add("d", 3).alias("date")), days.select(F.col("d").alias("trade_date")))
 
 
 # --- weighted index
