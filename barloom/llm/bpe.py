@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 #: Characters at a chunk's end from which no boundary is trusted.
 MARGIN = 16
 #: Pieces whose ids are remembered; beyond that the memory starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 _ROWS = 256
 
 
@@ -125,9 +125,11 @@ def stitch(parts: list[tuple[bytes, list[int], list[int], list[int], list[int]]]
     return b"".join(out)
 
 
-def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = 16384, overlap: int = 512) -> DataFrame:
+def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = 16384, overlap: int = 512, decoded: bool = False) -> DataFrame:
     """One row per input row: id, n_tokens, ids (little-endian unsigned 32-bit integers, binary).
 
+    decoded adds the bytes that the ids decode to, from the same Python worker.
+
     Each match of the pattern is encoded by itself, without special tokens. Null
     and empty texts have no ids. Repeated rows are returned as often as they
     occur; extra columns are ignored. Only texts longer than chunk + overlap are
@@ -136,15 +138,17 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
     id_type = df.schema[id_col].dataType
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     is_long = F.length("text") > chunk + overlap
-    out_type = T.StructType([T.StructField("id", id_type), T.StructField("ids", T.BinaryType())])
+    extra = ["decoded"] if decoded else []
+    out_type = T.StructType([T.StructField("id", id_type), *(T.StructField(n, T.BinaryType()) for n in ("ids", *extra))])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = codec(path, pattern)
         for batch in batches:
             for at in range(0, batch.num_rows, _ROWS):
                 part = batch.slice(at, _ROWS)
-                ids = pa.array([of.encode(t) for t in part.column("text").to_pylist()], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column("id"), ids], ["id", "ids"])
+                ids = [of.encode(t) for t in part.column("text").to_pylist()]
+                columns = [ids, *([[of.decode(i) for i in ids]] if decoded else [])]
+                yield pa.RecordBatch.from_arrays([part.column("id"), *(pa.array(c, pa.binary()) for c in columns)], out_type.names)
 
     short = rows.filter(~is_long).mapInArrow(whole, out_type)
 
@@ -174,13 +178,14 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
         copies = int((frame["start"] == 0).sum())
         frame = frame.drop_duplicates("start").sort_values("start")
         ids = stitch(list(zip(frame["ids"], *(frame[n].map(list) for n in ("head", "head_ids", "tail", "tail_ids")), strict=True)))
-        return pd.DataFrame({"id": frame["id"].iloc[:1].repeat(copies), "ids": [ids] * copies})
+        out = pd.DataFrame({"id": frame["id"].iloc[:1].repeat(copies), "ids": [ids] * copies})
+        return out.assign(decoded=[codec(path, pattern).decode(ids)] * copies) if decoded else out
 
     cut = rows.filter(is_long).withColumn("digest", F.xxhash64("text")).mapInPandas(cutting, cut_type)
     done = cut.repartition("id", "digest", "start").mapInPandas(parts, part_type)
     long = done.groupBy("id", "digest", "size").applyInPandas(joined, out_type)
     both = short.unionByName(long)
-    return both.select(F.col("id").alias(id_col), (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids")
+    return both.select(F.col("id").alias(id_col), (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", *extra)
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:

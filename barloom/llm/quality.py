@@ -13,20 +13,18 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import FeatureHasher, HashingTF, VectorAssembler, VectorSizeHint
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from barloom.llm.common import UPPER, staged
+from barloom.llm.common import staged
+from barloom.llm.layout import layout, layouts
 
 #: Columns of our own carry this prefix and never reach a result.
 _P = "_quality_"
-_UPPER, _DIGITS, _MARKS = UPPER.encode(), b"0123456789", b"#$%&*|!<>{}\\^~@_+="
 VIEWS = ("text", "page")
 
 
@@ -45,39 +43,11 @@ class Fit:
     penalty: float = 0.01
 
 
-def layout(text: str | None) -> list[float]:
-    """Shares of capitals, digits, marks and line ends, word and line lengths, and how often words repeat."""
-    data = (text or "").encode("utf-8", "replace")
-    words = data.split()
-    size, n = max(1, len(data)), max(1, len(words))
-    share = lambda which: (len(data) - len(data.translate(None, which))) / size
-    ends = data.count(b"\n")
-    return [
-        float(np.log1p(len(data))),
-        share(_UPPER),
-        share(_DIGITS),
-        share(_MARKS),
-        ends / n,
-        size / n,
-        float(np.log1p(n / (ends + 1))),
-        len(set(words)) / n,
-        sum(a == b for a, b in zip(words, words[1:], strict=False)) / n,
-    ]
-
-
-def _layouts(text: Column) -> Column:
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def shares(texts: pd.Series) -> pd.Series:
-        return pd.Series([layout(t) for t in texts])
-
-    return shares(text)
-
-
 def _with_features(df: DataFrame, text_col: str, page_cols: list[str], features: int) -> DataFrame:
     """df with the vectors of both views; rows need nothing but themselves."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     out = df.withColumn(_P + "words", F.split(text, r"[\x20\x09-\x0D]+"))
-    out = out.withColumn(_P + "layout", array_to_vector(_layouts(F.col(text_col))))
+    out = out.withColumn(_P + "layout", array_to_vector(layouts(F.col(text_col))))
     for c in page_cols:
         out = out.withColumn(_P + c, F.coalesce(F.col(c).cast("string"), F.lit("")))
     stages = [HashingTF(inputCol=_P + "words", outputCol=_P + "text", numFeatures=features, binary=True)]
