@@ -97,7 +97,7 @@ def pieces(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     blocks = narrow.groupBy("file", "block").agg(F.max("upto").alias("all"))
     offset = F.sum("all").over(W.partitionBy("file").orderBy("block")) - F.col("all")
     blocks = blocks.select("file", "block", offset.alias("offset"))
-    placed = narrow.join(blocks, ["file", "block"])
+    placed = narrow.join(blocks.hint("merge"), ["file", "block"])
     # Offsets are those of version lines; a file begins with one that no separator cuts off.
     start = F.col("offset") + F.col("upto") - F.col("size") - len(VERSION) - len(SEPARATOR)
     first = (F.col("offset") + F.col("upto")) == F.col("size") + len(SEPARATOR)
@@ -115,7 +115,8 @@ def reachable(candidates: DataFrame) -> DataFrame:
         known = count
         hit = table.filter("reached AND jump IS NOT NULL").select("file", F.col("jump").alias("at"), F.lit(True).alias("hit")).distinct()
         far = table.select("file", F.col("at").alias("jump"), F.col("jump").alias("far"))
-        table = table.join(hit, ["file", "at"], "left").join(far, ["file", "jump"], "left")
+        # These tables compress to little on disk but not in memory, so they are never broadcast.
+        table = table.join(hit.hint("merge"), ["file", "at"], "left").join(far.hint("merge"), ["file", "jump"], "left")
         table = staged(table.select("file", "at", F.col("far").alias("jump"), (F.col("reached") | F.coalesce("hit", F.lit(False))).alias("reached")), "jumps")
     return table.filter("reached").select("file", "at")
 
@@ -131,7 +132,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     lines, placed = pieces(spark, path)
     chain = reachable(placed).withColumn("real", F.lit(True))
     owner = F.max(F.when(F.col("real"), F.col("at"))).over(W.partitionBy("file").orderBy("at"))
-    marked = staged(placed.join(chain, ["file", "at"], "left").withColumn("owner", owner), "owners")
+    marked = staged(placed.join(chain.hint("merge"), ["file", "at"], "left").withColumn("owner", owner), "owners")
     false = marked.filter("real IS NULL").select("file", F.coalesce("owner", F.lit(-1)).alias("owner")).distinct()
     broken = marked.select("seq", "file", "at", F.coalesce("owner", F.lit(-1)).alias("owner")).join(false, ["file", "owner"], "left_semi")
     broken = staged(broken, "broken")
