@@ -350,6 +350,25 @@ def test_topk_equals_brute_force(spark):
     assert topk.search(df.limit(0)).count() == 0
 
 
+def test_topk_asks_for_all_words(spark):
+    """By default no word of a query text is left out."""
+    texts = prose(13, 300, words=150) + ODD
+    out = topk.search(docs(spark, texts), every=25, k=5, docs_per_shard=90).collect()
+    bags = [Counter(w.decode() for w in licenses.normal_words(t)) for t in texts]
+    n, mean = len(bags), sum(b.total() for b in bags) / len(bags)
+    df_ = Counter(w for b in bags for w in b)
+    idf = {w: math.log(1 + (n - c + 0.5) / (c + 0.5)) for w, c in df_.items()}
+    assert any(len(bags[q]) > 30 for q in range(0, n, 25))
+    for q in range(0, n, 25):
+        score = {}
+        for i, b in enumerate(bags):
+            if b.keys() & bags[q].keys():
+                score[i] = round(sum(idf[w] * b[w] * 2.2 / (b[w] + 1.2 * (0.25 + 0.75 * b.total() / mean)) for w in sorted(bags[q]) if w in b), 9)
+        want = sorted(score.items(), key=lambda s: (-s[1], s[0]))[:5]
+        got = sorted((r["rank"], r["doc_id"], r["score"]) for r in out if r["query_id"] == q)
+        assert [(d, pytest.approx(s)) for _, d, s in got] == want
+
+
 # --- lines
 
 
