@@ -160,10 +160,13 @@ def csv_round_trip(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {D.MAIN_MARKET} SELECT * FROM market WHERE dataset = 'A'")
 def market_round_trip(spark: SparkSession, sf: str) -> DataFrame:
-    """One main series written as a CSV result and read back as a market frame."""
+    """All main series written as one CSV result, partitioned by dataset, and each read back as a market frame."""
     where = scratch_path(spark, "market") + ".csv"
-    IO.write_result(_market(spark, sf).filter("dataset = 'A'").drop("dataset"), where, form="csv")
-    return IO.read_market(spark, where, "A").select("dataset", "date", "open", "high", "low", "close", "volume", "settle", "open_interest")
+    rows = settled(_market(spark, sf), "market")
+    IO.write_result(rows, where, form="csv")
+    names = [r["dataset"] for r in rows.select("dataset").distinct().orderBy("dataset").collect()]
+    parts = [IO.read_market(spark, f"{where}/dataset={n}/*.csv", n) for n in names]
+    return reduce(DataFrame.unionByName, parts).select("dataset", "date", "open", "high", "low", "close", "volume", "settle", "open_interest")
 
 
 @query(

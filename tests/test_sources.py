@@ -62,3 +62,12 @@ def test_queries_equal_their_sql(spark, sf, name):
 def test_entry_has_rows(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_market_round_trip_keeps_every_series(spark, sf):
+    from barloom.plans import registry
+
+    text = lambda df: sorted(map(str, df.collect()))
+    got = entry.queries()["market_round_trip"](spark, sf)
+    assert got.select("dataset").distinct().count() > 1
+    assert text(got) == text(registry._market(spark, sf).select(*got.columns))
