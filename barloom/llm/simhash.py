@@ -150,7 +150,12 @@ def keep_one_per_group(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Of repeated rows with one id, one stays. Rows with null ids all stay. Texts are
     shuffled only where the ids to drop are too many to broadcast.
     """
-    found = near_duplicates(df, id_col, text_col, shingle, radius).filter(F.col(id_col).isNotNull())
+    return keep_least(df, near_duplicates(df, id_col, text_col, shingle, radius), id_col)
+
+
+def keep_least(df: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
+    """df without the rows whose component (found: id, component_id) has a smaller id; see keep_one_per_group."""
+    found = found.filter(F.col(id_col).isNotNull())
     found = staged(found.groupBy(id_col).agg(F.min("component_id").alias("least"), F.count("*").alias("n")), "groups")
     gone = staged(found.filter(F.col(id_col) > F.col("least")).select(F.col(id_col).alias("_id")), "gone")
     again = found.filter((F.col(id_col) <= F.col("least")) & (F.col("n") > 1)).select(F.col(id_col).alias("_id"))

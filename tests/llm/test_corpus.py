@@ -13,7 +13,7 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from barloom.llm import bpe, licenses, lines, mixing, mpeg, quality, secrets, simhash, topk, warc
+from barloom.llm import bpe, licenses, lines, mixing, mpeg, quality, secrets, shingles, simhash, topk, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n long, score double, key string, ids string"
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
@@ -303,6 +303,38 @@ def test_one_per_group_stays(spark):
     assert simhash.keep_one_per_group(df.limit(0)).count() == 0
 
 
+def test_shingle_groups_equal_brute_force(spark):
+    """Also copies that SimHash within 4 bits does not find."""
+    rng = random.Random(21)
+    texts = list(ODD)
+    for n in (30, 60, 200):
+        for _ in range(6):
+            base = [f"v{rng.randint(0, 900)}" for _ in range(n)]
+            for edits in (0, 0, 1, 2, 3, 4, 6):
+                words = list(base)
+                for _ in range(edits):
+                    words[rng.randrange(n)] = f"new{rng.randint(0, 10**6)}"
+                texts.append(" ".join(words + ["a common tail of more words"]))
+
+    def grams(text):
+        words = re.findall(WORD, (text or "").translate({c: c + 32 for c in range(65, 91)}))
+        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+    sets = [grams(t) for t in texts]
+    least, linked, far = list(range(len(texts))), 0, 0
+    prints = [simhash.simhash(t, 5) for t in texts]
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if 10 * len(x & sets[j]) >= 8 * len(x | sets[j]):
+                linked, far = linked + 1, far + ((prints[i] ^ prints[j]).bit_count() > 4)
+                a, b = sorted((least[i], least[j]))
+                least = [a if c == b else c for c in least]
+    assert far > linked / 4
+    df = docs(spark, texts)
+    assert sorted(r["doc_id"] for r in shingles.keep_one_per_group(df).collect()) == sorted(set(least))
+    assert shingles.keep_one_per_group(df.limit(0)).count() == 0
+
+
 # --- licenses
 
 
