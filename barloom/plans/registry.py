@@ -493,28 +493,37 @@ def walk_forward_ridge_metrics(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def walk_forward_trees(spark: SparkSession, sf: str) -> DataFrame:
-    """Boosted trees, kept small: 3 trees, one symbol, test windows of a year."""
+    """Boosted trees on every series, a fit of all trees per fold: long, see the README."""
     rows, names = _model_rows(spark, sf)
-    rows = M.assign_folds(rows.filter("dataset = 'N'"), ["dataset"], 5, start_date=None, test_rows=252)
-    out = L.walk_forward(rows, names, "target", L.gbt(trees=3), test_rows=252)
+    out = L.walk_forward(M.assign_folds(rows, ["dataset"], 5, start_date=None), names, "target", L.gbt())
     return rounded(out.select("dataset", "date", "fold", "target", "prediction"), "target", "prediction")
 
 
-@query()
-def importance(spark: SparkSession, sf: str) -> DataFrame:
+def _final_fit(spark: SparkSession, sf: str, learner: L.Ridge | L.Trees) -> tuple[DataFrame, DataFrame]:
     features, _, names = X.add_features(_market(spark, sf), horizon=5)
     features = settled(features, "features")
     model = features.dropna(subset=[X.target_column(5)])
-    found, _ = L.final_fit(features, X.labelled(model, 5), names, L.ridge())
-    return rounded(L.top_features(found, 12), "importance")
+    return L.final_fit(features, X.labelled(model, 5), names, learner)
+
+
+@query()
+def importance(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(L.top_features(_final_fit(spark, sf, L.ridge())[0], 12), "importance")
+
+
+@query()
+def importance_trees(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(L.top_features(_final_fit(spark, sf, L.gbt())[0], 12), "importance")
 
 
 @query()
 def latest_forecast(spark: SparkSession, sf: str) -> DataFrame:
-    features, _, names = X.add_features(_market(spark, sf), horizon=5)
-    features = settled(features, "features")
-    model = features.dropna(subset=[X.target_column(5)])
-    return rounded(L.final_fit(features, X.labelled(model, 5), names, L.ridge())[1], "prediction")
+    return rounded(_final_fit(spark, sf, L.ridge())[1], "prediction")
+
+
+@query()
+def latest_forecast_trees(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(_final_fit(spark, sf, L.gbt())[1], "prediction")
 
 
 # --- panel studies

@@ -71,3 +71,28 @@ def test_market_round_trip_keeps_every_series(spark, sf):
     got = entry.queries()["market_round_trip"](spark, sf)
     assert got.select("dataset").distinct().count() > 1
     assert text(got) == text(registry._market(spark, sf).select(*got.columns))
+
+
+def test_tree_queries_take_every_series_and_all_trees(spark, sf, monkeypatch):
+    from barloom.operators import learn as L
+    from barloom.plans import registry
+
+    seen, small = [], L.gbt(trees=1)
+    walk, final = L.walk_forward, L.final_fit
+
+    def whole_walk(df, names, target, learner, **options):
+        seen.append((learner, options, df.groupBy("dataset", "fold").count().filter("fold IS NOT NULL").collect()))
+        return walk(df.filter("fold IS NULL OR fold = 0"), names, target, small, **options)
+
+    def whole_fit(features, rows, names, learner, **options):
+        seen.append((learner, options, rows.select("dataset").distinct().collect()))
+        return final(features, rows, names, small, **options)
+
+    monkeypatch.setattr(registry.L, "walk_forward", whole_walk)
+    monkeypatch.setattr(registry.L, "final_fit", whole_fit)
+    series = {r["dataset"] for r in registry._market(spark, sf).select("dataset").distinct().collect()}
+    for name in ("walk_forward_trees", "importance_trees", "latest_forecast_trees"):
+        assert {r["dataset"] for r in entry.queries()[name](spark, sf).select("dataset").collect()} == series
+        learner, options, rows = seen.pop()
+        assert learner == L.gbt() and learner.trees == 250 and not options and {r["dataset"] for r in rows} == series
+        assert all(r["count"] <= 63 for r in rows if name == "walk_forward_trees")
