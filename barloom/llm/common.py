@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -18,13 +19,19 @@ BROADCAST_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset (tests), one of our own."""
+    """The folder of spark.checkpoint.dir.
+
+    Where that is unset: a temporary folder if driver and executors are one process
+    (master local, as in tests), else a folder below the warehouse, which they share.
+    """
     where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    where = where or spark.conf.get("spark.barloom.scratch.dir", None)
     if not where:
-        where = spark.conf.get("spark.barloom.scratch.dir", None)
-        if not where:
+        if re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             where = "file://" + tempfile.mkdtemp(prefix="spark-barloom-")
-            spark.conf.set("spark.barloom.scratch.dir", where)
+        else:
+            where = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/barloom-scratch"
+        spark.conf.set("spark.barloom.scratch.dir", where)
     return where.rstrip("/")
 
 
@@ -46,8 +53,12 @@ def word_count(text: str | Column) -> Column:
 
 
 def maybe_broadcast(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
-    """A broadcast hint only where rows * row_bytes is below the fixed bound."""
-    return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
+    """Broadcast where rows * row_bytes is below the fixed bound, else joined by shuffle.
+
+    Beyond the bound Spark's own choice, which goes by the compressed size of staged
+    tables, is overruled too; adaptive execution splits skewed partitions.
+    """
+    return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df.hint("merge")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
