@@ -9,11 +9,12 @@ bucket can hold no more fingerprints than a ball of half the radius has points.
 
 A radius-2 ball over 64 bits has 2,081 points, too many rows to shuffle for
 fingerprints that have no partner at all. These are set aside without loss
-first: if two fingerprints differ in at most 4 bits, one of their 32-bit halves
-differs in at most 2, so the same ball hashing with a quarter of the radius (33
-variants) on each half, and again on the quarters of the other half (17 variants,
-for those that share a half's variant), keeps every fingerprint that can have a
-partner.
+first, by ball hashing of projections: the fingerprint is cut into three parts,
+and of two fingerprints that differ in at most 4 bits, some two of the parts
+together differ in at most 2 (the three pairs of parts share at most 8 differing
+bits). So a ball of radius 1 on each pair of parts, 3 x 44 variants, meets for all
+that have a partner. A pair of parts has 43 bits, so few meet by chance: about
+44 n / 2**43 for each variant of n fingerprints.
 """
 
 from __future__ import annotations
@@ -93,23 +94,25 @@ def _sharing(keys: DataFrame, by: list[str], tag: str) -> DataFrame:
     return keys.join(maybe_broadcast(shared, shared.count(), 8 * len(by) + 8), by, "left_semi")
 
 
-def _half(side: Column) -> Column:
-    low = F.col("fingerprint").bitwiseAND(F.lit(0xFFFFFFFF))
-    return F.when(side == 0, low).otherwise(F.shiftrightunsigned("fingerprint", 32))
+#: Bits of the first two of the three parts (the last has what remains), and of the widest pair of parts.
+_PART, _PAIR = 21, 43
+
+
+def _pairs_of_parts() -> Column:
+    """The three projections of a fingerprint, each on two of its parts."""
+    whole = F.col("fingerprint")
+    low, high = whole.bitwiseAND(F.lit((1 << _PART) - 1)), F.shiftrightunsigned(whole, 2 * _PART)
+    return F.array(whole.bitwiseAND(F.lit((1 << 2 * _PART) - 1)), F.shiftrightunsigned(whole, _PART), F.shiftleft(high, _PART).bitwiseOR(low))
 
 
 def with_possible_partner(distinct: DataFrame, radius: int) -> DataFrame:
-    """The fingerprints that share a half's variant with another and, with it, a variant of a quarter of the other half."""
-    sides = distinct.withColumn("_side", F.explode(F.array(F.lit(0), F.lit(1))))
-    keys = _ball(sides.withColumn("_half", _half(F.col("_side"))), 32, "_half", "_variant", radius // 4)
-    keys = keys.select(F.expr("_variant + shiftleft(cast(_side as long), 32)").alias("key"), "fingerprint")
-    near = _sharing(keys, ["key"], "halves")
-    other = _half(1 - F.shiftrightunsigned("key", 32))
-    parts = near.withColumn("_part", F.explode(F.array(F.lit(0), F.lit(1))))
-    parts = parts.withColumn("_quarter", F.when(F.col("_part") == 0, other.bitwiseAND(F.lit(0xFFFF))).otherwise(F.shiftrightunsigned(other, 16)))
-    parts = _ball(parts, 16, "_quarter", "_variant", radius // 4)
-    parts = parts.select("key", F.expr("_variant + shiftleft(cast(_part as long), 16)").alias("part"), "fingerprint")
-    return _sharing(parts, ["key", "part"], "quarters").select("fingerprint").distinct()
+    """The fingerprints that share a variant of a pair of parts with another one."""
+    # A round-robin deal: the staged table is small, and its 3 x 44 rows for each row are not.
+    spread = distinct.repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    sides = spread.select("fingerprint", F.posexplode(_pairs_of_parts()).alias("_side", "_pair"))
+    keys = _ball(sides, _PAIR, "_pair", "_variant", -(-(2 * radius // 3) // 2))
+    keys = keys.select(F.expr(f"_variant + shiftleft(cast(_side as long), {_PAIR})").alias("key"), "fingerprint")
+    return _sharing(keys, ["key"], "pairs").select("fingerprint").distinct()
 
 
 def links(distinct: DataFrame, radius: int = 4) -> DataFrame:
@@ -117,7 +120,7 @@ def links(distinct: DataFrame, radius: int = 4) -> DataFrame:
     if radius % 4:
         raise ValueError("radius must be a multiple of 4")
     possible = staged(with_possible_partner(distinct, radius), "possible")
-    spread = possible.repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fingerprint")
+    spread = possible.repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = _ball(spread, 64, "fingerprint", "variant", radius // 2)
     least = F.min("fingerprint").over(W.Window.partitionBy("variant"))
     edges = rows.withColumn("b", least).filter("fingerprint > b").select(F.col("fingerprint").alias("a"), "b").distinct()
