@@ -20,8 +20,7 @@ tf AS (SELECT doc_id, term, count(*) AS n FROM w GROUP BY doc_id, term),
 len AS (SELECT doc_id, CAST(sum(n) AS DOUBLE) AS length FROM tf GROUP BY doc_id),
 stats AS (SELECT CAST((SELECT count(*) FROM documents) AS DOUBLE) AS docs, (SELECT sum(length) FROM len) / (SELECT count(*) FROM documents) AS mean),
 idf AS (SELECT term, ln(1 + ((SELECT docs FROM stats) - count(*) + 0.5) / (count(*) + 0.5)) AS weight FROM tf GROUP BY term),
-q AS (SELECT doc_id AS query_id, term, weight FROM tf JOIN idf USING (term) WHERE doc_id % 50 = 0
-  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n * weight DESC, term) <= 16),
+q AS (SELECT doc_id AS query_id, term, weight FROM tf JOIN idf USING (term) WHERE doc_id % 50 = 0),
 hits AS (SELECT query_id, tf.doc_id, round(sum(weight * (n * 2.2 / (n + 1.2 * (0.25 + 0.75 * length / (SELECT mean FROM stats))))), 9) AS score
   FROM q JOIN tf USING (term) JOIN len ON tf.doc_id = len.doc_id GROUP BY query_id, tf.doc_id)
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM hits

@@ -364,7 +364,7 @@ def test_licenses(spark):
 def test_topk_equals_brute_force(spark):
     texts = prose(12, 400, words=200) + ODD + ["w1 w2 w3"] * 30
     df = docs(spark, texts)
-    out = topk.search(df, every=25, query_terms=6, k=5, docs_per_shard=90).collect()
+    out = topk.search(df, every=25, query_terms=6, k=5, segment_docs=30, shard_postings=2000).collect()
     bags = [Counter(w.decode() for w in licenses.normal_words(t)) for t in texts]
     n, mean = len(bags), sum(b.total() for b in bags) / len(bags)
     df_ = Counter(w for b in bags for w in b)
@@ -385,7 +385,7 @@ def test_topk_equals_brute_force(spark):
 def test_topk_asks_for_all_words(spark):
     """By default no word of a query text is left out."""
     texts = prose(13, 300, words=150) + ODD
-    out = topk.search(docs(spark, texts), every=25, k=5, docs_per_shard=90).collect()
+    out = topk.search(docs(spark, texts), every=25, k=5, segment_docs=30, shard_postings=2000).collect()
     bags = [Counter(w.decode() for w in licenses.normal_words(t)) for t in texts]
     n, mean = len(bags), sum(b.total() for b in bags) / len(bags)
     df_ = Counter(w for b in bags for w in b)
@@ -401,6 +401,38 @@ def test_topk_asks_for_all_words(spark):
         assert [(d, pytest.approx(s)) for _, d, s in got] == want
 
 
+@pytest.mark.parametrize("n_terms", [12, 150])
+def test_wand_reads_fewer_postings(n_terms):
+    """Words by a Zipf law: the search scores clearly fewer postings than there are, and finds the same."""
+    rng = np.random.default_rng(5)
+    n, words = 20000, 4000
+    chance = 1 / np.arange(1, words + 1)
+    bags = [np.unique(rng.choice(words, 120, p=chance / chance.sum()), return_counts=True) for _ in range(n)]
+    codes = np.concatenate([b[0] for b in bags])
+    order = np.argsort(codes, kind="stable")
+    docs, counts = np.repeat(np.arange(n), [len(b[0]) for b in bags])[order], np.concatenate([b[1] for b in bags])[order]
+    df = np.bincount(codes, minlength=words)
+    kept = np.flatnonzero(df)
+    ends = np.concatenate([[0], np.cumsum(df[kept])])
+    lengths, rank = np.array([b[1].sum() for b in bags], float), rng.permutation(n)
+    shard = topk.Shard(lengths, rank, ends, docs, counts, lengths.mean())
+    idf = np.log(1 + (n - df[kept] + 0.5) / (df[kept] + 0.5))
+    whole = 0
+    for _ in range(30):
+        asked = rng.permutation(np.searchsorted(kept, bags[rng.integers(n)][0]))[:n_terms]
+        score = np.zeros(n)
+        for c in asked:
+            at = slice(ends[c], ends[c + 1])
+            score[docs[at]] += idf[c] * (counts[at] * 2.2 / (counts[at] + shard.norm[docs[at]]))
+            whole += ends[c + 1] - ends[c]
+        score = np.round(score, 9)
+        want = np.lexsort((rank, -score))[:10]
+        places, best = shard.search(asked, idf[asked], 10)
+        assert np.abs(best - score[want][score[want] > 0]).max() < 2e-9
+        assert set(places) == set(want[score[want] > 0])
+    assert shard.read < 0.6 * whole
+
+
 # --- lines
 
 
