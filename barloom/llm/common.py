@@ -46,6 +46,18 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """These names, each with so many underscores before it that df has no column of the name."""
+    taken = {c.lower() for c in df.columns}
+    found = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
 def word_count(text: str | Column) -> Column:
     """Number of words (runs without ASCII white space); null text counts 0."""
     col = F.col(text) if isinstance(text, str) else text

@@ -32,10 +32,11 @@ def text_quality(text: str = "text") -> Column:
 
 
 def _keyed(df: DataFrame, id_col: str, text_col: str, source_col: str, quality: Column, seed: int) -> DataFrame:
-    """df with _size, _source and _key."""
+    """_row (all of df's columns), _doc, _size, _source and _key, so that no name of df's can clash."""
     bits = F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.xxhash64(text_col), F.lit(seed)), 11)
     uniform = (bits + F.lit(0.5)) * F.lit(2.0**-53)
-    return df.withColumns({"_size": word_count(text_col), "_source": F.col(source_col), "_key": -F.ln(uniform) / quality})
+    key = (-F.ln(uniform) / quality).alias("_key")
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.col(id_col).alias("_doc"), word_count(text_col).alias("_size"), F.col(source_col).alias("_source"), key)
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float] = (1, 2, 3), most_epochs: int = 3) -> DataFrame:
@@ -97,6 +98,7 @@ def _copies(rows: DataFrame, plan: DataFrame, edge: DataFrame, id_col: str, rows
     out = _with_plan(rows, plan, rows_per_bucket)
     out = out.join(edge, out[id_col].eqNullSafe(edge["_id"]) & (out["_key"] == edge["_edge"]), "left")
     picked = F.coalesce(F.col("_bucket") < F.col(_P + "cut"), F.lit(False)) | F.col("_edge").isNotNull()
+    picked = picked & (F.col(_P + "rest") > 0)  # else texts without words, which any budget holds, had one copy too many
     return out.withColumn("_copies", F.col(_P + "epochs") + picked.cast("long"))
 
 
@@ -121,12 +123,12 @@ def mix(
     columns are ignored. The same input gives the same result in any partitioning.
     """
     rows = _keyed(df, id_col, text_col, source_col, F.lit(1.0) if quality is None else quality, seed)
-    rows = staged(rows.select(id_col, "_source", "_size", "_key"), "sizes")
-    plan, edge = _plan(rows, id_col, weights, most_epochs, rows_per_bucket)
-    out = _copies(rows, plan, edge, id_col, rows_per_bucket)
+    rows = staged(rows.select("_doc", "_source", "_size", "_key"), "sizes")
+    plan, edge = _plan(rows, "_doc", weights, most_epochs, rows_per_bucket)
+    out = _copies(rows, plan, edge, "_doc", rows_per_bucket)
     plan_columns = [F.col(_P + c).alias(c) for c in ("source_size", "target")]
     taken = (F.col("_size") * F.col("_copies")).alias("taken")
-    return out.select(id_col, F.col("_source").alias("source"), F.col("_size").alias("size"), *plan_columns, F.col("_copies").alias("copies"), taken)
+    return out.select(F.col("_doc").alias(id_col), F.col("_source").alias("source"), F.col("_size").alias("size"), *plan_columns, F.col("_copies").alias("copies"), taken)
 
 
 def mixture(
@@ -140,10 +142,14 @@ def mixture(
     seed: int = 17,
     rows_per_bucket: int = 4096,
 ) -> DataFrame:
-    """The mix itself: each row of df as many times as mix() takes it, with df's columns. Texts are not shuffled."""
+    """The mix itself: each row of df as many times as mix() takes it, with df's columns. Texts are not shuffled.
+
+    Rows with null ids, texts or sources, ties and repeated rows are taken as mix()
+    takes them; a source without any words gives no rows; an empty table none.
+    """
     keyed = _keyed(df, id_col, text_col, source_col, F.lit(1.0) if quality is None else quality, seed)
-    rows = staged(keyed.select(id_col, "_source", "_size", "_key"), "sizes")
-    plan, edge = _plan(rows, id_col, weights, most_epochs, rows_per_bucket)
-    out = _copies(keyed, plan, edge, id_col, rows_per_bucket)
+    rows = staged(keyed.select("_doc", "_source", "_size", "_key"), "sizes")
+    plan, edge = _plan(rows, "_doc", weights, most_epochs, rows_per_bucket)
+    out = _copies(keyed, plan, edge, "_doc", rows_per_bucket)
     out = out.filter("_copies > 0").withColumn("_copy", F.explode(F.expr("sequence(1L, _copies)")))
-    return out.select(*df.columns)
+    return out.select("_row.*")
