@@ -26,12 +26,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.llm.common import maybe_broadcast, staged
+from barloom.llm.common import maybe_broadcast, staged, unused
 
 #: Odd multiplier of the rolling hash over words, and its inverse modulo 2**64.
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = np.uint64(pow(_BASE, -1, 1 << 64))
 _ROWS = 256
+#: Words of the shortest line that goes where it repeats, and of the shortest that goes for one word edit.
+MIN_WORDS, WORDS_PER_EDIT = 1, 10
 KEY = ("k1", "k2")
 _KEY_FIELDS = [T.StructField(k, T.LongType()) for k in KEY]
 
@@ -180,7 +182,7 @@ def near_repeats(df: DataFrame, text_col: str, found: DataFrame, distinct: DataF
     return pairs.filter(_one_edit("words", "other_words")).select(*KEY).distinct()
 
 
-def repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 5, words_per_edit: int = 10) -> DataFrame:
+def repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, words_per_edit: int = WORDS_PER_EDIT) -> DataFrame:
     """(doc, dropped): the line numbers, from 0, that each document loses; documents that lose none are absent."""
     found = staged(lines(df, id_col, text_col, min_words, words_per_edit), "lines")
     distinct = staged(found.groupBy(*KEY).agg(F.min(F.struct("doc", "line")).alias("first"), F.count("*").alias("n")), "distinct")
@@ -191,27 +193,32 @@ def repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return gone.groupBy("doc").agg(F.collect_set("line").alias("dropped"))
 
 
-def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 5, words_per_edit: int = 10, n_chars_col: str = "n_chars") -> DataFrame:
-    """df with repeated lines taken out of its texts, and n_lines and n_dropped added.
+def dedup_lines(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, words_per_edit: int = WORDS_PER_EDIT, n_chars_col: str = "n_chars", counts: tuple[str, str] | None = ("n_lines", "n_dropped")
+) -> DataFrame:
+    """df with repeated lines taken out of its texts, and the columns of counts (how many lines, how many dropped) added.
 
     Lines are separated by newlines, words by ASCII white space. Lines under
     min_words words always stay; lines of words_per_edit or more also go when an
     earlier line is one word edit away, whether that line stays or not. The first
     of equal lines stays. Every row stays, if need be with an empty text; null
     texts stay null; null ids come first in the order; rows with equal ids count
-    as one document. n_chars_col, where df has it, follows the new text.
+    as one document. n_chars_col, where df has it, follows the new text. Columns
+    of df with the names of counts are replaced; with counts None, df's columns
+    are all that is returned. An empty table gives an empty result.
     """
-    dropped = repeated_lines(df, id_col, text_col, min_words, words_per_edit).withColumnsRenamed({"doc": "_doc", "dropped": "_dropped"})
-    joined = df.join(dropped, df[id_col].eqNullSafe(dropped["_doc"]), "left").drop("_doc", "n_lines", "n_dropped")
-    names = [f.name for f in joined.schema.fields if f.name != "_dropped"]
-    schema = T.StructType([*(joined.schema[n] for n in names), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
+    doc, drop_col = unused(df, "doc", "dropped")
+    dropped = repeated_lines(df, id_col, text_col, min_words, words_per_edit).withColumnsRenamed({"doc": doc, "dropped": drop_col})
+    joined = df.join(dropped, df[id_col].eqNullSafe(dropped[doc]), "left").drop(doc, *(counts or ()))
+    names = [f.name for f in joined.schema.fields if f.name != drop_col]
+    schema = T.StructType([*(joined.schema[n] for n in names), *(T.StructField(n, T.LongType()) for n in counts or ())])
 
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
             for at in range(0, batch.num_rows, _ROWS):
                 part = batch.slice(at, _ROWS)
                 texts, totals, gone = [], [], []
-                for text, drop in zip(part.column(text_col).to_pylist(), part.column("_dropped").to_pylist(), strict=True):
+                for text, drop in zip(part.column(text_col).to_pylist(), part.column(drop_col).to_pylist(), strict=True):
                     split = [] if text is None else text.split("\n")
                     drop = set(drop or ())
                     texts.append("\n".join(x for i, x in enumerate(split) if i not in drop) if drop and text is not None else text)
@@ -220,6 +227,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
                 columns = {n: part.column(n) for n in names} | {text_col: pa.array(texts, pa.string())}
                 if n_chars_col in columns:
                     columns[n_chars_col] = pa.array([None if t is None else len(t) for t in texts], columns[n_chars_col].type)
-                yield pa.RecordBatch.from_arrays([*columns.values(), pa.array(totals, pa.int64()), pa.array(gone, pa.int64())], schema.names)
+                added = [pa.array(totals, pa.int64()), pa.array(gone, pa.int64())] if counts else []
+                yield pa.RecordBatch.from_arrays([*columns.values(), *added], schema.names)
 
     return joined.mapInArrow(batches, schema)

@@ -30,7 +30,7 @@ QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <=
 LINES = r"""
 WITH l AS (SELECT doc_id, generate_subscripts(parts, 1) - 1 AS line, unnest(parts) AS raw FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents)),
 s AS (SELECT *, regexp_extract_all(raw, '[^\x20\x09-\x0D]+') AS words FROM l),
-k AS (SELECT doc_id, line, words FROM s WHERE len(words) >= 5),
+k AS (SELECT doc_id, line, words FROM s WHERE len(words) >= 1),
 f AS (SELECT words, min(row(doc_id, line)) AS first FROM k GROUP BY words),
 v AS (SELECT words, first, place, array_to_string(words[:place - 1] || words[place + 1:], ' ') AS variant
   FROM (SELECT words, first, unnest(range(1, len(words) + 1)) AS place FROM f WHERE len(words) >= 10)),

@@ -441,7 +441,7 @@ def brute_lines(texts):
     for d, t in enumerate(texts):
         for n, line in enumerate((t or "").split("\n")):
             words = tuple(WORD.findall(line))
-            if len(words) >= 5:
+            if words:
                 occurs.append((d, n, words))
                 first.setdefault(words, (d, n))
 
