@@ -13,6 +13,10 @@ from barloom.llm.common import UPPER
 _UPPER, _DIGITS, _MARKS = UPPER.encode(), b"0123456789", b"#$%&*|!<>{}\\^~@_+="
 
 
+#: Steps by which the values of layout() become tokens.
+STEPS = (0.5, 0.02, 0.02, 0.01, 0.02, 0.5, 0.5, 0.05, 0.02)
+
+
 def layout(text: str | None) -> list[float]:
     """Shares of capitals, digits, marks and line ends, word and line lengths, and how often words repeat."""
     data = (text or "").encode("utf-8", "replace")
@@ -33,9 +37,11 @@ def layout(text: str | None) -> list[float]:
     ]
 
 
-def layouts(text: Column) -> Column:
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def shares(texts: pd.Series) -> pd.Series:
-        return pd.Series([layout(t) for t in texts])
+def layout_tokens(text: Column) -> Column:
+    """One token per value of layout(): which value, and how many whole steps it has."""
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def tokens(texts: pd.Series) -> pd.Series:
+        return pd.Series([[f"\x01{i}:{int(v / s)}" for i, (v, s) in enumerate(zip(layout(t), STEPS, strict=True))] for t in texts])
 
-    return shares(text)
+    return tokens(text)

@@ -1,11 +1,12 @@
 """Quality classifier by co-training two views of a document.
 
-The text view is a logistic regression over hashed words, the page view one over
-what is known without reading words: language, source, length and layout shares.
-Both start from a bounded sample of labelled documents. In each round, each view
-scores a bounded pool of unlabelled documents and hands its most confident
-pseudo-labels to the other. At the end, each view's log-odds are calibrated on
-held-out labelled documents (Platt scaling), and their mean scores all documents.
+The text view is a logistic regression over hashed words and layout shares of the
+text (binned into tokens), the page view one over what is known without reading
+it: language, source, bytes and lines. Both start from a bounded sample of labelled documents. In each
+round, each view scores all documents without a label and hands those it is most
+sure of, a share of them all, to the other as pseudo-labels. At the end a logistic
+regression on held-out labelled documents calibrates the views' log-odds and
+weighs them by likelihood; that scores all documents.
 """
 
 from __future__ import annotations
@@ -15,13 +16,13 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import FeatureHasher, HashingTF, VectorAssembler, VectorSizeHint
+from pyspark.ml.feature import FeatureHasher, HashingTF, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import staged
-from barloom.llm.layout import layout, layouts
+from barloom.llm.common import maybe_broadcast, staged, unused
+from barloom.llm.layout import layout_tokens
 
 #: Columns of our own carry this prefix and never reach a result.
 _P = "_quality_"
@@ -30,12 +31,14 @@ VIEWS = ("text", "page")
 
 @dataclass(frozen=True)
 class Fit:
-    """Bounds and settings of the fit; samples are the first rows in the order of a hash of their id."""
+    """Bound of the labelled sample (the first rows in the order of a hash of their id), and settings of the fit.
+
+    share: of the documents without a label, per class, view and round.
+    """
 
     labelled: int = 8000
-    pool: int = 8000
     rounds: int = 2
-    per_round: int = 400
+    share: float = 0.01
     confident: float = 0.95
     held_out: int = 5
     features: int = 1 << 14
@@ -46,18 +49,18 @@ class Fit:
 def _with_features(df: DataFrame, text_col: str, page_cols: list[str], features: int) -> DataFrame:
     """df with the vectors of both views; rows need nothing but themselves."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    out = df.withColumn(_P + "words", F.split(text, r"[\x20\x09-\x0D]+"))
-    out = out.withColumn(_P + "layout", array_to_vector(layouts(F.col(text_col))))
-    for c in page_cols:
-        out = out.withColumn(_P + c, F.coalesce(F.col(c).cast("string"), F.lit("")))
-    stages = [HashingTF(inputCol=_P + "words", outputCol=_P + "text", numFeatures=features, binary=True)]
-    if page_cols:
-        stages.append(FeatureHasher(inputCols=[_P + c for c in page_cols], outputCol=_P + "known", numFeatures=128))
-    stages.append(VectorSizeHint(inputCol=_P + "layout", size=len(layout("")), handleInvalid="optimistic"))
-    joined = [_P + "layout", *([_P + "known"] if page_cols else [])]
-    stages.append(VectorAssembler(inputCols=joined, outputCol=_P + "page"))
+    out = df.withColumn(_P + "split", F.concat(F.split(text, r"[\x20\x09-\x0D]+"), layout_tokens(F.col(text_col))))
+    lines = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit("")))
+    out = out.withColumns({_P + "bytes": F.log1p(F.octet_length(text)), _P + "lines": F.log1p(lines)})
+    known = [f"{_P}known{i}" for i in range(len(page_cols))]
+    for name, c in zip(known, page_cols, strict=True):
+        out = out.withColumn(name, F.coalesce(F.col(c).cast("string"), F.lit("")))
+    stages = [HashingTF(inputCol=_P + "split", outputCol=_P + "text", numFeatures=features, binary=True)]
+    if known:
+        stages.append(FeatureHasher(inputCols=known, outputCol=_P + "known", numFeatures=128))
+    stages.append(VectorAssembler(inputCols=[*([_P + "known"] if known else []), _P + "bytes", _P + "lines"], outputCol=_P + "page"))
     out = PipelineModel(stages).transform(out)
-    return out.drop(_P + "words", _P + "layout", _P + "known", *[_P + c for c in page_cols])
+    return out.drop(*known, *[_P + c for c in ("split", "known", "bytes", "lines")])
 
 
 def _fit_view(view: str, rows: DataFrame, settings: Fit) -> LogisticRegressionModel:
@@ -73,13 +76,13 @@ def _odds(model: LogisticRegressionModel, df: DataFrame, view: str, out: str) ->
     return model.transform(df).withColumn(out, vector_to_array(_P + "raw")[1]).drop(_P + "raw")
 
 
-def _calibrated(held: DataFrame, odds: str) -> tuple[float, float]:
-    """Slope and intercept of Platt scaling; (1, 0) where the held-out rows lack a class."""
+def _calibrated(held: DataFrame, odds: list[str]) -> tuple[list[float], float]:
+    """Slopes and intercept of a logistic regression of the label on these log-odds; their mean where a class is missing."""
     if held.select("label").distinct().count() < 2:
-        return 1.0, 0.0
-    rows = held.withColumn("x", array_to_vector(F.array(F.col(odds))))
+        return [1.0 / len(odds)] * len(odds), 0.0
+    rows = held.withColumn("x", array_to_vector(F.array(*odds)))
     model = LogisticRegression(featuresCol="x", labelCol="label", maxIter=50, regParam=1e-3).fit(rows)
-    return float(model.coefficients[0]), float(model.intercept)
+    return [float(c) for c in model.coefficients], float(model.intercept)
 
 
 @dataclass(frozen=True)
@@ -87,8 +90,8 @@ class Views:
     """The fitted views with their calibration; none where there was nothing to learn from."""
 
     models: dict[str, LogisticRegressionModel]
-    scales: dict[str, tuple[float, float]]
-    settings: Fit
+    #: Slopes and intercept by name of a score: of each view on its own, and of both together.
+    scales: dict[str, tuple[list[float], float]]
 
 
 def _hash_order(id_col: str, seed: int) -> list[Column]:
@@ -96,34 +99,42 @@ def _hash_order(id_col: str, seed: int) -> list[Column]:
 
 
 def fit(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, page_cols: list[str], label_col: str, settings: Fit) -> Views:
-    ids = df.select(F.col(id_col).alias("_id")).filter("_id IS NOT NULL")
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).alias("label")).dropna()
-    known = known.groupBy("_id").agg((F.avg("label") >= 0.5).cast("double").alias("label"))
+    known = staged(known.groupBy("_id").agg((F.avg("label") >= 0.5).cast("double").alias("label")), "labels")
     sample = known.orderBy(*_hash_order("_id", 1)).limit(settings.labelled)
-    pool = ids.join(known, "_id", "left_anti").distinct().orderBy(*_hash_order("_id", 2)).limit(settings.pool)
-    # at most settings.labelled + settings.pool rows of an id and a label
-    chosen = F.broadcast(staged(sample.unionByName(pool.withColumn("label", F.lit(None).cast("double"))), "sample"))
-    rows = df.select(id_col, text_col, *page_cols).join(chosen, df[id_col] == chosen["_id"])
-    rows = _with_features(rows, text_col, page_cols, settings.features).select("_id", "label", *[_P + v for v in VIEWS])
-    rows = staged(rows.coalesce(8), "features").withColumn("_part", F.pmod(F.xxhash64("_id", F.lit(3)), F.lit(settings.held_out)))
-    learn, held, free = rows.filter("label IS NOT NULL AND _part > 0"), rows.filter("label IS NOT NULL AND _part = 0"), rows.filter("label IS NULL")
+    sample = staged(sample.withColumn("_part", F.pmod(F.xxhash64("_id", F.lit(3)), F.lit(settings.held_out))), "sample")
+    if sample.filter("_part > 0").select("label").distinct().count() < 2:
+        return Views({}, {})
+    page = [f"_known{i}" for i in range(len(page_cols))]
+    docs = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *[F.col(c).alias(p) for c, p in zip(page_cols, page, strict=True)]).filter("_id IS NOT NULL")
+
+    def features(rows: DataFrame) -> DataFrame:
+        return _with_features(rows, "_text", page, settings.features).drop("_text", *page)
+
+    # at most settings.labelled rows of an id and a label
+    rows = staged(features(docs.join(F.broadcast(sample), "_id")), "labelled")
+    learn, held = rows.filter("_part > 0").drop("_part"), rows.filter("_part = 0")
     if learn.select("label").distinct().count() < 2:
-        return Views({}, {}, settings)
+        return Views({}, {})
     taught = {v: learn.select("_id", "label", _P + v) for v in VIEWS}
     models = {v: _fit_view(v, taught[v], settings) for v in VIEWS}
+    if settings.rounds:
+        # All documents without a label; a document of the sample's overflow has one and is left out too.
+        free = docs.join(maybe_broadcast(known.select("_id"), known.count(), 16), "_id", "left_anti")
+        free = staged(features(free), "unlabelled")
     edge = float(np.log(settings.confident / (1 - settings.confident)))
-    used = {v: None for v in VIEWS}
     for _ in range(settings.rounds):
+        more = {}
         for teacher, pupil in (VIEWS, VIEWS[::-1]):
-            left = free if used[pupil] is None else free.join(F.broadcast(used[pupil].select("_id")), "_id", "left_anti")
-            said = _odds(models[teacher], left, teacher, "odds").withColumn("label", (F.col("odds") > 0).cast("double"))
-            sure = said.filter(F.abs("odds") >= edge).select("_id", "label", "odds", _P + pupil)
-            new = [sure.filter(F.col("label") == k).orderBy(F.abs("odds").desc(), "_id").limit(settings.per_round).drop("odds") for k in (0.0, 1.0)]
-            new = staged(new[0].unionByName(new[1]), "pseudo-labels")
-            used[pupil] = new if used[pupil] is None else used[pupil].unionByName(new)
-        models = {v: _fit_view(v, taught[v].unionByName(used[v]), settings) for v in VIEWS}
-    scales = {v: _calibrated(_odds(models[v], held, v, "odds"), "odds") for v in VIEWS}
-    return Views(models, scales, settings)
+            said = _odds(models[teacher], free, teacher, "odds").withColumn("label", (F.col("odds") > 0).cast("double"))
+            ends = said.agg(F.percentile_approx("odds", F.array(F.lit(settings.share), F.lit(1 - settings.share)), 10000).alias("of")).first()["of"] or [0.0, 0.0]
+            sure = (F.col("odds") <= min(ends[0], -edge)) | (F.col("odds") >= max(ends[1], edge))
+            more[pupil] = staged(said.filter(sure).select("_id", "label", _P + pupil), "pseudo-labels")
+        models = {v: _fit_view(v, taught[v].unionByName(more[v]), settings) for v in VIEWS}
+    for v in VIEWS:
+        held = _odds(models[v], held, v, _P + v + "odds")
+    held = staged(held.select("label", *[_P + v + "odds" for v in VIEWS]), "held-out")
+    return Views(models, {"text": _calibrated(held, [_P + "textodds"]), "page": _calibrated(held, [_P + "pageodds"]), "both": _calibrated(held, [_P + v + "odds" for v in VIEWS])})
 
 
 def classify(
@@ -135,26 +146,36 @@ def classify(
     label_col: str = "quality",
     threshold: float = 0.5,
     settings: Fit = Fit(),
+    names: tuple[str, str, str, str] = ("text_score", "page_score", "score", "keep"),
 ) -> DataFrame:
     """df with text_score, page_score and score (calibrated chances that the label is 1) and keep (score >= threshold).
 
     Every row is scored from its whole text; nothing is shuffled for that. Null and
-    empty texts score like any other. Repeated labels of one id are averaged;
-    labels without a document and nulls are left out. Where the labelled sample
-    has fewer than two classes (no labels, an empty table) nothing can be learnt:
-    all scores are 1 and every row stays. Columns of df with the new names are replaced.
+    empty texts, null ids and repeated rows score like any other. Repeated labels of
+    one id are averaged; labels without a document and nulls are left out. Where the
+    labelled sample has fewer than two classes (no labels, an empty table) nothing
+    can be learnt: all scores are 1 and every row stays. Columns of df with the new
+    names are replaced; other names can be given for them.
     """
     page = [c for c in page_cols if c in df.columns]
-    df = df.drop("text_score", "page_score", "score", "keep")
+    df = df.drop(*names)
     views = fit(df, labels, id_col, text_col, page, label_col, settings)
     if not views.models:
-        return df.withColumns({"text_score": F.lit(1.0), "page_score": F.lit(1.0), "score": F.lit(1.0), "keep": F.lit(True)})
+        return df.withColumns({n: F.lit(1.0) for n in names[:3]} | {names[3]: F.lit(True)})
     out = _with_features(df, text_col, page, settings.features)
-    chance = lambda odds: F.lit(1.0) / (F.lit(1.0) + F.exp(-odds))
-    odds = {}
     for v in VIEWS:
-        slope, intercept = views.scales[v]
         out = _odds(views.models[v], out, v, _P + v + "odds").drop(_P + v)
-        odds[v] = F.greatest(F.least(F.col(_P + v + "odds") * slope + intercept, F.lit(30.0)), F.lit(-30.0))
-    out = out.withColumns({"text_score": chance(odds["text"]), "page_score": chance(odds["page"]), "score": chance((odds["text"] + odds["page"]) / 2)})
-    return out.withColumn("keep", F.col("score") >= threshold).drop(*[_P + v + "odds" for v in VIEWS])
+
+    def chance(name: str, *views_used: str) -> Column:
+        slopes, intercept = views.scales[name]
+        odds = sum((F.col(_P + v + "odds") * slope for v, slope in zip(views_used, slopes, strict=True)), F.lit(intercept))
+        return F.lit(1.0) / (F.lit(1.0) + F.exp(-F.greatest(F.least(odds, F.lit(30.0)), F.lit(-30.0))))
+
+    out = out.withColumns({names[0]: chance("text", "text"), names[1]: chance("page", "page"), names[2]: chance("both", *VIEWS)})
+    return out.withColumn(names[3], F.col(names[2]) >= threshold).drop(*[_P + v + "odds" for v in VIEWS])
+
+
+def good(df: DataFrame, labels: DataFrame, **options: object) -> DataFrame:
+    """The rows of df that classify() keeps, with df's columns."""
+    names = unused(df, "text_score", "page_score", "score", "keep")
+    return classify(df, labels, names=tuple(names), **options).filter(F.col(names[3])).select(*[F.col(f"`{c}`") for c in df.columns])
