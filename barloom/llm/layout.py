@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barloom.llm.common import UPPER
 
+_ROWS = 256
 _UPPER, _DIGITS, _MARKS = UPPER.encode(), b"0123456789", b"#$%&*|!<>{}\\^~@_+="
 
 
@@ -40,8 +41,9 @@ def layout(text: str | None) -> list[float]:
 def layout_tokens(text: Column) -> Column:
     """One token per value of layout(): which value, and how many whole steps it has."""
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def tokens(texts: pd.Series) -> pd.Series:
-        return pd.Series([[f"\x01{i}:{int(v / s)}" for i, (v, s) in enumerate(zip(layout(t), STEPS, strict=True))] for t in texts])
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def tokens(texts: pa.Array) -> pa.Array:
+        parts = (texts.slice(at, _ROWS).to_pylist() for at in range(0, len(texts), _ROWS))
+        return pa.array([[f"\x01{i}:{int(v / s)}" for i, (v, s) in enumerate(zip(layout(t), STEPS, strict=True))] for part in parts for t in part], pa.list_(pa.string()))
 
     return tokens(text)
