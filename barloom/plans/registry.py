@@ -158,7 +158,7 @@ def csv_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.schema(BARS).parquet(table).select(*BARS.names)
 
 
-@query(f"WITH {D.MAIN_MARKET} SELECT * FROM market WHERE dataset = 'A'")
+@query(f"WITH {D.MAIN_MARKET} SELECT * FROM market")
 def market_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     """All main series written as one CSV result, partitioned by dataset, and each read back as a market frame."""
     where = scratch_path(spark, "market") + ".csv"
