@@ -294,6 +294,42 @@ def test_links_equal_brute_force_in_dense_clusters(spark):
     assert [roots.get(p, p) for p in prints] == [prints[w] for w in want]
 
 
+def test_links_equal_brute_force_at_random(spark):
+    """20,000 fingerprints, some moved by 1 to 5 bits; pairs within 4 bits by pigeonhole: one of five parts is equal."""
+    rng = random.Random(31)
+    prints = [rng.getrandbits(64) for _ in range(20000)]
+    for p in prints[:400]:
+        prints.append(p ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 5))))
+    prints = sorted({p - 2**64 if p >= 2**63 else p for p in prints})
+    want, parts = set(), {}
+    for p in prints:
+        for i in range(5):
+            parts.setdefault((i, (p % 2**64) >> 13 * i & 0x1FFF), []).append(p)
+    for bucket in parts.values():
+        own = np.array(bucket, np.int64).view(np.uint64)
+        for i in range(1, len(own)):
+            for j in np.flatnonzero(np.bitwise_count(own[:i] ^ own[i]) <= 4):
+                want.add((max(bucket[i], bucket[j]), min(bucket[i], bucket[j])))
+    nodes = spark.createDataFrame([(p,) for p in prints], "fingerprint long")
+    assert {(r["a"], r["b"]) for r in simhash.links(nodes).collect()} == want and len(want) > 250
+
+
+def test_mixture_keeps_clashing_columns_and_wordless_copies(spark):
+    names = ["_size", "_source", "_key", "_row", "_doc", "_copies", "_bucket"]
+    df = docs(spark, ["a b c"] * 40 + ["", None], lambda i: "s").withColumns({n: F.lit(n) for n in names})
+    got = mixing.mixture(df, weights=(1,), rows_per_bucket=4).collect()
+    assert all(r[n] == n for r in got for n in names)
+    small = docs(spark, ["w " * 1000] * 4 + ["x y", "", " "], lambda i: "a" if i < 4 else "b")
+    copies = {r["doc_id"]: r["copies"] for r in mixing.mix(small, rows_per_bucket=2).collect()}
+    assert max(copies[i] for i in (4, 5, 6)) == 3
+
+
+def test_lines_keep_clashing_columns(spark):
+    df = docs(spark, ["one line\none line", None, ""]).withColumns({n: F.lit(n) for n in ("_doc", "_dropped", "doc", "dropped", "n_lines")})
+    out = by_id(lines.dedup_lines(df, counts=None))
+    assert out[0]["text"] == "one line" and all(r[n] == n for r in out.values() for n in ("_doc", "_dropped", "doc", "dropped", "n_lines"))
+
+
 def test_one_per_group_stays(spark):
     texts = ["a b c d e f g"] * 3 + ["something else entirely, it is"] + ODD
     df = docs(spark, texts)
