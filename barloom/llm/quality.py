@@ -27,6 +27,8 @@ from barloom.llm.layout import layout_tokens
 #: Columns of our own carry this prefix and never reach a result.
 _P = "_quality_"
 VIEWS = ("text", "page")
+#: Held-out rows of each class without which weights and intercept would be guesses.
+LEAST_HELD = 30
 
 
 @dataclass(frozen=True)
@@ -77,8 +79,9 @@ def _odds(model: LogisticRegressionModel, df: DataFrame, view: str, out: str) ->
 
 
 def _calibrated(held: DataFrame, odds: list[str]) -> tuple[list[float], float]:
-    """Slopes and intercept of a logistic regression of the label on these log-odds; their mean where a class is missing."""
-    if held.select("label").distinct().count() < 2:
+    """Slopes and intercept of a logistic regression of the label on these log-odds; their mean where a class has under LEAST_HELD rows."""
+    n = [r["count"] for r in held.groupBy("label").count().collect()]  # two rows
+    if len(n) < 2 or min(n) < LEAST_HELD:
         return [1.0 / len(odds)] * len(odds), 0.0
     rows = held.withColumn("x", array_to_vector(F.array(*odds)))
     model = LogisticRegression(featuresCol="x", labelCol="label", maxIter=50, regParam=1e-3).fit(rows)
