@@ -79,10 +79,10 @@ def _odds(model: LogisticRegressionModel, df: DataFrame, view: str, out: str) ->
 
 
 def _calibrated(held: DataFrame, odds: list[str]) -> tuple[list[float], float]:
-    """Slopes and intercept of a logistic regression of the label on these log-odds; their mean where a class has under LEAST_HELD rows."""
+    """Slopes and intercept of a logistic regression of the label on these log-odds; the first alone where a class has under LEAST_HELD rows."""
     n = [r["count"] for r in held.groupBy("label").count().collect()]  # two rows
-    if len(n) < 2 or min(n) < LEAST_HELD:
-        return [1.0 / len(odds)] * len(odds), 0.0
+    if len(n) < 2 or min(n) < LEAST_HELD:  # the text view alone decides
+        return [1.0, *[0.0] * (len(odds) - 1)], 0.0
     rows = held.withColumn("x", array_to_vector(F.array(*odds)))
     model = LogisticRegression(featuresCol="x", labelCol="label", maxIter=50, regParam=1e-3).fit(rows)
     return [float(c) for c in model.coefficients], float(model.intercept)
