@@ -1,49 +1,41 @@
-"""Layout shares of a text, kept apart from the learners so that Python workers load little."""
+"""Layout shares of a text as column expressions."""
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from barloom.llm.common import UPPER
-
-_ROWS = 256
-_UPPER, _DIGITS, _MARKS = UPPER.encode(), b"0123456789", b"#$%&*|!<>{}\\^~@_+="
 
+_SPACE = r"\x20\x09-\x0D"
 
 #: Steps by which the values of layout() become tokens.
 STEPS = (0.5, 0.02, 0.02, 0.01, 0.02, 0.5, 0.5, 0.05, 0.02)
 
 
-def layout(text: str | None) -> list[float]:
-    """Shares of capitals, digits, marks and line ends, word and line lengths, and how often words repeat."""
-    data = (text or "").encode("utf-8", "replace")
-    words = data.split()
-    size, n = max(1, len(data)), max(1, len(words))
-    share = lambda which: (len(data) - len(data.translate(None, which))) / size
-    ends = data.count(b"\n")
+def layout(text: Column, split: Column) -> list[Column]:
+    """Shares of capitals, digits, marks and line ends, word and line lengths, and how often words repeat.
+
+    text is not null; split is text split at white space, empty strings included.
+    """
+    size = F.octet_length(text)
+    per_byte = F.greatest(size, F.lit(1))
+    share = lambda which: (size - F.octet_length(F.regexp_replace(text, f"[{which}]+", ""))) / per_byte
+    words = F.greatest(F.size(F.array_remove(split, "")), F.lit(1))
+    ends = size - F.octet_length(F.replace(text, F.lit("\n"), F.lit("")))
+    doubled = F.regexp_count(text, F.lit(rf"(?<![^{_SPACE}])([^{_SPACE}]++)(?=[{_SPACE}]+\1(?![^{_SPACE}]))"))
     return [
-        float(np.log1p(len(data))),
-        share(_UPPER),
-        share(_DIGITS),
-        share(_MARKS),
-        ends / n,
-        size / n,
-        float(np.log1p(n / (ends + 1))),
-        len(set(words)) / n,
-        sum(a == b for a, b in zip(words, words[1:], strict=False)) / n,
+        F.log1p(size),
+        share("A-Z"),
+        share("0-9"),
+        share(r"#$%&*|!<>{}\\^~@_+="),
+        ends / words,
+        per_byte / words,
+        F.log1p(words / (ends + 1)),
+        F.size(F.array_remove(F.array_distinct(split), "")) / words,
+        doubled / words,
     ]
 
 
-def layout_tokens(text: Column) -> Column:
+def layout_tokens(text: Column, split: Column) -> Column:
     """One token per value of layout(): which value, and how many whole steps it has."""
-
-    @F.arrow_udf(T.ArrayType(T.StringType()))
-    def tokens(texts: pa.Array) -> pa.Array:
-        parts = (texts.slice(at, _ROWS).to_pylist() for at in range(0, len(texts), _ROWS))
-        return pa.array([[f"\x01{i}:{int(v / s)}" for i, (v, s) in enumerate(zip(layout(t), STEPS, strict=True))] for part in parts for t in part], pa.list_(pa.string()))
-
-    return tokens(text)
+    values = zip(layout(text, split), STEPS, strict=True)
+    return F.array(*[F.concat(F.lit(f"\x01{i}:"), (v / s).cast("long").cast("string")) for i, (v, s) in enumerate(values)])

@@ -51,7 +51,8 @@ class Fit:
 def _with_features(df: DataFrame, text_col: str, page_cols: list[str], features: int) -> DataFrame:
     """df with the vectors of both views; rows need nothing but themselves."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    out = df.withColumn(_P + "split", F.concat(F.split(text, r"[\x20\x09-\x0D]+"), layout_tokens(F.col(text_col))))
+    words = F.split(text, r"[\x20\x09-\x0D]+")
+    out = df.withColumn(_P + "split", F.concat(words, layout_tokens(text, words)))
     lines = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit("")))
     out = out.withColumns({_P + "bytes": F.log1p(F.octet_length(text)), _P + "lines": F.log1p(lines)})
     known = [f"{_P}known{i}" for i in range(len(page_cols))]

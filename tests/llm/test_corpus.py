@@ -13,7 +13,7 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from barloom.llm import bpe, licenses, lines, mixing, mpeg, quality, secrets, shingles, simhash, topk, warc
+from barloom.llm import bpe, layout, licenses, lines, mixing, mpeg, quality, secrets, shingles, simhash, topk, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n long, score double, key string, ids string"
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
@@ -138,6 +138,25 @@ def test_warc_rejects_magic_in_payloads(spark, tmp_path):
     assert warc.read(spark, str(tmp_path / "none")).count() == 0
 
 
+# --- layout
+
+
+def test_layout_equals_python(spark):
+    texts = [t or "" for t in ODD] + [*prose(3, 20, 5), "a a a b\nB B\n\n#! {x} 12", "\x0bla la\x0cla", "x" * 3 + " xx x", "\U0001f600 \U0001f600"]
+    df = docs(spark, texts)
+    words = F.split("text", r"[\x20\x09-\x0D]+")
+    found = by_id(df.select("doc_id", F.array(*[c.cast("double") for c in layout.layout(F.col("text"), words)]).alias("of"), layout.layout_tokens(F.col("text"), words).alias("tokens")))
+    for i, text in enumerate(texts):
+        data = text.encode()
+        own = data.split()
+        size, n, ends = max(1, len(data)), max(1, len(own)), data.count(b"\n")
+        share = lambda which: sum(b in which for b in data) / size  # noqa: B023, E731
+        twice = sum(a == b for a, b in zip(own, own[1:]))
+        of = [math.log1p(len(data)), share(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"), share(b"0123456789"), share(b"#$%&*|!<>{}\\^~@_+="), ends / n, size / n, math.log1p(n / (ends + 1)), len(set(own)) / n, twice / n]
+        assert found[i]["of"] == pytest.approx(of)
+        assert len(found[i]["tokens"]) == len(of)
+
+
 # --- media
 
 
