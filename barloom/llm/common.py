@@ -14,6 +14,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
+#: Bytes of an Arrow batch of whole texts, where the session leaves Spark's default.
+BATCH_BYTES = "8m"
+
 #: Tables up to this many bytes (rows times a stated row width) may be broadcast.
 BROADCAST_BYTES = 8 << 20
 
@@ -73,5 +76,13 @@ def maybe_broadcast(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df.hint("merge")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of 8 MB in place of 64: rows are whole texts, and a worker holds a batch several times over."""
+    of = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.sparkContext.getConf().get(of) is None:
+        spark.conf.set(of, BATCH_BYTES)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
