@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.common import maybe_broadcast, staged, unused
-from barloom.llm.layout import layout_tokens
+from barloom.llm.layout import words_and_layout
 
 #: Columns of our own carry this prefix and never reach a result.
 _P = "_quality_"
@@ -51,8 +51,7 @@ class Fit:
 def _with_features(df: DataFrame, text_col: str, page_cols: list[str], features: int) -> DataFrame:
     """df with the vectors of both views; rows need nothing but themselves."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    words = F.split(text, r"[\x20\x09-\x0D]+")
-    out = df.withColumn(_P + "split", F.concat(words, layout_tokens(text, words)))
+    out = df.withColumn(_P + "split", words_and_layout(text))
     lines = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit("")))
     out = out.withColumns({_P + "bytes": F.log1p(F.octet_length(text)), _P + "lines": F.log1p(lines)})
     known = [f"{_P}known{i}" for i in range(len(page_cols))]

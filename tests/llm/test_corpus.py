@@ -145,7 +145,7 @@ def test_layout_equals_python(spark):
     texts = [t or "" for t in ODD] + [*prose(3, 20, 5), "a a a b\nB B\n\n#! {x} 12", "\x0bla la\x0cla", "x" * 3 + " xx x", "\U0001f600 \U0001f600"]
     df = docs(spark, texts)
     words = F.split("text", r"[\x20\x09-\x0D]+")
-    found = by_id(df.select("doc_id", F.array(*[c.cast("double") for c in layout.layout(F.col("text"), words)]).alias("of"), layout.layout_tokens(F.col("text"), words).alias("tokens")))
+    found = by_id(df.select("doc_id", F.array(*[c.cast("double") for c in layout.layout(F.col("text"), words, layout.n_words(words))]).alias("of"), layout.words_and_layout(F.col("text")).alias("tokens")))
     for i, text in enumerate(texts):
         data = text.encode()
         own = data.split()
@@ -154,7 +154,8 @@ def test_layout_equals_python(spark):
         twice = sum(a == b for a, b in zip(own, own[1:]))
         of = [math.log1p(len(data)), share(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"), share(b"0123456789"), share(b"#$%&*|!<>{}\\^~@_+="), ends / n, size / n, math.log1p(n / (ends + 1)), len(set(own)) / n, twice / n]
         assert found[i]["of"] == pytest.approx(of)
-        assert len(found[i]["tokens"]) == len(of)
+        steps = [f"\x01{j}:{int(v / s)}" for j, (v, s) in enumerate(zip(found[i]["of"], layout.STEPS))]
+        assert found[i]["tokens"] == [*re.split(r"[\x20\x09-\x0d]+", text), *steps]
 
 
 # --- media
