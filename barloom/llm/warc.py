@@ -17,9 +17,11 @@ from pyspark.sql.window import Window as W
 from barloom.llm.common import fresh_path, maybe_broadcast, staged
 
 VERSION = "WARC/1.1\r\n"
+#: How the version lines of WARC/1.0 and 1.1 begin; the minor digit stays with the record.
+MAGIC = "WARC/1."
 BLANK = "\r\n\r\n"
-#: What stands between the end of a record's block and the line after the next record's version line.
-SEPARATOR = BLANK + VERSION
+#: What stands between the end of a record's block and the minor digit of the next record's version.
+SEPARATOR = BLANK + MAGIC
 #: Payloads below this many bytes are never written as revisits.
 SMALL = 1000
 
@@ -75,10 +77,11 @@ def _bytes_after(data: Column, skip: Column) -> Column:
 
 
 def pieces(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Archives cut wherever a record could begin: (seq, file, piece), and the candidates (seq, file, at, succ).
+    """Archives cut wherever a record could begin: (seq, file, piece), and the candidates (seq, file, at, succ, total).
 
     at is the byte offset in the (unpacked) file; succ, where the successor would
-    begin that the candidate's header announces, null where it announces none.
+    begin that the candidate's header announces, null where it announces none; total,
+    the file's bytes.
     """
     lines = spark.read.option("lineSep", SEPARATOR).text(path)
     lines = lines.select(
@@ -96,14 +99,16 @@ def pieces(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     narrow = lines.select("file", "block", "seq", "size", "length").withColumn("upto", F.sum(F.col("size") + len(SEPARATOR)).over(in_block))
     blocks = narrow.groupBy("file", "block").agg(F.max("upto").alias("all"))
     offset = F.sum("all").over(W.partitionBy("file").orderBy("block")) - F.col("all")
-    blocks = blocks.select("file", "block", offset.alias("offset"))
+    # No separator follows a file's last piece.
+    total = F.sum("all").over(W.partitionBy("file")) - len(SEPARATOR)
+    blocks = blocks.select("file", "block", offset.alias("offset"), total.alias("total"))
     placed = narrow.join(blocks.hint("merge"), ["file", "block"])
     # Offsets are those of version lines; a file begins with one that no separator cuts off.
-    start = F.col("offset") + F.col("upto") - F.col("size") - len(VERSION) - len(SEPARATOR)
+    start = F.col("offset") + F.col("upto") - F.col("size") - len(MAGIC) - len(SEPARATOR)
     first = (F.col("offset") + F.col("upto")) == F.col("size") + len(SEPARATOR)
     at = F.when(first, F.lit(0)).otherwise(start)
-    ahead = F.when(first, 0).otherwise(len(VERSION))
-    placed = placed.select("seq", "file", at.alias("at"), (at + ahead + F.col("length")).alias("succ"))
+    ahead = F.when(first, 0).otherwise(len(MAGIC))
+    placed = placed.select("seq", "file", at.alias("at"), (at + ahead + F.col("length")).alias("succ"), "total")
     return lines.select("seq", "file", "piece"), staged(placed, "placed")
 
 
@@ -121,11 +126,13 @@ def reachable(candidates: DataFrame) -> DataFrame:
     return table.filter("reached").select("file", "at")
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
+def read(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     """One row per record: file, offset, type, record_id, target_uri, refers_to, payload_digest (as written), payload.
 
-    Version lines inside payloads are not records. A chain that breaks off (a
-    damaged file) ends its file's records there. An empty folder of archives gives
+    Archives are WARC/1.0 or 1.1. Version lines inside payloads are not records.
+    Where a file's chain doesn't end with the file (it is cut short or damaged),
+    ValueError is raised, or, if not strict, its records end there; what follows
+    belongs to the last one and is left out. An empty folder of archives gives
     no rows. Only records whose payload holds version lines are put together from
     several pieces, which is a shuffle of those records alone.
     """
@@ -133,6 +140,11 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     chain = reachable(placed).withColumn("real", F.lit(True))
     owner = F.max(F.when(F.col("real"), F.col("at"))).over(W.partitionBy("file").orderBy("at"))
     marked = staged(placed.join(chain.hint("merge"), ["file", "at"], "left").withColumn("owner", owner), "owners")
+    if strict:
+        ends = marked.groupBy("file").agg(F.max_by(F.when(F.col("real"), F.col("succ")), F.when(F.col("real"), F.col("at"))).alias("end"), F.max("total").alias("total"))
+        bad = ends.filter(~F.col("end").eqNullSafe(F.col("total"))).agg(F.count("*").alias("n"), F.min_by(F.struct("file", "end", "total"), "file").alias("first")).first()
+        if bad["n"]:
+            raise ValueError(f"{bad['n']} archives end before or after their last record, such as {bad['first']['file']}: {bad['first']['total']} bytes, records up to {bad['first']['end']}")
     false = marked.filter("real IS NULL").select("file", F.coalesce("owner", F.lit(-1)).alias("owner")).distinct()
     broken = marked.select("seq", "file", "at", F.coalesce("owner", F.lit(-1)).alias("owner")).join(false, ["file", "owner"], "left_semi")
     broken = staged(broken, "broken")

@@ -138,6 +138,26 @@ def test_warc_rejects_magic_in_payloads(spark, tmp_path):
     assert warc.read(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_warc_reads_foreign_archives_and_tells_of_broken_ones(spark, tmp_path):
+    def record(kind, block, version):
+        return f"WARC/1.{version}\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:x:{kind}>\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+    fake = record("response", b"abc", 0)
+    blocks = [("warcinfo", b"software: x\r\n"), ("request", b"GET / HTTP/1.0\r\n\r\n"), ("metadata", b"x\r\n\r\n" + fake), ("resource", b"\x00\xff raw"), ("conversion", b"")]
+    for name, versions in (("old", [0] * 5), ("new", [1] * 5), ("mixed", [0, 1, 0, 1, 0])):
+        data = b"".join(record(k, b, v) for (k, b), v in zip(blocks, versions))
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "a.warc").write_bytes(data)
+        found = {r["type"]: bytes(r["payload"]) for r in warc.read(spark, str(tmp_path / name)).collect()}
+        assert found == dict(blocks)
+    for name, cut in (("short", data[:-40]), ("tail", data + b"junk"), ("none", b"no archive")):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "a.warc").write_bytes(cut)
+        with pytest.raises(ValueError, match="1 archives"):
+            warc.read(spark, str(tmp_path / name))
+    assert {"warcinfo", "request", "metadata"} <= {r["type"] for r in warc.read(spark, str(tmp_path / "short"), strict=False).collect()}
+
+
 # --- layout
 
 
