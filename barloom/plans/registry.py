@@ -493,7 +493,7 @@ def walk_forward_ridge_metrics(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def walk_forward_trees(spark: SparkSession, sf: str) -> DataFrame:
-    """Boosted trees on every series, a fit of all trees per fold: long, see the README."""
+    """Boosted trees on every series, a fit of all trees per fold, each in a task of its own."""
     rows, names = _model_rows(spark, sf)
     out = L.walk_forward(M.assign_folds(rows, ["dataset"], 5, start_date=None), names, "target", L.gbt())
     return rounded(out.select("dataset", "date", "fold", "target", "prediction"), "target", "prediction")

@@ -111,6 +111,66 @@ def test_ridge_folds_equal_direct_fits(spark):
     assert len(got) == n - 252 - (0 if got[0]["fold"] == 0 else 63)
 
 
+def best_stump(x, y, l2, l1):
+    """(gain, column, cut, low, high) of the best single split, by trying all."""
+    soft = lambda g: np.sign(g) * max(abs(g) - l1, 0)
+    r, best = y - y.mean(), (-1,)
+    for j in range(x.shape[1]):
+        for cut in np.unique(x[:, j])[:-1]:
+            a, b = r[x[:, j] <= cut], r[x[:, j] > cut]
+            gain = soft(a.sum()) ** 2 / (len(a) + l2) + soft(b.sum()) ** 2 / (len(b) + l2) - soft(r.sum()) ** 2 / (len(r) + l2)
+            best = max(best, (gain, j, cut, soft(a.sum()) / (len(a) + l2), soft(b.sum()) / (len(b) + l2)))
+    return best
+
+
+def tree_rows(spark, n=400, key="d"):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(n, 3)).round(2)
+    y = np.where(x[:, 1] > 0.3, 2.0, -1.0) + rng.normal(0, 0.1, n)
+    data = [(key, START + dt.timedelta(i), 1.0, *map(float, x[i]), float(y[i])) for i in range(n)]
+    return spark.createDataFrame(data, "dataset string, date date, close double, a double, b double, c double, target double"), x, y
+
+
+@pytest.mark.parametrize("key", ["d", None])
+def test_tree_folds_equal_exhaustive_stumps(spark, key):
+    df, x, y = tree_rows(spark, key=key)
+    rows = M.assign_folds(df, ["dataset"], 5, start_date=None, test_rows=50)
+    stump = L.gbt(trees=1, depth=1, rate=1.0, rows=1.0, columns=1.0, bins=1024)
+    got = L.walk_forward(rows, ["a", "b", "c"], "target", stump).collect()
+    assert len(got) == rows.filter("fold IS NOT NULL").count() > 60
+    for r in got:
+        end = r["train_end"]
+        _, j, cut, low, high = best_stump(x[:end], y[:end], stump.l2, stump.l1)
+        assert r["prediction"] == pytest.approx(y[:end].mean() + (low if r["abc"[j]] <= cut else high), rel=1e-9)
+
+
+def test_deep_trees_fit_and_missing_values_are_large():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(600, 4))
+    y = np.sin(2 * x[:, 0]) + (x[:, 1] > 0) * x[:, 2]
+    train = np.arange(600) < 450
+    found, shares = L.boost(x, y, train, L.gbt())
+    assert 1 - ((found - y)[~train] ** 2).sum() / ((y - y[train].mean())[~train] ** 2).sum() > 0.75
+    assert shares.sum() == pytest.approx(1) and shares.argmin() == 3
+    assert np.array_equal(found, L.boost(x, y, train, L.gbt())[0])
+    x[:, 3] = np.where(y > 0.5, np.nan, 0.0)
+    found, shares = L.boost(x, y, train, L.gbt(trees=20))
+    assert shares.argmax() == 3 and found[np.isnan(x[:, 3])].min() > found[~np.isnan(x[:, 3])].max() - 1
+
+
+@pytest.mark.parametrize("learner", [L.ridge(), L.gbt(trees=30)])
+def test_final_fit_and_top_features(spark, learner):
+    df, x, y = tree_rows(spark)
+    other, _, _ = tree_rows(spark, 300, "e")
+    rows = df.unionByName(other)
+    importance, latest = L.final_fit(rows, rows, ["a", "b", "c"], learner)
+    top = L.top_features(importance, 1).collect()
+    assert {(r["dataset"], r["feature"]) for r in top} == {("d", "b"), ("e", "b")}
+    last = {r["dataset"]: r for r in latest.collect()}
+    assert last["d"]["date"] == START + dt.timedelta(399) and last["e"]["date"] == START + dt.timedelta(299)
+    assert last["d"]["signal"] == (1 if last["d"]["prediction"] > 0 else -1) == np.sign(y[-1])
+
+
 def predictions(spark, rows):
     data = [("d", 5, START + dt.timedelta(i), 0.5, float(p), float(t)) for i, (p, t) in enumerate(rows)]
     return spark.createDataFrame(data, "dataset string, horizon int, date date, daily_return_pct double, prediction double, target double")
