@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import bpe, licenses, lines, mixing, mpeg, quality, secrets, simhash, topk, warc
+from barloom.llm import bpe, licenses, lines, mixing, mpeg, quality, secrets, simhash, topk, trie, warc
 from barloom.llm.common import staged, table
 from barloom.llm.oracles import ORACLES  # noqa: F401
 
@@ -108,6 +108,13 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", F.length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = trie.ordered_turns(table(spark, sf_dir, "conversations"))
+    heads = lambda c: F.crc32(F.encode(c.cast("string"), "UTF-8")) % 9
+    sizes, rows = trie.forked(turns, heads, lambda c: c - c % 5, 8)
+    return trie.trie(rows, sizes)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix": op1_mix,
     "op2_bpe": op2_bpe,
@@ -119,4 +126,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licenses": op8_licenses,
     "op9_topk": op9_topk,
     "op10_lines": op10_lines,
+    "op12_trie": op12_trie,
 }
