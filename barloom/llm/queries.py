@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import bpe, licenses, lines, mixing, mpeg, quality, secrets, simhash, topk, trie, warc
+from barloom.llm import bpe, licenses, lines, mixing, mpeg, phrases, quality, secrets, simhash, suffixes, topk, trie, warc
 from barloom.llm.common import staged, table
 from barloom.llm.oracles import ORACLES  # noqa: F401
 
@@ -108,6 +108,10 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", F.length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"), least=100, most=5, top=2000)
+
+
 def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = trie.ordered_turns(table(spark, sf_dir, "conversations"))
     heads = lambda c: F.crc32(F.encode(c.cast("string"), "UTF-8")) % 9
@@ -115,6 +119,12 @@ def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.trie(rows, sizes)
 
 
+def op13_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.without_repeats(table(spark, sf_dir, "documents"), length=400)
+    removed = (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed")
+    return found.select("doc_id", "n_bytes", removed, F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix": op1_mix,
     "op2_bpe": op2_bpe,
@@ -126,5 +136,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licenses": op8_licenses,
     "op9_topk": op9_topk,
     "op10_lines": op10_lines,
+    "op11_phrases": op11_phrases,
     "op12_trie": op12_trie,
+    "op13_suffixes": op13_suffixes,
 }
