@@ -141,6 +141,7 @@ def _pieces(docs: DataFrame, length: int, bits: int) -> DataFrame:
 
 
 _ROWS = "pid long, t int, at int, gap int, p1 long, p2 long, phrase binary, whole long, core long"
+_NAMES = [c.split()[0] for c in _ROWS.split(", ")]
 
 
 def _phrases(pieces: DataFrame, length: int) -> DataFrame:
@@ -165,7 +166,7 @@ def _phrases(pieces: DataFrame, length: int) -> DataFrame:
                     cores.append(xxhash.xxh3_64_intdigest(view[i : i + core]) - 2**63 if i + core <= n else None)
                 keys = np.frombuffer(b"".join(xxhash.xxh3_128_digest(p) for p in phrases), "<i8").reshape(-1, 2)
                 numbers = [pa.array(np.full(len(at), pid)), *(pa.array(a.astype(np.int32)) for a in (np.arange(len(at)), at, to - at))]
-                yield pa.RecordBatch.from_arrays([*numbers, pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(phrases, pa.binary()), pa.array(whole, pa.int64()), pa.array(cores, pa.int64())], T._parse_datatype_string(_ROWS).names)
+                yield pa.RecordBatch.from_arrays([*numbers, pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(phrases, pa.binary()), pa.array(whole, pa.int64()), pa.array(cores, pa.int64())], _NAMES)
 
     return staged(pieces.select("pid", "bytes").mapInArrow(cut, _ROWS), "phrases")
 
