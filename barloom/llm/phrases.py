@@ -26,7 +26,7 @@ from pyspark.sql.window import Window as W
 from barloom.llm.common import fresh_path, staged
 
 #: Shards of a cycle; cells of the table of rounds (one byte each, the size of what is broadcast).
-SHARDS, CELLS = 4, 1 << 24
+SHARDS, CELLS = 4, 1 << 23
 _UNSET = 255
 _SPACE, _END = 0x20, 0x0A
 _BYTES = bytes(_SPACE if b == 9 else _END if chr(b) in ".,;:!?\n\x0b\x0c\r" else b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -117,6 +117,7 @@ def _counts(lang: str, texts: pa.Array, known: np.ndarray, at: int, shards: int,
 
 
 def _round(shard: DataFrame, known: np.ndarray, at: int, shards: int, most: int) -> DataFrame:
+    """(lang, k, phrase, n) of one scan, written."""
     table = shard.sparkSession.sparkContext.broadcast(known)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,7 +126,9 @@ def _round(shard: DataFrame, known: np.ndarray, at: int, shards: int, most: int)
             for lang in pc.unique(langs).to_pylist():
                 yield from _counts(lang, batch.column("text").filter(pc.equal(langs, lang)), table.value, at, shards, most)
 
-    return shard.mapInArrow(scan, "lang string, k int, phrase string, n long").groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n"))
+    found = staged(shard.mapInArrow(scan, "lang string, k int, phrase string, n long").groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n")), "counts")
+    table.destroy()
+    return found
 
 
 def _newly(counts: DataFrame, cells: int) -> np.ndarray:
@@ -154,7 +157,7 @@ def frequent(df: DataFrame, least: int = 100, most: int = 5, lang_col: str = "la
 
     known, found, last, at = np.full(cells, _UNSET, np.uint8), [], 0, 0
     while at < shards or at <= last + shards:
-        found.append(staged(_round(docs.filter(F.col("shard") == at % shards).drop("shard"), known, at, shards, most), "counts"))
+        found.append(_round(docs.filter(F.col("shard") == at % shards).drop("shard"), known, at, shards, most))
         # a phrase that is still being counted has all its counts in the rounds of one cycle
         sums = reduce(DataFrame.unionByName, found[-shards:]).filter(F.col("k") < most).groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n"))
         new = _newly(sums.filter(F.col("n") >= least).select("lang", "phrase"), cells)

@@ -30,17 +30,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from barloom.llm.common import staged
 
-#: Bits of the tables that tasks get (of cores and of texts): 16 MB each, at any size of the corpus.
-BITS = 1 << 27
+#: Bits of the tables that tasks get (of cores and of texts): 8 MB each, at any size of the corpus.
+BITS = 1 << 26
 #: Starts among which an anchor is the least; mean bytes between cuts; phrases up to this length are compared whole.
-ANCHOR, PHRASE, WHOLE = 192, 32, 192
+ANCHOR, PHRASE, WHOLE = 192, 48, 192
+#: Phrases that names cover before the few suffixes are sorted whole that need more; rungs of the ladder of prefixes.
+COVERED, RUNGS = 27, 8
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -140,7 +142,7 @@ def _pieces(docs: DataFrame, length: int, bits: int) -> DataFrame:
     return staged(found.withColumn("pid", F.monotonically_increasing_id()), "pieces")
 
 
-_ROWS = "pid long, t int, at int, gap int, p1 long, p2 long, phrase binary, whole long, core long"
+_ROWS = "pid long, t int, at int, gap int, p1 long, p2 long, phrase binary, whole long, core long, ladder long"
 _NAMES = [c.split()[0] for c in _ROWS.split(", ")]
 
 
@@ -149,7 +151,9 @@ def _phrases(pieces: DataFrame, length: int) -> DataFrame:
 
     whole: the bytes of all windows that begin before the next cut; core: those that
     all windows share which begin at most WHOLE before this cut. Null beyond the piece.
+    ladder: a byte of the hash of each of RUNGS prefixes, the shortest first and lowest.
     """
+    rungs = [length - WHOLE + i * WHOLE // RUNGS for i in range(RUNGS)]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -158,15 +162,16 @@ def _phrases(pieces: DataFrame, length: int) -> DataFrame:
                 at = np.append(0, np.flatnonzero(x[1:] % np.uint64(PHRASE) == 0) + 1)
                 to = np.append(at[1:], len(text))
                 view, n, core = memoryview(text), len(text), length - WHOLE
-                phrases, whole, cores = [], [], []
+                phrases, whole, cores, ladders = [], [], [], []
                 for i, j in zip(at.tolist(), to.tolist(), strict=True):
                     phrases.append(text[i : j + 8])
                     fits = j - i <= WHOLE and j < n and j + length - 1 <= n
                     whole.append(xxhash.xxh3_64_intdigest(view[i : j + length - 1]) - 2**63 if fits else None)
                     cores.append(xxhash.xxh3_64_intdigest(view[i : i + core]) - 2**63 if i + core <= n else None)
+                    ladders.append(b"".join(xxhash.xxh3_64_digest(view[i : i + r])[:1] for r in rungs))
                 keys = np.frombuffer(b"".join(xxhash.xxh3_128_digest(p) for p in phrases), "<i8").reshape(-1, 2)
                 numbers = [pa.array(np.full(len(at), pid)), *(pa.array(a.astype(np.int32)) for a in (np.arange(len(at)), at, to - at))]
-                yield pa.RecordBatch.from_arrays([*numbers, pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(phrases, pa.binary()), pa.array(whole, pa.int64()), pa.array(cores, pa.int64())], _NAMES)
+                yield pa.RecordBatch.from_arrays([*numbers, pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(phrases, pa.binary()), pa.array(whole, pa.int64()), pa.array(cores, pa.int64()), pa.array(np.frombuffer(b"".join(ladders), "<i8"))], _NAMES)
 
     return staged(pieces.select("pid", "bytes").mapInArrow(cut, _ROWS), "phrases")
 
@@ -177,16 +182,17 @@ def _ordered(df: DataFrame, keys: list[str], name: str, tag: str) -> DataFrame:
 
 
 def suffix_order(rows: DataFrame, depth: int) -> DataFrame:
-    """(pid, t, rank): the sampled suffixes of rows (pid, t, p1, p2, phrase, gap) in order by ``depth`` bytes at least.
+    """(pid, t, name, rest): the sampled suffixes of rows (pid, t, p1, p2, phrase, gap) in order by ``depth`` bytes at least.
 
     Names of phrases first, then of triples: three names of the last round, each
-    where the one before ends. A name's number is its place in order.
+    where the one before ends. A name's number is its place in order. Suffixes whose
+    names still cover fewer bytes (of very short phrases) are sorted once more by all
+    their names; rest is that order, 0 for the others.
     """
     names = _ordered(rows.groupBy("p1", "p2").agg(F.min("phrase").alias("phrase")), ["phrase"], "name", "names").drop("phrase")
     named = staged(rows.select("pid", "t", "p1", "p2", F.col("gap").cast("long").alias("cover")).join(names.hint("merge"), ["p1", "p2"]).select("pid", "t", "name", "cover"), "named")
-    step = 1
-    while (named.agg(F.min("cover")).first()[0] or depth) < depth:
-        w = W.partitionBy("pid").orderBy("t")
+    w, step = W.partitionBy("pid").orderBy("t"), 1
+    while step < COVERED:
         later = {f"n{i}": F.coalesce(F.lead("name", i * step).over(w), F.lit(0)) for i in (1, 2)}
         # beyond the end of a piece nothing can differ
         cover = sum((F.coalesce(F.lead("cover", i * step).over(w), F.lit(depth)) for i in (1, 2)), F.col("cover"))
@@ -195,42 +201,60 @@ def suffix_order(rows: DataFrame, depth: int) -> DataFrame:
         names = _ordered(triples.select(*keys).distinct(), keys, "name", "names")
         named = staged(triples.join(names.hint("merge"), keys).select("pid", "t", "name", "cover"), "named")
         step *= 3
-    return named.select("pid", "t", F.col("name").alias("rank"))
+    # a phrase has a byte at least, and all suffixes of one name cover as much
+    every = F.array(*[F.coalesce(F.lead("name", i * step).over(w), F.lit(0)) for i in range(-(-depth // step))])
+    short = staged(named.withColumn("names", every).filter(F.col("cover") < depth).drop("cover"), "short")
+    order = _ordered(short.select("names").distinct(), ["names"], "rest", "names")
+    short = short.join(order.hint("merge"), "names").select("pid", "t", "name", "rest")
+    return named.filter(F.col("cover") >= depth).select("pid", "t", "name", F.lit(0).cast("long").alias("rest")).unionByName(short)
 
 
 def _compared(ranked: DataFrame) -> DataFrame:
-    """Per rank of ranked (rank, whole, core, pid, t): repeated and leads (whole is a neighbour's, and none before has it), likely (core is a neighbour's), one."""
-    each = ranked.groupBy("rank").agg(F.count("*").alias("n"), F.min("whole").alias("whole"), F.min("core").alias("core"), F.min(F.struct("pid", "t")).alias("one"))
-    each = staged(each.withColumn("part", F.shiftright("rank", 33)), "ranks")
-    # ranks come from a range-partitioned sort: one window per range, and the ranges' ends (a row each) aside
-    ends = each.groupBy("part").agg(*[f(F.struct("whole", "core"), "rank").alias(n) for n, f in (("first", F.min_by), ("last", F.max_by))])
+    """Per (name, rest) of ranked (and whole, ladder, pid, t): repeated and leads (whole is a neighbour's, and none before has it), rungs (equal ones of a neighbour), one."""
+    each = ranked.groupBy("name", "rest").agg(F.count("*").alias("n"), F.min("whole").alias("whole"), F.min("ladder").alias("ladder"), F.min(F.struct("pid", "t")).alias("one"))
+    each = staged(each.withColumn("part", F.shiftright("name", 33)), "ranks")
+    # names come from a range-partitioned sort: one window per range, and the ranges' ends (a row each) aside
+    own = F.struct("whole", "ladder")
+    ends = each.groupBy("part").agg(*[f(own, F.struct("name", "rest")).alias(n) for n, f in (("first", F.min_by), ("last", F.max_by))])
     order = W.partitionBy(F.lit(0)).orderBy("part")
     ends = ends.select("part", F.lag("last").over(order).alias("_last"), F.lead("first").over(order).alias("_first"))
-    w = W.partitionBy("part").orderBy("rank")
-    own = F.struct("whole", "core")
+    w = W.partitionBy("part").orderBy("name", "rest")
     rows = each.withColumns({"_before": F.lag(own).over(w), "_after": F.lead(own).over(w)}).join(F.broadcast(ends), "part")
     rows = rows.withColumns({"_before": F.coalesce("_before", "_last"), "_after": F.coalesce("_after", "_first")})
-    same = lambda side, c: F.coalesce(F.col(f"{side}.{c}") == F.col(c), F.lit(False))
-    any_of = lambda c: F.col(c).isNotNull() & ((F.col("n") > 1) | same("_before", c) | same("_after", c))
-    return rows.select("rank", any_of("whole").alias("repeated"), (any_of("whole") & ~same("_before", "whole")).alias("leads"), any_of("core").alias("likely"), "one")
+    same = lambda side: F.coalesce(F.col(f"{side}.whole") == F.col("whole"), F.lit(False))
+    repeated = F.col("whole").isNotNull() & ((F.col("n") > 1) | same("_before") | same("_after"))
+
+    def equal(side: str) -> Column:
+        differ, found = F.col("ladder").bitwiseXOR(F.col(f"{side}.ladder")), F.lit(RUNGS)
+        for i in reversed(range(RUNGS)):
+            found = F.when(F.shiftrightunsigned(differ, 8 * i).bitwiseAND(F.lit(255)) != 0, F.lit(i)).otherwise(found)
+        return F.when(differ.isNull(), 0).otherwise(found)
+
+    rungs = F.when(F.col("n") > 1, RUNGS).otherwise(F.greatest(equal("_before"), equal("_after")))
+    return rows.select("name", "rest", repeated.alias("repeated"), (repeated & ~same("_before")).alias("leads"), rungs.alias("rungs"), "one")
 
 
 def repeated_starts(pieces: DataFrame, length: int) -> DataFrame:
     """(pid, lo, hi): the windows of ``length`` bytes that begin in pieces at lo to hi - 1 and occur more than once."""
     rows = _phrases(pieces, length)
     ranks = suffix_order(rows, length + WHOLE)
-    ranked = staged(rows.select("pid", "t", "at", "gap", "whole", "core").join(ranks.hint("merge"), ["pid", "t"]), "ranked")
-    flags = staged(_compared(ranked), "flags")
+    ranked = staged(rows.select("pid", "t", "at", "gap", "whole", "core", "ladder").join(ranks.hint("merge"), ["pid", "t"]), "ranked")
+    flags = _compared(ranked)
     w = W.partitionBy("pid").orderBy("t")
-    gaps = ranked.join(flags.hint("merge"), "rank")
-    gaps = gaps.withColumns({"next_likely": F.coalesce(F.lead("likely").over(w), F.lit(False)), "next_core": F.lead("core").over(w)})
-    gaps = gaps.withColumn("ask", ~F.col("repeated") & (F.col("next_likely") | (F.col("gap") > WHOLE)))
-    span = [F.col("at").alias("lo"), (F.col("at") + F.col("gap")).alias("hi")]
-    gaps = staged(gaps.select("pid", *span, "repeated", "ask", "next_core", (F.col("leads") & (F.col("one.pid") == F.col("pid")) & (F.col("one.t") == F.col("t"))).alias("leads")), "gaps")
-
-    asked = gaps.filter("ask").select("next_core").distinct()
-    answers = gaps.filter("leads").join(asked.hint("merge"), "next_core", "left_semi")
-    tried = gaps.filter("ask").select("pid", "lo", "hi", "ask").unionByName(answers.select("pid", "lo", "hi", "ask"))
+    gaps = ranked.drop("whole", "ladder").join(flags.hint("merge"), ["name", "rest"])
+    gaps = gaps.withColumns({"rungs": F.lead("rungs").over(w), "next_core": F.lead("core").over(w)})
+    # a window that begins l before the next cut needs a neighbour there that agrees on length - l bytes
+    least = F.when(F.col("rungs").isNull(), 0).otherwise(F.greatest(F.lit(1), F.lit(WHOLE + 1) - F.col("rungs") * (WHOLE // RUNGS)))
+    end = F.col("at") + F.col("gap")
+    tried = F.when(~F.col("repeated"), end - least + F.when(F.col("rungs").isNull(), 0).otherwise(1))
+    lead = F.col("leads") & (F.col("one.pid") == F.col("pid")) & (F.col("one.t") == F.col("t"))
+    gaps = staged(gaps.select("pid", F.col("at").alias("lo"), end.alias("hi"), "repeated", tried.alias("tried"), least.alias("least"), "next_core", lead.alias("leads")), "gaps")
+
+    asks = gaps.filter("tried > lo")
+    # of the repeated stretches one of each kind answers, as near to the cut as anyone asks
+    wanted = asks.groupBy("next_core").agg(F.min("least").alias("_least"))
+    answers = gaps.filter("leads").join(wanted.hint("merge"), "next_core").withColumn("hi", F.col("hi") - F.col("_least") + 1).filter("hi > lo")
+    tried = asks.select("pid", "lo", F.col("tried").alias("hi"), F.lit(True).alias("ask")).unionByName(answers.select("pid", "lo", "hi", F.lit(False).alias("ask")))
     tried = tried.groupBy("pid").agg(F.collect_list(F.struct("lo", "hi", "ask")).alias("spans"))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,27 +309,33 @@ def without_repeats(df: DataFrame, length: int = 400, id_col: str = "doc_id", te
     kept = [df.schema[id_col]]
     schema = T.StructType([T.StructField("id", kept[0].dataType), *T._parse_datatype_string("n_bytes long, spans array<struct<lo:long,hi:long>>, kept binary").fields])
 
-    def clear(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut_rows(part: pa.RecordBatch, found: list) -> pa.RecordBatch:
+        rows, sizes = [], []
+        for text, spans in zip(part.column("text").to_pylist(), found, strict=True):
+            runs = _merged([(s["lo"], min(s["hi"], len(text))) for s in spans or []])
+            edges = [0, *(e for run in runs for e in run), len(text)]
+            rows.append((runs, b"".join(text[i:j] for i, j in zip(edges[::2], edges[1::2], strict=True))))
+            sizes.append(len(text))
+        listed = pa.array([[{"lo": lo, "hi": hi} for lo, hi in runs] for runs, _ in rows], pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())])))
+        return pa.RecordBatch.from_arrays([part.column("id"), pa.array(sizes, pa.int64()), listed, pa.array([k for _, k in rows], pa.binary())], schema.names)
+
+    def parts(batches: Iterator[pa.RecordBatch], known: bool | None) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(~in_table(table.value, batch.column("k1").to_numpy())))
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                yield part if known is None else part.filter(pa.array(in_table(table.value, part.column("k1").to_numpy()) == known))
+
+    def clear(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts(batches, False):
+            yield cut_rows(part, [None] * part.num_rows)
 
     def maybe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(in_table(table.value, batch.column("k1").to_numpy())))
+        yield from parts(batches, True)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part, rows, sizes = batch.slice(at, 256), [], []
-                for text, spans in zip(part.column("text").to_pylist(), part.column("spans").to_pylist(), strict=True):
-                    runs = _merged([(s["lo"], min(s["hi"], len(text))) for s in spans or []])
-                    edges = [0, *(e for run in runs for e in run), len(text)]
-                    rows.append((runs, b"".join(text[i:j] for i, j in zip(edges[::2], edges[1::2], strict=True))))
-                    sizes.append(len(text))
-                listed = pa.array([[{"lo": lo, "hi": hi} for lo, hi in runs] for runs, _ in rows], pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())])))
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sizes, pa.int64()), listed, pa.array([k for _, k in rows], pa.binary())], schema.names)
+        for part in parts(batches, None):
+            yield cut_rows(part, part.column("spans").to_pylist())
 
     # texts without repeats, which the table knows, stay where they are
-    untouched = docs.mapInArrow(clear, docs.schema).withColumn("spans", F.lit(None).cast("array<struct<lo:long,hi:long>>"))
-    touched = docs.mapInArrow(maybe, docs.schema).join(spans.hint("merge"), ["k1", "k2"], "left").select(untouched.columns)
-    return untouched.unionByName(touched).mapInArrow(cut, schema).withColumnRenamed("id", id_col)
+    touched = docs.mapInArrow(maybe, docs.schema).join(spans.hint("merge"), ["k1", "k2"], "left")
+    return docs.mapInArrow(clear, schema).unionByName(touched.mapInArrow(cut, schema)).withColumnRenamed("id", id_col)
