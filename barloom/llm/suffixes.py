@@ -9,12 +9,12 @@ so three things come before, all without loss:
    their first ones), and from it on the same core. Only the surroundings of cores
    that occur twice are kept, as pieces. Cores are looked up in a bit table of fixed
    size; what it passes by mistake costs time only.
-3. The sample: suffixes at cuts, which lie where a hash of the next 8 bytes says so.
-   It takes the place of fixed residues: equal strings have the same cuts, whatever
-   their positions.
+3. The sample: suffixes at cuts, places whose hash of 8 bytes is not above any of
+   those that follow within PHRASE. It takes the place of fixed residues: equal
+   strings have the same cuts, whatever their positions.
 
-Between cuts lie phrases, each taken with the 8 bytes of the next cut, so that none
-is a proper prefix of another and their order is that of the suffixes. Triples of
+Between cuts lie phrases, each taken with the bytes that make the next cut one, so
+that none is a proper prefix of another and their order is that of the suffixes. Triples of
 phrases are sorted and get their place as name, then triples of names, until names
 cover as many bytes as matter: a sorted array of the sampled suffixes. Neighbours
 in it are compared: a phrase whose suffix agrees with a neighbour's on all windows
@@ -159,12 +159,13 @@ def _phrases(pieces: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             for pid, text in zip(batch.column("pid").to_pylist(), batch.column("bytes").to_pylist(), strict=True):
                 x = _mixed(_eights(np.frombuffer(text, np.uint8)) * _C1)
-                at = np.append(0, np.flatnonzero(x[1:] % np.uint64(PHRASE) == 0) + 1)
+                least = _sliding(x[1:], PHRASE, np.minimum) if len(x) > PHRASE else x[:0]
+                at = np.append(0, np.flatnonzero(x[1 : len(least) + 1] == least) + 1)
                 to = np.append(at[1:], len(text))
                 view, n, core = memoryview(text), len(text), length - WHOLE
                 phrases, whole, cores, ladders = [], [], [], []
                 for i, j in zip(at.tolist(), to.tolist(), strict=True):
-                    phrases.append(text[i : j + 8])
+                    phrases.append(text[i : j + PHRASE + 7])
                     fits = j - i <= WHOLE and j < n and j + length - 1 <= n
                     whole.append(xxhash.xxh3_64_intdigest(view[i : j + length - 1]) - 2**63 if fits else None)
                     cores.append(xxhash.xxh3_64_intdigest(view[i : i + core]) - 2**63 if i + core <= n else None)
