@@ -9,9 +9,9 @@ so three things come before, all without loss:
    their first ones), and from it on the same core. Only the surroundings of cores
    that occur twice are kept, as pieces. Cores are looked up in a bit table of fixed
    size; what it passes by mistake costs time only.
-3. The sample: suffixes at cuts, places whose hash of 8 bytes is not above any of
-   those that follow within PHRASE. It takes the place of fixed residues: equal
-   strings have the same cuts, whatever their positions.
+3. The sample: suffixes at cuts, places whose hash of 8 bytes is below all of those
+   that follow within PHRASE. It takes the place of fixed residues: equal strings
+   have the same cuts, whatever their positions. (Periodic text has none.)
 
 Between cuts lie phrases, each taken with the bytes that make the next cut one, so
 that none is a proper prefix of another and their order is that of the suffixes. Triples of
@@ -159,8 +159,8 @@ def _phrases(pieces: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             for pid, text in zip(batch.column("pid").to_pylist(), batch.column("bytes").to_pylist(), strict=True):
                 x = _mixed(_eights(np.frombuffer(text, np.uint8)) * _C1)
-                least = _sliding(x[1:], PHRASE, np.minimum) if len(x) > PHRASE else x[:0]
-                at = np.append(0, np.flatnonzero(x[1 : len(least) + 1] == least) + 1)
+                least = _sliding(x[2:], PHRASE - 1, np.minimum) if len(x) > PHRASE else x[:0]
+                at = np.append(0, np.flatnonzero(x[1 : len(least) + 1] < least) + 1)
                 to = np.append(at[1:], len(text))
                 view, n, core = memoryview(text), len(text), length - WHOLE
                 phrases, whole, cores, ladders = [], [], [], []
@@ -260,22 +260,34 @@ def repeated_starts(pieces: DataFrame, length: int) -> DataFrame:
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part, own, ask, keys = batch.slice(at, 64), [], [], []
-                for pid, text, spans in zip(*(part.column(c).to_pylist() for c in ("pid", "bytes", "spans")), strict=True):
-                    view = memoryview(text)
-                    for s in spans:
-                        for i in range(s["lo"], min(s["hi"], len(text) - length + 1)):
-                            own.append((pid, i))
-                            ask.append(s["ask"])
-                            keys.append(xxhash.xxh3_128_digest(view[i : i + length]))
-                if keys:
-                    both, own = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2), np.array(own, np.int64)
-                    yield pa.RecordBatch.from_arrays([*_longs(both[:, 0].copy(), both[:, 1].copy(), own[:, 0].copy(), own[:, 1].copy()), pa.array(ask)], ["w1", "w2", "pid", "i", "ask"])
-
-    found = staged(pieces.select("pid", "bytes").join(tried.hint("merge"), "pid").mapInArrow(windows, "w1 long, w2 long, pid long, i long, ask boolean"), "windows")
-    twice = found.groupBy("w1", "w2").agg(F.count("*").alias("n")).filter("n > 1").select("w1", "w2")
-    single = found.filter("ask").join(twice.hint("merge"), ["w1", "w2"], "left_semi").select("pid", F.col("i").alias("lo"), (F.col("i") + 1).alias("hi"))
+            for pid, text, spans in zip(*(batch.column(c).to_pylist() for c in ("pid", "bytes", "spans")), strict=True):
+                view, top = memoryview(text), len(text) - length + 1
+                ranges = [np.arange(x["lo"], max(x["lo"], min(x["hi"], top))) for x in spans]
+                own, ask = np.concatenate(ranges), np.repeat([x["ask"] for x in spans], [len(r) for r in ranges])
+                if not len(own):
+                    continue
+                keys = np.frombuffer(b"".join(xxhash.xxh3_128_digest(view[i : i + length]) for i in own.tolist()), "<i8").reshape(-1, 2)
+                # what occurs twice in the piece (periodic text does) is known here; one of each kind goes on
+                order = np.lexsort((own, keys[:, 1], keys[:, 0]))
+                new = np.append(True, (keys[order][1:] != keys[order][:-1]).any(1))
+                n = np.diff(np.append(np.flatnonzero(new), len(order)))
+                many = np.repeat(n > 1, n) & ask[order]
+                known = np.sort(own[order][many])
+                cuts = np.flatnonzero(np.diff(known) > 1) + 1
+                known = [(int(r[0]), int(r[-1]) + 1) for r in np.split(known, cuts) if len(r)]
+                first = order[new]
+                open_ = n == 1
+                rows = [keys[first, 0], keys[first, 1], own[first], own[first] + 1]
+                rows = [pa.array(np.ascontiguousarray(r)) for r in rows]
+                numbers = [pa.array(np.full(len(first), pid)), *rows, pa.array(n), pa.array(ask[first] & open_)]
+                yield pa.RecordBatch.from_arrays(numbers, ["pid", "w1", "w2", "lo", "hi", "n", "ask"])
+                if known:
+                    none = pa.nulls(len(known), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array([pid] * len(known), pa.int64()), none, none, pa.array([k[0] for k in known], pa.int64()), pa.array([k[1] for k in known], pa.int64()), none, pa.array([False] * len(known))], ["pid", "w1", "w2", "lo", "hi", "n", "ask"])
+
+    found = staged(pieces.select("pid", "bytes").join(tried.hint("merge"), "pid").mapInArrow(windows, "pid long, w1 long, w2 long, lo long, hi long, n long, ask boolean"), "windows")
+    twice = found.filter("w1 IS NOT NULL").groupBy("w1", "w2").agg(F.sum("n").alias("n")).filter("n > 1").select("w1", "w2")
+    single = found.filter("ask").join(twice.hint("merge"), ["w1", "w2"], "left_semi").select("pid", "lo", "hi").unionByName(found.filter("w1 IS NULL").select("pid", "lo", "hi"))
     return gaps.filter("repeated").select("pid", F.col("lo").cast("long"), F.col("hi").cast("long")).unionByName(single)
 
 
