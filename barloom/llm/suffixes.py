@@ -40,7 +40,7 @@ from barloom.llm.common import staged
 #: Bits of the tables that tasks get (of cores and of texts): 8 MB each, at any size of the corpus.
 BITS = 1 << 26
 #: Starts among which an anchor is the least; mean bytes between cuts; phrases up to this length are compared whole.
-ANCHOR, PHRASE, WHOLE = 192, 48, 192
+ANCHOR, PHRASE, WHOLE = 192, 64, 192
 #: Phrases that names cover before the few suffixes are sorted whole that need more; rungs of the ladder of prefixes.
 COVERED, RUNGS = 27, 8
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -277,17 +277,19 @@ def repeated_starts(pieces: DataFrame, length: int) -> DataFrame:
                 known = [(int(r[0]), int(r[-1]) + 1) for r in np.split(known, cuts) if len(r)]
                 first = order[new]
                 open_ = n == 1
-                rows = [keys[first, 0], keys[first, 1], own[first], own[first] + 1]
+                rows = [keys[first, 0], keys[first, 1], own[first].astype(np.int32), n.astype(np.int32)]
                 rows = [pa.array(np.ascontiguousarray(r)) for r in rows]
-                numbers = [pa.array(np.full(len(first), pid)), *rows, pa.array(n), pa.array(ask[first] & open_)]
-                yield pa.RecordBatch.from_arrays(numbers, ["pid", "w1", "w2", "lo", "hi", "n", "ask"])
+                numbers = [pa.array(np.full(len(first), pid)), *rows, pa.array(ask[first] & open_)]
+                yield pa.RecordBatch.from_arrays(numbers, ["pid", "w1", "w2", "lo", "n", "ask"])
                 if known:
-                    none = pa.nulls(len(known), pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array([pid] * len(known), pa.int64()), none, none, pa.array([k[0] for k in known], pa.int64()), pa.array([k[1] for k in known], pa.int64()), none, pa.array([False] * len(known))], ["pid", "w1", "w2", "lo", "hi", "n", "ask"])
+                    none, at, size = pa.nulls(len(known), pa.int64()), pa.array([k[0] for k in known], pa.int32()), pa.array([k[1] - k[0] for k in known], pa.int32())
+                    yield pa.RecordBatch.from_arrays([pa.array([pid] * len(known), pa.int64()), none, none, at, size, pa.array([False] * len(known))], ["pid", "w1", "w2", "lo", "n", "ask"])
 
-    found = staged(pieces.select("pid", "bytes").join(tried.hint("merge"), "pid").mapInArrow(windows, "pid long, w1 long, w2 long, lo long, hi long, n long, ask boolean"), "windows")
+    # (w1, w2): a window's hash and how often the piece has it; without them: n windows from lo on that are known to repeat
+    found = staged(pieces.select("pid", "bytes").join(tried.hint("merge"), "pid").mapInArrow(windows, "pid long, w1 long, w2 long, lo int, n int, ask boolean"), "windows")
     twice = found.filter("w1 IS NOT NULL").groupBy("w1", "w2").agg(F.sum("n").alias("n")).filter("n > 1").select("w1", "w2")
-    single = found.filter("ask").join(twice.hint("merge"), ["w1", "w2"], "left_semi").select("pid", "lo", "hi").unionByName(found.filter("w1 IS NULL").select("pid", "lo", "hi"))
+    single = found.filter("ask").join(twice.hint("merge"), ["w1", "w2"], "left_semi").unionByName(found.filter("w1 IS NULL"))
+    single = single.select("pid", F.col("lo").cast("long"), (F.col("lo") + F.col("n")).cast("long").alias("hi"))
     return gaps.filter("repeated").select("pid", F.col("lo").cast("long"), F.col("hi").cast("long")).unionByName(single)
 
 
