@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from barloom.llm.common import fresh_path, staged
+from barloom.llm.common import fresh_path, maybe_broadcast, staged
 
 #: Shards of a cycle; cells of the table of rounds (one byte each, the size of what is broadcast).
 SHARDS, CELLS = 4, 1 << 23
@@ -142,6 +142,18 @@ def _newly(counts: DataFrame, cells: int) -> np.ndarray:
     return counts.mapInArrow(marked, "cell int").distinct().toArrow().column("cell").to_numpy()
 
 
+def _totals(rounds: list[DataFrame], least: int, shards: int, most: int) -> DataFrame:
+    """(lang, k, phrase, n) of the phrases of up to ``most`` words with n >= least in these rounds together.
+
+    A phrase is counted in ``shards`` rounds, so in one of them it has its share of
+    least; only phrases that do are added up.
+    """
+    every, key = reduce(DataFrame.unionByName, rounds).filter(F.col("k") <= most), ["lang", "k", "phrase"]
+    likely = staged(every.filter(F.col("n") >= -(-least // shards)).select(*key).distinct(), "likely")
+    size = likely.agg(F.sum(F.octet_length("phrase") + F.octet_length("lang") + 32)).first()[0] or 0
+    return every.join(maybe_broadcast(likely, size, 1), key, "left_semi").groupBy(*key).agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+
+
 def frequent(df: DataFrame, least: int = 100, most: int = 5, lang_col: str = "lang", text_col: str = "text", shards: int = SHARDS, cells: int = CELLS) -> tuple[DataFrame, DataFrame]:
     """(lang, k, phrase, n) of all phrases of up to ``most`` words that occur at least ``least`` times, and (lang, n) of all words.
 
@@ -159,18 +171,15 @@ def frequent(df: DataFrame, least: int = 100, most: int = 5, lang_col: str = "la
     while at < shards or at <= last + shards:
         found.append(_round(docs.filter(F.col("shard") == at % shards).drop("shard"), known, at, shards, most))
         # a phrase that is still being counted has all its counts in the rounds of one cycle
-        sums = reduce(DataFrame.unionByName, found[-shards:]).filter(F.col("k") < most).groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n"))
-        new = _newly(sums.filter(F.col("n") >= least).select("lang", "phrase"), cells)
+        new = _newly(_totals(found[-shards:], least, shards, most - 1).select("lang", "phrase"), cells)
         new = new[known[new] == _UNSET]
         if len(new):
             known[new], last = at, at
         at += 1
         if at >= _UNSET:
             raise RuntimeError("too many rounds")
-    every = reduce(DataFrame.unionByName, found)
-    words = every.filter("k = 1").groupBy("lang").agg(F.sum("n").alias("n"))
-    every = every.groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    return staged(every, "frequent"), words
+    words = reduce(DataFrame.unionByName, found[:shards]).filter("k = 1").groupBy("lang").agg(F.sum("n").alias("n"))
+    return staged(_totals(found, least, shards, most), "frequent"), words
 
 
 def _score(a: str, n: str, left: str, right: str) -> Column:
