@@ -8,21 +8,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from barloom.operators import longseries as N
+
 KEY = ("dataset", "horizon")
 
 
-def backtest(pred: DataFrame, key: Sequence[str] = KEY, cost_bps: float = 2.0) -> DataFrame:
+def backtest(pred: DataFrame, key: Sequence[str] = KEY, cost_bps: float = 2.0, block_rows: int | None = None) -> DataFrame:
     """Adds signal, position, turnover, daily returns and equities to predictions (date, daily_return_pct, prediction).
 
     The position is the previous row's signal and runs across fold borders; a
-    change costs cost_bps per unit, so a flip from -1 to 1 costs twice that.
+    change costs cost_bps per unit, so a flip from -1 to 1 costs twice that. With
+    block_rows no task holds more of a series than a block, or a span of days.
     """
-    w = W.partitionBy(*key).orderBy("date")
     out = pred.withColumn("signal", F.when(F.col("prediction") > 0, 1).otherwise(-1))
+    if block_rows:
+        out = N.haloed(out, key, before=2, rows=block_rows)
+    w = W.partitionBy(*key, *(["_block"] if block_rows else [])).orderBy("date")
     out = out.withColumn("position", F.coalesce(F.lag("signal").over(w), F.lit(0)))
     out = out.withColumn("turnover", F.abs(F.col("position") - F.coalesce(F.lag("position").over(w), F.lit(0))))
     strategy = F.col("position") * F.col("daily_return_pct") - F.col("turnover") * F.lit(cost_bps / 100)
     out = out.withColumns({"strategy_daily_return_pct": strategy, "buy_hold_daily_return_pct": F.col("daily_return_pct")})
+    if block_rows:
+        sums = {f"_{kind}": ("sum", F.col(f"{kind}_daily_return_pct")) for kind in ("strategy", "buy_hold")}
+        out = N.scanned(N.inside(out), key, sums)
+        return out.withColumns({f"{kind}_equity": F.exp(F.col(f"_{kind}") / 100) for kind in ("strategy", "buy_hold")}).drop("_strategy", "_buy_hold")
     upto = w.rowsBetween(W.unboundedPreceding, 0)
     equity = lambda kind: F.exp(F.sum(f"{kind}_daily_return_pct").over(upto) / 100)
     return out.withColumns({"strategy_equity": equity("strategy"), "buy_hold_equity": equity("buy_hold")})
@@ -39,13 +48,17 @@ def error_metrics() -> list[Column]:
     ]
 
 
-def metrics(bt: DataFrame, key: Sequence[str] = KEY, model_rows: DataFrame | None = None) -> DataFrame:
+def metrics(bt: DataFrame, key: Sequence[str] = KEY, model_rows: DataFrame | None = None, long: bool = False) -> DataFrame:
     """One row per key: size and dates of the backtest, errors, returns, risk and trades.
 
     model_rows, where given, adds trainable_rows, model_start_date and model_end_date.
+    long: the highest equity so far is carried from span to span of a series.
     """
-    peak = F.max("strategy_equity").over(W.partitionBy(*key).orderBy("date").rowsBetween(W.unboundedPreceding, 0))
-    rows = bt.withColumn("_fall", F.try_divide(F.col("strategy_equity"), peak) - 1)
+    if long:
+        rows = N.scanned(bt, key, {"_peak": ("max", F.col("strategy_equity"))})
+    else:
+        rows = bt.withColumn("_peak", F.max("strategy_equity").over(W.partitionBy(*key).orderBy("date").rowsBetween(W.unboundedPreceding, 0)))
+    rows = rows.withColumn("_fall", F.try_divide(F.col("strategy_equity"), F.col("_peak")) - 1)
     yearly = F.avg("strategy_daily_return_pct") * 252
     risk = F.stddev_pop("strategy_daily_return_pct") * F.sqrt(F.lit(252.0))
     out = rows.groupBy(*key).agg(
@@ -72,7 +85,7 @@ def forecast_quality(pred: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
 
     A bullish forecast (above 0) is right if the realised return is above 0, a
     bearish one if it is below; a realised 0 is wrong. A direction without
-    forecasts has no row.
+    forecasts has no row. The median is exact, without holding a group's values.
     """
     bullish = F.col("prediction") > 0
     right = F.when(bullish, F.col("target") > 0).otherwise(F.col("target") < 0)
@@ -81,9 +94,9 @@ def forecast_quality(pred: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
         F.count("*").alias("samples"),
         F.avg("prediction").alias("avg_predicted_return_pct"),
         F.avg("target").alias("avg_realized_return_pct"),
-        F.median("target").alias("median_realized_return_pct"),
         F.avg(F.col("_right").cast("double")).alias("direction_accuracy"),
     )
+    out = N.joined(out, N.median(rows, [*key, "forecast"], "target", "median_realized_return_pct"), [*key, "forecast"], "left")
     return out.withColumn("sample_share", F.col("samples") / F.sum("samples").over(W.partitionBy(*key)))
 
 

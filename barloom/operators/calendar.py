@@ -13,9 +13,10 @@ def _day(today: str | Column) -> Column:
     return F.lit(today).cast("date") if isinstance(today, str) else today
 
 
-def contract_symbols(registry: DataFrame, start_year: int, end_year: int) -> DataFrame:
+def contract_symbols(registry: DataFrame, start_year: int | Column, end_year: int | Column) -> DataFrame:
     """Every CODE + YY + MM of the registry's products (column code): product, contract, period."""
-    years = F.explode(F.sequence(F.lit(start_year), F.lit(end_year))).alias("year")
+    start, end = (y if isinstance(y, Column) else F.lit(y) for y in (start_year, end_year))
+    years = F.explode(F.sequence(start, end)).alias("year")
     rows = registry.select(F.col("code").alias("product"), years)
     rows = rows.withColumn("month", F.explode(F.sequence(F.lit(1), F.lit(12))))
     name = F.format_string("%s%02d%02d", "product", F.col("year") % 100, "month")

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
+from pyspark.sql.window import WindowSpec
 
 from barloom.functions import columns as C
+from barloom.operators import longseries as N
 from barloom.operators.clean import WEIGHTED
 
 RETURNS, WINDOWS, CHANGES, SCORES = (1, 2, 3, 5, 10, 20), (5, 10, 20, 60), (1, 5, 20), (20, 60)
@@ -38,11 +40,15 @@ def feature_columns(columns: Sequence[str]) -> list[str]:
     return names + [c for c in WEIGHTED if c in columns]
 
 
-def add_features(df: DataFrame, key: Sequence[str] = ("dataset",), horizon: int = 5) -> tuple[DataFrame, DataFrame, list[str]]:
-    """Feature rows (all features known), model rows (the target too), and the features' names.
+def _with_features(df: DataFrame, key: Sequence[str], ahead: Callable[[WindowSpec], dict[str, Column]], reach: int, block_rows: int | None, has_weighted: Column | None) -> tuple[DataFrame, list[str]]:
+    """Rows with all features known, and the features' names; ahead gives columns that look at most ``reach`` rows ahead.
 
-    df is a normalised market frame. All windows share one partitioning and order.
+    All windows share one partitioning and order: a series, or blocks of block_rows
+    rows of it with the rows that their windows reach. has_weighted says for each row
+    whether its series has the optional columns; where not, they need not be known.
     """
+    if block_rows:
+        df, key = N.haloed(df, key, before=max(WINDOWS), after=reach, rows=block_rows), [*key, "_block"]
     w = W.partitionBy(*key).orderBy("date")
     out = df.withColumns({"_volume": C.zero_to_null("volume"), "_oi": C.zero_to_null("open_interest")})
     out = out.withColumn("daily_return_pct", C.log_return("close", 1, w))
@@ -55,14 +61,43 @@ def add_features(df: DataFrame, key: Sequence[str] = ("dataset",), horizon: int
     new |= {
         "intraday_range_pct": F.try_divide(F.col("high") - F.col("low"), F.col("close")) * 100,
         "settle_close_spread_pct": C.share_pct("settle", "close"),
-        target_column(horizon): C.forward_return("close", horizon, w),
+        **ahead(w),
     }
     if "oi_weighted_close" in df.columns:
         new["oi_volume_weighted_close_gap_pct"] = C.share_pct("oi_weighted_close", "close")
-    out = out.withColumns(new).withColumn(direction_column(horizon), C.direction(target_column(horizon))).drop("_volume", "_oi")
+    out = out.withColumns(new).drop("_volume", "_oi")
+    out = N.inside(out) if block_rows else out
     names = feature_columns(df.columns)
-    features = out.dropna(subset=names)
-    return features, features.dropna(subset=[target_column(horizon)]), names
+    if has_weighted is None:
+        return out.dropna(subset=names), names
+    optional = [n for n in names if n in WEIGHTED or n == "oi_volume_weighted_close_gap_pct"]
+    # one condition per column: the optimizer multiplies out a condition on many columns
+    filled = out.withColumns({n: F.when(has_weighted, F.col(n)).otherwise(0) for n in optional}).dropna(subset=names)
+    return filled.withColumns({n: F.when(has_weighted, F.col(n)) for n in optional}), names
+
+
+def add_features(df: DataFrame, key: Sequence[str] = ("dataset",), horizon: int = 5, block_rows: int | None = None, has_weighted: Column | None = None) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Feature rows (all features known), model rows (the target too), and the features' names.
+
+    df is a normalised market frame. With block_rows (61 at least) a series is cut
+    into so many rows each, so that a long one is many tasks; the result is the same.
+    """
+    target = target_column(horizon)
+    features, names = _with_features(df, key, lambda w: {target: C.forward_return("close", horizon, w)}, horizon, block_rows, has_weighted)
+    features = features.withColumn(direction_column(horizon), C.direction(target))
+    return features, features.dropna(subset=[target]), names
+
+
+def add_horizons(df: DataFrame, key: Sequence[str] = ("dataset",), horizons: Sequence[int] = (5, 10), block_rows: int | None = None, has_weighted: Column | None = None) -> tuple[DataFrame, DataFrame, list[str]]:
+    """add_features for several horizons in one pass: horizon is a column of the model rows, and so can be a key.
+
+    Feature rows have targets, an array of (horizon, target); model rows are one per
+    horizon with a known target: horizon, target and up.
+    """
+    ahead = lambda w: {"targets": F.array(*[F.struct(F.lit(h).alias("horizon"), C.forward_return("close", h, w).alias("target")) for h in horizons])}
+    features, names = _with_features(df, key, ahead, max(horizons), block_rows, has_weighted)
+    rows = features.withColumn("_of", F.explode("targets")).drop("targets").withColumns({"horizon": F.col("_of.horizon"), "target": F.col("_of.target")}).drop("_of")
+    return features, rows.filter("target IS NOT NULL").withColumn("up", C.direction("target")), names
 
 
 def labelled(df: DataFrame, horizon: int) -> DataFrame:

@@ -8,15 +8,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from barloom.functions.guards import some_rows
 
-def assign_folds(df: DataFrame, key: Sequence[str], horizon: int, start_date: str | None = "2021-05-11", ratio: float = 0.6, min_train: int = 252, test_rows: int = 63, purge: int | None = None) -> DataFrame:
+NO_FOLDS = "not enough rows for a walk-forward fold"
+
+
+def assign_folds(df: DataFrame, key: Sequence[str], horizon: int | str, start_date: str | None = "2021-05-11", ratio: float = 0.6, min_train: int = 252, test_rows: int = 63, purge: int | None = None) -> DataFrame:
     """Adds position, start, fold and train_end to model rows.
 
     Tests begin at the first row of start_date or later if that is at least at
     position min_train, else after the larger of ratio and min_train. Fold k tests
     test_rows rows and trains on the rows before its start less the purge (the
     horizon unless given; 0 leaves none out). Rows before the tests, and tests
-    with fewer than min_train training rows, have no fold.
+    with fewer than min_train training rows, have no fold. horizon may be the name of
+    a column that is constant within a key.
     """
     by_key = W.partitionBy(*key)
     out = df.withColumn("position", F.row_number().over(by_key.orderBy("date")) - 1)
@@ -24,7 +29,7 @@ def assign_folds(df: DataFrame, key: Sequence[str], horizon: int, start_date: st
     late = F.greatest(F.floor(F.lit(ratio) * F.count("*").over(by_key)), F.lit(min_train))
     out = out.withColumn("start", F.when(first >= min_train, first).otherwise(late).cast("int"))
     out = out.withColumn("fold", F.floor((F.col("position") - F.col("start")) / test_rows).cast("int"))
-    gap = horizon if purge is None else purge
+    gap = (F.col(horizon) if isinstance(horizon, str) else F.lit(horizon)) if purge is None else F.lit(purge)
     end = F.greatest(F.col("start") + F.col("fold") * test_rows - gap, F.lit(0))
     tested = (F.col("fold") >= 0) & (end >= min_train)
     return out.withColumns({"train_end": F.when(tested, end), "fold": F.when(tested, F.col("fold"))})
@@ -45,8 +50,14 @@ def with_fold_dates(df: DataFrame, key: Sequence[str]) -> DataFrame:
     return df.filter("fold IS NOT NULL").join(folds, [*key, "fold"])
 
 
+def tested(df: DataFrame) -> DataFrame:
+    """The rows of df that have a fold; reading them fails if none has one."""
+    rows = df.filter("fold IS NOT NULL")
+    return some_rows(rows, rows.select("fold"), NO_FOLDS)
+
+
 def require_folds(df: DataFrame) -> DataFrame:
-    """df, if any row has a fold; else ValueError."""
+    """df, if any row has a fold; else ValueError, at once (tested() fails when it is read)."""
     if df.filter("fold IS NOT NULL").isEmpty():
-        raise ValueError("not enough rows for a walk-forward fold")
+        raise ValueError(NO_FOLDS)
     return df

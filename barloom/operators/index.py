@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from barloom.functions.columns import log_ratio_pct, weighted_average
+from barloom.operators import longseries as N
 
 PRICES = ("open", "high", "low", "close", "settle")
 #: Weights: the column and what its results are called.
@@ -62,9 +65,9 @@ def _rank_aggregates(weight: str, prefix: str, rank: str) -> list[Column]:
     ]
 
 
-def dominant_changed(col: str, key: str = "product", null_is_change: bool = False) -> Column:
+def dominant_changed(col: str, key: str | Sequence[str] = "product", null_is_change: bool = False) -> Column:
     """1 where col differs from the row before, 0 on the first row; two NULLs differ only on request."""
-    w = W.partitionBy(key).orderBy("date")
+    w = W.partitionBy(*([key] if isinstance(key, str) else key)).orderBy("date")
     before = F.lag(col).over(w)
     differs = ~F.col(col).eqNullSafe(before)
     if null_is_change:
@@ -89,6 +92,20 @@ def return_index(df: DataFrame, key: str, ref: str, ret: str, out: str = "return
     return df.withColumn(out, F.when(F.col("_segment") > 0, level)).drop("_anchor", "_segment")
 
 
+def scanned_index(df: DataFrame, key: str, ref: str, ret: str, out: str = "return_index_close") -> DataFrame:
+    """return_index of long series: no task holds one.
+
+    With S the running sum of returns and a the last start or reset at or before a
+    row, its level is ref(a) * exp((S - S(a)) / 100); both are carried from span to span.
+    """
+    known = F.col(ref).isNotNull()
+    df = N.scanned(df, [key], {"_seen": ("sum", known.cast("long")), "_moved": ("sum", F.coalesce(ret, F.lit(0.0)))})
+    anchor = F.when(known & ((F.col("_seen") == 1) | F.col(ret).isNull()), F.struct(F.col(ref).alias("ref"), F.col("_moved").alias("moved")))
+    df = N.scanned(df, [key], {"_anchor": ("last", anchor)})
+    level = F.col("_anchor.ref") * F.exp((F.col("_moved") - F.col("_anchor.moved")) / 100)
+    return df.withColumn(out, level).drop("_seen", "_moved", "_anchor")
+
+
 def rescale_ohlc(df: DataFrame, level: str = "return_index_close") -> DataFrame:
     """Open, high, low and settle of the index: the volume-weighted prices scaled to the level; close is the level."""
     scale = F.try_divide(F.col(level), F.col("volume_weighted_close"))
@@ -96,17 +113,23 @@ def rescale_ohlc(df: DataFrame, level: str = "return_index_close") -> DataFrame:
     return df.withColumns(out | {"close": F.col(level)})
 
 
-def build_index(df: DataFrame, key: str = "product") -> DataFrame:
-    """Contract bars (key, contract, date, measures) as one index row per key and date, 32 columns besides the key."""
+def build_index(df: DataFrame, key: str = "product", block_rows: int | None = None) -> DataFrame:
+    """Contract bars (key, contract, date, measures) as one index row per key and date, 32 columns besides the key.
+
+    With block_rows, no task after the daily sums holds a whole series.
+    """
     rows = contract_returns(df, key)
     rows = rows.withColumns({f"_{name}_rank": _ranked(rows, weight, key) for weight, name in WEIGHTS.items()})
     ranks = [a for weight, name in WEIGHTS.items() for a in _rank_aggregates(weight, name, f"_{name}_rank")]
     days = rows.groupBy(key, "date").agg(*_total_aggregates(), *ranks)
+    by = [key, "_block"] if block_rows else key
+    days = N.haloed(days, [key], before=1, rows=block_rows) if block_rows else days
     days = days.withColumns(
         {
-            "dominant_contract_changed": dominant_changed("dominant_oi_contract", key),
-            "dominant_volume_contract_changed": dominant_changed("dominant_volume_contract", key),
+            "dominant_contract_changed": dominant_changed("dominant_oi_contract", by),
+            "dominant_volume_contract_changed": dominant_changed("dominant_volume_contract", by),
         }
     )
-    days = return_index(days, key, "oi_weighted_close", "oi_weighted_return_pct")
+    level = scanned_index if block_rows else return_index
+    days = level(N.inside(days) if block_rows else days, key, "oi_weighted_close", "oi_weighted_return_pct")
     return rescale_ohlc(days)

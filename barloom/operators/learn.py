@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from barloom.operators.folds import require_folds
+from barloom.operators.folds import tested
 
 
 @dataclass(frozen=True)
@@ -191,9 +191,8 @@ def _dot(features: Sequence[str]) -> F.Column:
 
 
 def walk_forward(df: DataFrame, features: Sequence[str], target: str, learner: Ridge | Trees, key: Sequence[str] = ("dataset",), test_rows: int = 63) -> DataFrame:
-    """The tested rows of df (from assign_folds) with their prediction; ValueError if there is no fold."""
-    require_folds(df)
-    tests = df.filter("fold IS NOT NULL")
+    """The tested rows of df (from assign_folds) with their prediction; reading them fails if there is no fold."""
+    tests = tested(df)
     if isinstance(learner, Ridge):
         found = ridge_coefficients(df, key, features, target, learner.penalty, test_rows).drop("standard")
         return tests.join(found, [*key, "fold"]).withColumn("prediction", _dot(features)).drop("coefficients")
@@ -204,9 +203,11 @@ def final_fit(features: DataFrame, rows: DataFrame, columns: Sequence[str], lear
     """A fit on all model rows of each key: (key, feature, importance), and the last feature row scored.
 
     Importance is the share of the mean split gains for trees, the size of the
-    standardised coefficient for ridge.
+    standardised coefficient for ridge. For ridge, key may have columns of rows that
+    features lacks (horizon): the last row of the others is scored by each fit.
     """
-    last = F.row_number().over(W.partitionBy(*key).orderBy(F.col("date").desc()))
+    base = [k for k in key if k in features.columns]
+    last = F.row_number().over(W.partitionBy(*base).orderBy(F.col("date").desc()))
     latest = features.withColumn("_at", last).filter("_at = 1").drop("_at")
     signal = F.when(F.col("prediction") > 0, 1).otherwise(-1)
     names = F.array(*map(F.lit, columns))
@@ -215,7 +216,7 @@ def final_fit(features: DataFrame, rows: DataFrame, columns: Sequence[str], lear
         found = ridge_coefficients(whole, key, columns, target, learner.penalty)
         pairs = F.explode(F.arrays_zip(names.alias("feature"), F.transform("standard", F.abs).alias("importance"))).alias("of")
         importance = found.select(*key, pairs).select(*key, F.col("of.feature"), F.col("of.importance"))
-        scored = latest.join(found.select(*key, "coefficients"), list(key)).withColumn("prediction", _dot(columns))
+        scored = latest.join(found.select(*key, "coefficients"), base).withColumn("prediction", _dot(columns))
         return importance, scored.select(*key, "date", "close", "prediction", signal.alias("signal"))
     schema = T.StructType([*(rows.schema[k] for k in key), T.StructField("importance", T.ArrayType(T.DoubleType())), T.StructField("prediction", T.DoubleType())])
     ask = latest.select(*key, "date", *columns, F.lit(None).cast("double").alias("_y"), F.lit(True).alias("_ask"))

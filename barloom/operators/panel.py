@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from barloom.functions import columns as C
+from barloom.functions.guards import unique
+from barloom.operators import longseries as N
 
 
 def require_unique(df: DataFrame, key: Sequence[str] = ("symbol", "date")) -> DataFrame:
@@ -19,9 +21,14 @@ def require_unique(df: DataFrame, key: Sequence[str] = ("symbol", "date")) -> Da
     return df
 
 
-def pivot_field(df: DataFrame, field: str, symbols: Sequence[str], check: bool = True) -> DataFrame:
-    """date and one column per symbol, in the given order; repeated (symbol, date) rows are an error."""
-    if check:
+def pivot_field(df: DataFrame, field: str, symbols: Sequence[str], check: bool | str = True) -> DataFrame:
+    """date and one column per symbol, in the given order; repeated (symbol, date) rows are an error.
+
+    check: True looks for them at once, "plan" when the result is read, False never.
+    """
+    if check == "plan":
+        df = unique(df, ("symbol", "date"))
+    elif check:
         require_unique(df)
     return df.groupBy("date").pivot("symbol", list(symbols)).agg(F.first(field))
 
@@ -77,12 +84,15 @@ def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return found.select(F.explode(rows).alias("of")).select("of.*")
 
 
-def rolling_corr(df: DataFrame, pairs: Sequence[tuple[str, str]], n: int = 60, key: Sequence[str] = ()) -> DataFrame:
-    """date and, per pair, corr_<a>_<b> over the last n rows; NULL unless both are known in all of them."""
-    w = W.partitionBy(*(key or [F.lit(0)])).orderBy("date")
-    rows = w.rowsBetween(-(n - 1), 0)
+def rolling_corr(df: DataFrame, pairs: Sequence[tuple[str, str]], n: int = 60, key: Sequence[str] = (), block_rows: int = N.BLOCK) -> DataFrame:
+    """date and, per pair, corr_<a>_<b> over the last n rows; NULL unless both are known in all of them.
+
+    The rows of a key, or all rows, are cut into blocks with the n - 1 rows before each.
+    """
+    df = N.haloed(df, key, before=n - 1, rows=max(block_rows, n))
+    rows = W.partitionBy(*key, "_block").orderBy("date").rowsBetween(-(n - 1), 0)
     out = {f"corr_{a}_{b}": F.when(F.count(F.when(F.col(a).isNotNull(), F.col(b))).over(rows) == n, F.corr(a, b).over(rows)) for a, b in pairs}
-    return df.select(*key, "date", *[c.alias(name) for name, c in out.items()])
+    return df.select(*key, "date", "_inside", *[c.alias(name) for name, c in out.items()]).filter("_inside").drop("_inside")
 
 
 def all_pairs(symbols: Sequence[str], prefix: str = "ret_") -> list[tuple[str, str]]:

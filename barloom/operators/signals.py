@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barloom.functions.guards import guarded
 from barloom.operators.calendar import previous_session
 
 
@@ -25,6 +26,12 @@ def assert_one_source_date(df: DataFrame) -> DataFrame:
     return df
 
 
+def one_source_date(df: DataFrame) -> DataFrame:
+    """df; reading it fails, with the dates, where the horizons of a product have several."""
+    dates = df.groupBy("product").agg(F.array_sort(F.collect_set(F.col("date").cast("string"))).alias("_dates"))
+    return guarded(df, dates, F.size("_dates") > 1, F.concat("product", F.lit(" has inconsistent source dates: "), F.array_join("_dates", ", ")))
+
+
 def payload(df: DataFrame, calendar: DataFrame, report_date: str, generated_at: str, names: DataFrame | None = None) -> DataFrame:
     """One row, column value: the JSON document of all products (df is from latest_signals).
 

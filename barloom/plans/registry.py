@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -86,6 +85,17 @@ def _weighted_market(spark: SparkSession, sf: str) -> DataFrame:
     return P.normalize_market(rows.withColumn("ordinal", F.lit(0)), None, "ordinal")
 
 
+def _both_markets(spark: SparkSession, sf: str) -> DataFrame:
+    """Main and weighted series as one frame, written once; columns that only weighted ones have are NULL for the others.
+
+    The reader fills these in: a plan with a literal NULL for each takes the optimizer minutes.
+    """
+    main, weighted, where = _market(spark, sf), _weighted_market(spark, sf), scratch_path(spark, "markets")
+    for part in (main, weighted):
+        part.write.mode("append").parquet(where)
+    return spark.read.schema(weighted.schema).parquet(where)
+
+
 # --- bar tables and canned questions
 
 SLUGGED = f"WITH {D.MAIN} SELECT symbol, commodity_slug, "
@@ -160,13 +170,10 @@ def csv_round_trip(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {D.MAIN_MARKET} SELECT * FROM market")
 def market_round_trip(spark: SparkSession, sf: str) -> DataFrame:
-    """All main series written as one CSV result, partitioned by dataset, and each read back as a market frame."""
+    """All main series written as one CSV result, partitioned by dataset, and read back as market frames in one scan."""
     where = scratch_path(spark, "market") + ".csv"
-    rows = settled(_market(spark, sf), "market")
-    IO.write_result(rows, where, form="csv")
-    names = [r["dataset"] for r in rows.select("dataset").distinct().orderBy("dataset").collect()]
-    parts = [IO.read_market(spark, f"{where}/dataset={n}/*.csv", n) for n in names]
-    return reduce(DataFrame.unionByName, parts).select("dataset", "date", "open", "high", "low", "close", "volume", "settle", "open_interest")
+    IO.write_result(_market(spark, sf), where, form="csv")
+    return IO.read_market(spark, where).select("dataset", "date", "open", "high", "low", "close", "volume", "settle", "open_interest")
 
 
 @query(
@@ -180,17 +187,19 @@ def manifest(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _registry(spark: SparkSession, sf: str) -> DataFrame:
-    return _lines(spark, sf).select(F.col("l_returnflag").alias("code")).distinct()
+    year = F.year("l_shipdate")
+    return _lines(spark, sf).groupBy(F.col("l_returnflag").alias("code")).agg(F.min(year).alias("start_year"), F.max(year).alias("end_year"))
 
 
+# Two digits of a year stand for 2000 and later, so that earlier years' contracts have later periods.
 _CALENDAR = (
-    "codes AS (SELECT DISTINCT l_returnflag AS product FROM lineitem), months AS (SELECT product, y, m, product || lpad(CAST(y % 100 AS VARCHAR), 2, '0') || lpad(CAST(m AS VARCHAR), 2, '0') AS contract, make_date(y, m, 1) AS period"
-    " FROM codes, range(2000, 2004) a(y), range(1, 13) b(m)), window_ AS (SELECT product, contract, period, (2001 - year(period)) * 12 + 6 - month(period) > 2 AS settled FROM months WHERE (year(period) - 2001) * 12 + month(period) - 6 <= 15)"
+    "codes AS (SELECT l_returnflag AS product, unnest(range(min(year(l_shipdate)), max(year(l_shipdate)) + 1)) AS y FROM lineitem GROUP BY l_returnflag), months AS (SELECT product, y, m, product || lpad(CAST(y % 100 AS VARCHAR), 2, '0') || lpad(CAST(m AS VARCHAR), 2, '0') AS contract, make_date(2000 + y % 100, m, 1) AS period"
+    " FROM codes, range(1, 13) b(m)), window_ AS (SELECT product, contract, period, (2001 - year(period)) * 12 + 6 - month(period) > 2 AS settled FROM months WHERE (year(period) - 2001) * 12 + month(period) - 6 <= 15)"
 )
 
 
 def _calendar(spark: SparkSession, sf: str) -> DataFrame:
-    return K.in_listing_window(K.contract_symbols(_registry(spark, sf), 2000, 2003), DAY)
+    return K.in_listing_window(K.contract_symbols(_registry(spark, sf), F.col("start_year"), F.col("end_year")), DAY)
 
 
 @query(f"WITH {_CALENDAR} SELECT * FROM window_")
@@ -198,7 +207,7 @@ def contract_calendar(spark: SparkSession, sf: str) -> DataFrame:
     return K.with_settled(_calendar(spark, sf), DAY)
 
 
-_CACHED = "cache AS (SELECT l_returnflag || lpad(CAST(year(l_shipdate) % 100 AS VARCHAR), 2, '0') || lpad(CAST(month(l_shipdate) AS VARCHAR), 2, '0') AS contract, CAST(count(*) AS BIGINT) AS n FROM lineitem WHERE l_linenumber <> 3 GROUP BY 1)"
+_CACHED = "cache AS (SELECT l_returnflag || lpad(CAST(year(l_shipdate) % 100 AS VARCHAR), 2, '0') || lpad(CAST(month(l_shipdate) AS VARCHAR), 2, '0') AS contract, CAST(count(*) AS BIGINT) AS n FROM lineitem GROUP BY 1)"
 
 
 @query(
@@ -206,7 +215,7 @@ _CACHED = "cache AS (SELECT l_returnflag || lpad(CAST(year(l_shipdate) % 100 AS
 )
 def refresh_plan(spark: SparkSession, sf: str) -> DataFrame:
     name = F.concat("l_returnflag", F.date_format("l_shipdate", "yyMM"))
-    cached = _lines(spark, sf).filter("l_linenumber <> 3").groupBy(name.alias("contract")).agg(F.count("*").alias("rows"))
+    cached = _lines(spark, sf).groupBy(name.alias("contract")).agg(F.count("*").alias("rows"))
     return K.refresh_plan(_calendar(spark, sf), cached, DAY)
 
 
@@ -283,6 +292,12 @@ def weighted_index(spark: SparkSession, sf: str) -> DataFrame:
     return both_rounded(I.build_index(_contracts(spark, sf)), [n for n in _INDEX_NAMES if n not in _INDEX_PLAIN])
 
 
+@query(ORACLES["weighted_index"])
+def weighted_index_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """The index with levels carried from span to span, and changes by blocks of 256 rows."""
+    return both_rounded(I.build_index(_contracts(spark, sf), block_rows=256), [n for n in _INDEX_NAMES if n not in _INDEX_PLAIN])
+
+
 # --- features and labels
 
 _MAIN5, _NAMES = D.features(D.MAIN_MARKET, 5)
@@ -331,6 +346,24 @@ def hourly_returns(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(rows.select("symbol", F.date_format("date", "yyyy-MM-dd HH").alias("hour"), "close", "volume", "ret", "vol20"), "ret", "vol20")
 
 
+@query(f"WITH {_MAIN5} SELECT dataset, date, close, {_sql_rounded(['daily_return_pct', *_NAMES])} FROM feats")
+def features_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """The features of blocks of 256 rows: many tasks a series, the same values."""
+    rows, _, names = X.add_features(_market(spark, sf), horizon=5, block_rows=256)
+    return rounded(rows.select("dataset", "date", "close", "daily_return_pct", *names), "daily_return_pct", *names)
+
+
+HORIZONS = (5, 10)
+_TARGETS = "SELECT dataset, date, {0} AS horizon, {1} AS target, up FROM feats WHERE target IS NOT NULL"
+
+
+@query(" UNION ALL ".join(f"SELECT * FROM (WITH {cte} {_TARGETS.format(h, D.R('target'))})" for h, cte in zip(HORIZONS, (_MAIN5, _MAIN10), strict=True)))
+def labels_by_horizon(spark: SparkSession, sf: str) -> DataFrame:
+    """All horizons from one window pass, as a key."""
+    rows = X.add_horizons(_market(spark, sf), horizons=HORIZONS, block_rows=512)[1]
+    return rounded(rows.select("dataset", "date", "horizon", "target", "up"), "target")
+
+
 # --- folds
 
 
@@ -402,8 +435,15 @@ def backtest(spark: SparkSession, sf: str) -> DataFrame:
 _METRICS = ["mae", "rmse", "r2", "directional_accuracy", "strategy_total_return_pct", "buy_hold_total_return_pct", "strategy_annual_return_pct", "strategy_annual_vol_pct", "strategy_sharpe", "max_drawdown_pct"]
 
 
-def _metrics(spark: SparkSession, sf: str, weighted: bool = False) -> DataFrame:
-    pred, rows, _ = _predictions(spark, sf, weighted)
+@query(ORACLES["backtest"])
+def backtest_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """Positions by blocks of 256 rows, equities carried from span to span."""
+    pred, _, _ = _predictions(spark, sf)
+    return rounded(B.backtest(pred, block_rows=256).select("dataset", "date", "fold", "signal", "position", "turnover", *_BT_NAMES), *_BT_NAMES)
+
+
+def _metrics(spark: SparkSession, sf: str) -> DataFrame:
+    pred, rows, _ = _predictions(spark, sf)
     return rounded(B.metrics(B.backtest(pred), model_rows=rows), *_METRICS).drop("horizon")
 
 
@@ -414,8 +454,39 @@ def metrics(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"SELECT * FROM (WITH {D.metrics(_BT)} SELECT * FROM scored JOIN known USING (dataset)) UNION ALL SELECT * FROM (WITH {D.metrics(_WBT)} SELECT * FROM scored JOIN known USING (dataset))")
 def compare_datasets(spark: SparkSession, sf: str) -> DataFrame:
-    """Main and weighted series side by side."""
-    return _metrics(spark, sf).unionByName(_metrics(spark, sf, weighted=True))
+    """Main and weighted series side by side: one market frame, one plan."""
+    features = X.add_features(_both_markets(spark, sf), horizon=5, has_weighted=F.endswith(F.col("dataset"), F.lit("_weighted")))[1]
+    features = settled(features, "features")
+    rows = settled(M.assign_folds(X.labelled(features, 5), ["dataset"], 5, start_date=None), "model-rows")
+    pred = rows.filter("fold IS NOT NULL").withColumn("prediction", F.col("return_5d_pct"))
+    return rounded(B.metrics(B.backtest(pred), model_rows=rows), *_METRICS).drop("horizon")
+
+
+@query(ORACLES["metrics"])
+def metrics_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """Metrics of backtest_blocks, the highest equity so far carried from span to span."""
+    pred, rows, _ = _predictions(spark, sf)
+    return rounded(B.metrics(B.backtest(pred, block_rows=256), model_rows=rows, long=True), *_METRICS).drop("horizon")
+
+
+def _by_horizon(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Feature rows, and model rows of all horizons with their folds."""
+    features, rows, names = X.add_horizons(_market(spark, sf), horizons=HORIZONS)
+    features = settled(features, "features")
+    rows = features.withColumn("_of", F.explode("targets")).drop("targets").withColumns({"horizon": F.col("_of.horizon"), "target": F.col("_of.target")}).drop("_of")
+    return features, M.assign_folds(rows.filter("target IS NOT NULL"), B.KEY, "horizon", start_date=None), names
+
+
+_BT10 = D.backtest(D.folds(_MAIN10, 10))
+
+
+@query(" UNION ALL ".join(f"SELECT {h} AS horizon, * FROM (WITH {D.metrics(bt)} SELECT * FROM scored JOIN known USING (dataset))" for h, bt in zip(HORIZONS, (_BT, _BT10), strict=True)))
+def metrics_by_horizon(spark: SparkSession, sf: str) -> DataFrame:
+    """Both horizons backtested in one plan."""
+    _, rows, _ = _by_horizon(spark, sf)
+    rows = settled(rows, "model-rows")
+    pred = rows.filter("fold IS NOT NULL").withColumn("prediction", F.col("return_5d_pct"))
+    return rounded(B.metrics(B.backtest(pred), model_rows=rows), *_METRICS)
 
 
 _QUALITY = ["avg_predicted_return_pct", "avg_realized_return_pct", "median_realized_return_pct", "direction_accuracy", "sample_share"]
@@ -453,20 +524,45 @@ def signals(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def signals_document(spark: SparkSession, sf: str) -> DataFrame:
     """The published JSON document of both horizons, written as text and read back."""
-    live, quality = [], []
-    for h in (5, 10):
-        features = settled(X.add_features(_market(spark, sf), horizon=h)[0], "features")
-        pred = M.assign_folds(X.labelled(features.dropna(subset=[X.target_column(h)]), h), ["dataset"], h, start_date=None).filter("fold IS NOT NULL")
-        pred = pred.withColumn("prediction", F.col("return_5d_pct")).withColumnRenamed("dataset", "product")
-        quality.append(B.forecast_quality(pred, ("product", "horizon")))
-        last = Q.latest(features, ["dataset"]).withColumns({"prediction": F.col("return_5d_pct"), "horizon": F.lit(h)})
-        live.append(last.select(F.col("dataset").alias("product"), "horizon", "date", "close", "prediction", F.when(F.col("prediction") > 0, 1).otherwise(-1).alias("signal")))
-    join = lambda parts: reduce(DataFrame.unionByName, parts)
-    found = S.assert_one_source_date(S.latest_signals(join(live), join(quality)))
+    return spark.read.text(_published(spark, sf))
+
+
+def _published(spark: SparkSession, sf: str) -> str:
+    """Where the document of all products and horizons is, which come from one plan."""
+    features, rows, _ = _by_horizon(spark, sf)
+    pred = M.tested(rows).withColumn("prediction", F.col("return_5d_pct")).withColumnRenamed("dataset", "product")
+    quality = B.forecast_quality(settled(pred.select("product", "horizon", "target", "prediction"), "predictions"), ("product", "horizon"))
+    last = Q.latest(features, ["dataset"]).withColumn("prediction", F.col("return_5d_pct"))
+    signal = F.when(F.col("prediction") > 0, 1).otherwise(-1).alias("signal")
+    live = last.select(F.col("dataset").alias("product"), F.explode(F.array(*map(F.lit, HORIZONS))).alias("horizon"), "date", "close", "prediction", signal)
+    found = S.one_source_date(S.latest_signals(live, quality))
     calendar = read_table(spark, sf, "orders").select(F.to_date("o_orderdate").alias("trade_date"))
     where = scratch_path(spark, "signals")
     IO.write_document(S.payload(found, calendar, "2002-01-01", "2002-01-01T00:00:00+09:00"), where)
-    return spark.read.text(where)
+    return where
+
+
+_FORECAST = "struct<predicted_return_pct: double, signal: int, direction: string, quality: struct<samples: bigint, avg_realized_return_pct: double, direction_accuracy: double>>"
+_DOCUMENT = f"schema_version int, generated_at string, report_date string, is_trading_day boolean, expected_source_date string, products map<string, struct<source_date: string, close: double, forecasts: map<string, {_FORECAST}>>>"
+
+
+def _published_sql(h: int, bt: str) -> str:
+    return (
+        f"SELECT * FROM (WITH {D.quality(bt)}, {_LIVE}, day AS (SELECT max(CAST(o_orderdate AS DATE)) AS session, EXISTS (SELECT 1 FROM orders WHERE CAST(o_orderdate AS DATE) = DATE '2002-01-01') AS open FROM orders WHERE o_orderdate < DATE '2002-01-01')"
+        f" SELECT 1 AS schema_version, '2002-01-01' AS report_date, open AS is_trading_day, strftime(session, '%Y-%m-%d') AS expected_source_date, dataset AS product, strftime(date, '%Y-%m-%d') AS source_date, close, {h} AS horizon, {D.R('prediction')} AS predicted_return_pct, signal, CASE WHEN signal > 0 THEN 'bullish' ELSE 'bearish' END AS direction, samples, avg_realized_return_pct, direction_accuracy"
+        " FROM live l CROSS JOIN day LEFT JOIN (SELECT dataset AS d, forecast, samples, avg_realized_return_pct, direction_accuracy FROM quality) q ON l.dataset = q.d AND q.forecast = CASE WHEN signal > 0 THEN 'bullish' ELSE 'bearish' END)"
+    )
+
+
+@query(" UNION ALL ".join(map(_published_sql, HORIZONS, (_BT, _BT10))))
+def published_signals(spark: SparkSession, sf: str) -> DataFrame:
+    """The written document, parsed: a row for each product and horizon."""
+    doc = spark.read.text(_published(spark, sf)).select(F.from_json("value", _DOCUMENT).alias("doc")).select("doc.*")
+    rows = doc.select("schema_version", "report_date", "is_trading_day", "expected_source_date", F.explode("products").alias("product", "of"))
+    rows = rows.select("*", "of.source_date", "of.close", F.explode("of.forecasts").alias("horizon", "forecast")).drop("of")
+    out = rows.select(*[c for c in rows.columns if c not in ("horizon", "forecast")], F.col("horizon").cast("int").alias("horizon"), "forecast.*")
+    out = out.select("*", "quality.*").drop("quality")
+    return rounded(out, "predicted_return_pct", "avg_realized_return_pct", "direction_accuracy")
 
 
 # --- learners
@@ -483,14 +579,48 @@ def walk_forward_ridge(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def walk_forward_ridge_metrics(spark: SparkSession, sf: str) -> DataFrame:
     """The ridge forecasts of both horizons, backtested."""
-    parts = []
-    for h in (5, 10):
-        rows, names = _model_rows(spark, sf, h)
-        parts.append(L.walk_forward(M.assign_folds(rows, ["dataset"], h, start_date=None), names, "target", L.ridge()))
-    pred = parts[0].unionByName(parts[1])
+    _, rows, names = _by_horizon(spark, sf)
+    pred = settled(L.walk_forward(settled(rows, "model-rows"), names, "target", L.ridge(), B.KEY), "predictions")
     return rounded(B.metrics(B.backtest(pred)), *_METRICS)
 
 
+_PAIR = ("return_5d_pct", "volatility_20d_pct")
+_PAIR_FOLDS = "SELECT e.dataset, e.fold, p.* EXCLUDE (dataset, fold) FROM (SELECT DISTINCT dataset, fold, train_end FROM folded WHERE fold IS NOT NULL) e JOIN folded p ON p.dataset = e.dataset AND p.position < e.train_end"
+
+
+@query(f"WITH {D.ridge_pair(D.folds(_MAIN5, 5), *_PAIR, 2.0, _PAIR_FOLDS)} SELECT f.dataset, f.date, f.fold, {D.R('f.target')} AS target, {D.R('k + b1 * f.return_5d_pct + b2 * f.volatility_20d_pct')} AS prediction FROM folded f JOIN fit ON fit.dataset = f.dataset AND fit.fold = f.fold")
+def walk_forward_ridge_pair(spark: SparkSession, sf: str) -> DataFrame:
+    """Ridge of two features on every fold, which SQL can solve."""
+    rows, _ = _model_rows(spark, sf)
+    out = L.walk_forward(M.assign_folds(rows, ["dataset"], 5, start_date=None), _PAIR, "target", L.ridge(2.0))
+    return rounded(out.select("dataset", "date", "fold", "target", "prediction"), "target", "prediction")
+
+
+def _final_pair(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Final fits of two features for all products and horizons at once: importance and latest forecasts."""
+    features, rows, _ = _by_horizon(spark, sf)
+    return L.final_fit(features, settled(rows, "model-rows"), _PAIR, L.ridge(2.0), key=B.KEY)
+
+
+_PAIR_WHOLE = "SELECT *, 0 AS fold FROM feats WHERE target IS NOT NULL"
+
+
+@query(" UNION ALL ".join(f"SELECT * FROM (WITH {D.ridge_pair(cte, *_PAIR, 2.0, _PAIR_WHOLE)} SELECT dataset, {h} AS horizon, '{x}' AS feature, {D.R(f'abs({z})')} AS importance FROM fit)" for h, cte in zip(HORIZONS, (_MAIN5, _MAIN10), strict=True) for x, z in zip(_PAIR, ("z1", "z2"), strict=True)))
+def importance_pair(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(_final_pair(spark, sf)[0], "importance")
+
+
+@query(
+    " UNION ALL ".join(
+        f"SELECT * FROM (WITH {D.ridge_pair(cte, *_PAIR, 2.0, _PAIR_WHOLE)}, last AS (SELECT * FROM feats QUALIFY row_number() OVER (PARTITION BY dataset ORDER BY date DESC) = 1), scored AS (SELECT dataset, date, close, k + b1 * return_5d_pct + b2 * volatility_20d_pct AS p FROM last JOIN fit USING (dataset))"
+        f" SELECT dataset, {h} AS horizon, date, close, {D.R('p')} AS prediction, CASE WHEN p > 0 THEN 1 ELSE -1 END AS signal FROM scored)"
+        for h, cte in zip(HORIZONS, (_MAIN5, _MAIN10), strict=True)
+    )
+)
+def latest_forecast_pair(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(_final_pair(spark, sf)[1], "prediction")
+
+
 @query()
 def walk_forward_trees(spark: SparkSession, sf: str) -> DataFrame:
     """Boosted trees on every series, a fit of all trees per fold, each in a task of its own."""
@@ -617,12 +747,79 @@ def fevd(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(V.fevd(_irf(spark, sf), key=["panel"]), "share_pct")
 
 
-@query()
-def adf(spark: SparkSession, sf: str) -> DataFrame:
+def _var1(spark: SparkSession, sf: str) -> DataFrame:
+    return V.var_fit(_panel(spark, sf), ["panel"], _RETS, max_lag=1)
+
+
+@query(f"WITH {D.VAR1} {D.VAR1_FIT}")
+def var_fit_one_lag(spark: SparkSession, sf: str) -> DataFrame:
+    """Coefficients (row 0: constants) and residual covariances of the fit of one lag, by place."""
+    fit = settled(_var1(spark, sf), "var")
+
+    def cells(part: str, c: str) -> DataFrame:
+        rows = fit.select(F.lit(part).alias("part"), F.posexplode(c).alias("i", "row"))
+        return rows.select("part", "i", F.posexplode("row").alias("j", "value"))
+
+    return rounded(cells("coefficient", "coefficients").unionByName(cells("sigma", "sigma")), "value")
+
+
+def _irf1(spark: SparkSession, sf: str) -> DataFrame:
+    return settled(V.orth_irf(_var1(spark, sf), ["panel"]), "irf")
+
+
+@query(f"WITH {D.VAR1} SELECT response, shock, step, {D.R('value')} AS value FROM responses")
+def irf_one_lag(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(_irf1(spark, sf).drop("panel"), "value")
+
+
+_PEAKS = f"response, shock, {D.R('day0')} AS day0_response, peak_abs_day, {D.R('peak')} AS peak_response, {D.R('total')} AS cumulative_response FROM peaks"
+
+
+@query(f"WITH {D.VAR1} SELECT {_PEAKS}")
+def irf_summary_one_lag(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(V.irf_summary(_irf1(spark, sf)), "day0_response", "peak_response", "cumulative_response")
+
+
+@query(f"WITH {D.VAR1} SELECT {_PEAKS} WHERE response <> shock ORDER BY abs(total) DESC, response, shock LIMIT 5")
+def top_cross_irf_one_lag(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(V.top_cross_irf(V.irf_summary(_irf1(spark, sf))), "day0_response", "peak_response", "cumulative_response")
+
+
+_SHARES_SQL = "squares AS (SELECT response, shock, step, sum(value * value) OVER (PARTITION BY response, shock ORDER BY step ROWS UNBOUNDED PRECEDING) AS s FROM responses)"
+
+
+@query(f"WITH {D.VAR1}, {_SHARES_SQL} SELECT response AS target, step AS horizon_days, shock, {D.R('s / sum(s) OVER (PARTITION BY response, step) * 100')} AS share_pct FROM squares WHERE step IN (1, 5, 10, 20)")
+def fevd_one_lag(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(V.fevd(_irf1(spark, sf)), "share_pct")
+
+
+@query(f"WITH {D.VAR1}, {_SHARES_SQL} SELECT response AS target, step AS horizon_days, shock, {D.R('s / sum(s) OVER (PARTITION BY response, step) * 100')} AS share_pct FROM squares WHERE step = 20")
+def fevd_after_20_days(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(V.fevd_at(V.fevd(_irf1(spark, sf)), 20), "share_pct")
+
+
+def _series(spark: SparkSession, sf: str) -> DataFrame:
+    """log_close and return of each symbol, long."""
     long = A.common_features(_main(spark, sf), SYMBOLS)
     kinds = F.explode(F.array(F.struct(F.lit("log_close").alias("series"), F.ln("close").alias("value")), F.struct(F.lit("return").alias("series"), F.col("ret").alias("value"))))
-    rows = long.select("symbol", "date", kinds.alias("of")).select("symbol", "date", "of.*")
-    return rounded(V.adf(rows, ["symbol", "series"], "value"), "adf_stat", "p_value")
+    return long.select("symbol", "date", kinds.alias("of")).select("symbol", "date", "of.*")
+
+
+_DF = (
+    "pairs AS (SELECT symbol, 'log_close' AS series, date, ln(close) AS y FROM long UNION ALL SELECT symbol, 'return', date, ret FROM long), known AS (SELECT *, lag(y) OVER (PARTITION BY symbol, series ORDER BY date) AS x FROM pairs WHERE y IS NOT NULL)"
+    ", sums AS (SELECT symbol, series, count(*) AS n, count(*) * var_pop(x) AS xx, count(*) * covar_pop(x, y - x) AS xy, count(*) * var_pop(y - x) AS yy FROM known WHERE x IS NOT NULL GROUP BY symbol, series)"
+)
+
+
+@query(f"WITH {D.PANEL}, {_DF} SELECT symbol, series, {D.R('(xy / xx) / sqrt((yy - xy * xy / xx) / (n - 2) / xx)')} AS adf_stat, 0 AS used_lag, n AS nobs FROM sums")
+def dickey_fuller(spark: SparkSession, sf: str) -> DataFrame:
+    """The unit root test without lagged differences."""
+    return rounded(V.adf(_series(spark, sf), ["symbol", "series"], "value", max_lag=0).drop("p_value", "stationary_at_5pct"), "adf_stat")
+
+
+@query()
+def adf(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(V.adf(_series(spark, sf), ["symbol", "series"], "value"), "adf_stat", "p_value")
 
 
 # --- streaming

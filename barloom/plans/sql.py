@@ -186,3 +186,60 @@ WIDE = (
     + ", ".join(f"max({k}) FILTER (WHERE symbol = '{s}') AS {k}_{s}" for s in SYMBOLS for k in ("close", "ret", "vol20", "volume_chg", "hold_chg"))
     + " FROM long GROUP BY date)"
 )
+
+
+# --- a vector autoregression of one lag, by the adjugate of a 3 x 3 matrix
+
+_C = [f"ret_{s}" for s in SYMBOLS]
+_N = range(3)
+
+
+def _var1() -> str:
+    """CTEs up to irf (step and m<response><shock>), from b<regressor><equation>, k<equation> and s<row><column>."""
+    cov = lambda a, b: f"count(*) * covar_pop({a}, {b})"
+    sums = [f"{cov(f'x{i}', f'x{j}')} AS c{i}{j}" for i in _N for j in _N if i <= j]
+    sums += [f"{cov(f'x{i}', f'y{j}')} AS d{i}{j}" for i in _N for j in _N]
+    sums += [f"{cov(f'y{i}', f'y{j}')} AS e{i}{j}" for i in _N for j in _N if i <= j]
+    sums += [f"avg({v}{i}) AS {v}m{i}" for v in "xy" for i in _N]
+    inverse = {"00": "c11 * c22 - c12 * c12", "01": "c02 * c12 - c01 * c22", "02": "c01 * c12 - c02 * c11", "11": "c00 * c22 - c02 * c02", "12": "c01 * c02 - c00 * c12", "22": "c00 * c11 - c01 * c01"}
+    at = lambda i, j: f"i{min(i, j)}{max(i, j)}"
+    product = lambda terms: " + ".join(terms)
+    slopes = [f"({product(f'{at(i, k)} * d{k}{j}' for k in _N)}) / det AS b{i}{j}" for i in _N for j in _N]
+    constants = [f"ym{j} - ({product(f'b{i}{j} * xm{i}' for i in _N)}) AS k{j}" for j in _N]
+    errors = [f"(e{i}{j} - ({product(f'b{k}{i} * d{k}{j}' for k in _N)})) / (n - 4) AS s{i}{j}" for i in _N for j in _N if i <= j]
+    root = ["sqrt(s00) AS m00", "CAST(0 AS DOUBLE) AS m01", "CAST(0 AS DOUBLE) AS m02", "s01 / sqrt(s00) AS m10", "sqrt(s11 - pow(s01, 2) / s00) AS m11", "CAST(0 AS DOUBLE) AS m12", "s02 / sqrt(s00) AS m20", "(s12 - s02 * s01 / s00) / sqrt(s11 - pow(s01, 2) / s00) AS m21"]
+    root.append("sqrt(s22 - pow(s02, 2) / s00 - pow((s12 - s02 * s01 / s00) / sqrt(s11 - pow(s01, 2) / s00), 2)) AS m22")
+    steps = [f"{product(f'b{k}{r} * m{k}{s}' for k in _N)} AS m{r}{s}" for r in _N for s in _N]
+    return (
+        f"{WIDE}, known AS (SELECT date, {', '.join(f'{c} AS y{i}' for i, c in enumerate(_C))} FROM panel WHERE {' AND '.join(f'{c} IS NOT NULL' for c in _C)})"
+        f", lagged AS (SELECT *, {', '.join(f'lag(y{i}) OVER (ORDER BY date) AS x{i}' for i in _N)} FROM known)"
+        f", sums AS (SELECT count(*) AS n, {', '.join(sums)} FROM lagged WHERE x0 IS NOT NULL)"
+        f", inverse AS (SELECT *, {', '.join(f'{v} AS i{k}' for k, v in inverse.items())}, c00 * ({inverse['00']}) + c01 * ({inverse['01']}) + c02 * ({inverse['02']}) AS det FROM sums)"
+        f", slopes AS (SELECT *, {', '.join(slopes)} FROM inverse), fit AS (SELECT *, {', '.join([*constants, *errors])} FROM slopes)"
+        f", irf AS (WITH RECURSIVE r AS (SELECT 0 AS step, {', '.join(root)}, {', '.join(f'b{i}{j}' for i in _N for j in _N)} FROM fit"
+        f" UNION ALL SELECT step + 1, {', '.join(steps)}, {', '.join(f'b{i}{j}' for i in _N for j in _N)} FROM r WHERE step < 20) SELECT * FROM r)"
+        f", responses AS ({' UNION ALL '.join(f'''SELECT '{_C[r]}' AS response, '{_C[s]}' AS shock, step, m{r}{s} AS value FROM irf''' for r in _N for s in _N)})"
+        ", later AS (SELECT *, row_number() OVER (PARTITION BY response, shock ORDER BY abs(value) DESC, step) AS nth FROM responses WHERE step > 0)"
+        ", peaks AS (SELECT l.response, l.shock, max(z.value) AS day0, max(l.step) FILTER (WHERE nth = 1) AS peak_abs_day, max(l.value) FILTER (WHERE nth = 1) AS peak, sum(l.value) AS total FROM later l JOIN responses z ON z.response = l.response AND z.shock = l.shock AND z.step = 0 GROUP BY l.response, l.shock)"
+    )
+
+
+VAR1 = _var1()
+VAR1_FIT = " UNION ALL ".join(
+    [f"SELECT 'coefficient' AS part, 0 AS i, {j} AS j, {R(f'k{j}')} AS value FROM fit" for j in _N]
+    + [f"SELECT 'coefficient' AS part, {i + 1} AS i, {j} AS j, {R(f'b{i}{j}')} AS value FROM fit" for i in _N for j in _N]
+    + [f"SELECT 'sigma' AS part, {i} AS i, {j} AS j, {R(f's{min(i, j)}{max(i, j)}')} AS value FROM fit" for i in _N for j in _N]
+)
+
+
+def ridge_pair(cte: str, x1: str, x2: str, penalty: float, train: str) -> str:
+    """CTEs up to fit (dataset, fold, slopes b1 and b2, standardised slopes z1 and z2, constant k); train: rows d, fold and f (the folded rows)."""
+    cov = lambda a, b: f"count(*) * covar_pop({a}, {b})"
+    return (
+        f"{cte}, train AS ({train})"
+        f", moments AS (SELECT dataset, fold, count(*) AS n, avg({x1}) AS m1, avg({x2}) AS m2, avg(target) AS my, {cov(x1, x1)} AS c11, {cov(x1, x2)} AS c12, {cov(x2, x2)} AS c22, {cov(x1, 'target')} AS d1, {cov(x2, 'target')} AS d2 FROM train GROUP BY dataset, fold)"
+        f", scaled AS (SELECT *, sqrt(c11 / n) AS g1, sqrt(c22 / n) AS g2 FROM moments)"
+        f", system AS (SELECT *, c11 / (g1 * g1) + {penalty} AS a11, c12 / (g1 * g2) AS a12, c22 / (g2 * g2) + {penalty} AS a22, d1 / g1 AS r1, d2 / g2 AS r2 FROM scaled)"
+        ", solved AS (SELECT *, (a22 * r1 - a12 * r2) / (a11 * a22 - a12 * a12) AS z1, (a11 * r2 - a12 * r1) / (a11 * a22 - a12 * a12) AS z2 FROM system)"
+        ", fit AS (SELECT dataset, fold, z1, z2, z1 / g1 AS b1, z2 / g2 AS b2, my - z1 / g1 * m1 - z2 / g2 * m2 AS k FROM solved)"
+    )

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.functions.columns import clean
-from barloom.operators.clean import normalize_market
+from barloom.functions.guards import some_rows
+from barloom.operators.clean import dated, normalize_market
 from barloom.sources.schemas import BAR_FILE, BARS, CONTRACT_FILE, MEASURES, validate_columns
 
 
@@ -19,15 +19,16 @@ def _file_stem() -> Column:
     return F.regexp_extract(F.col("_metadata.file_name"), r"^([^.]+)", 1)
 
 
-def read_bars(spark: SparkSession, path: str | list[str], registry: DataFrame | None = None, schema: T.StructType = BAR_FILE, key_from_path: Column | None = None) -> DataFrame:
+def read_bars(spark: SparkSession, path: str | list[str], registry: DataFrame | None = None, schema: T.StructType = BAR_FILE, key_from_path: Column | None = None, on_bad: str = "drop", rejects: Observation | None = None) -> DataFrame:
     """One CSV file per symbol as the long bar table; the symbol is the file's name up to the first dot.
 
+    Rows without a date are left out; dates and numbers that do not parse go as clean.dated says.
+
     registry (symbol, commodity_slug), a small dimension, names the slugs; without
     it they are NULL. Rows of symbols that it lacks stay, with a NULL slug.
     """
     key = key_from_path if key_from_path is not None else _file_stem()
-    rows = _csv(spark, path, schema).withColumn("symbol", key).withColumn("date", F.expr("try_cast(date AS date)"))
-    rows = rows.withColumns({c: clean(c) for c in MEASURES})
+    rows = dated(_csv(spark, path, schema).withColumn("symbol", key), MEASURES, on_bad, rejects)
     if registry is None:
         rows = rows.withColumn("commodity_slug", F.lit(None).cast("string"))
     else:
@@ -35,26 +36,36 @@ def read_bars(spark: SparkSession, path: str | list[str], registry: DataFrame |
     return rows.select(*[F.col(f.name).cast(f.dataType) for f in BARS.fields])
 
 
-def read_contracts(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Contract files (laid out <product>/<contract>.csv) as product, contract, date and measures.
+def read_contracts(spark: SparkSession, path: str | list[str], rejects: Observation | None = None, lazy: bool = False) -> DataFrame:
+    """Contract files (laid out <product>/<contract>.csv) as product, contract, date, measures and path.
 
-    Numbers are coerced; rows without a date or a close are dropped. No row at all is an error.
+    Numbers are coerced; rows without a date or a close are dropped (rejects counts
+    the bad ones). No row at all is an error: at once, or (lazy) when the result is read.
     """
     rows = _csv(spark, path, CONTRACT_FILE)
     rows = rows.withColumn("product", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1))
-    rows = rows.withColumn("path", F.col("_metadata.file_path")).withColumn("date", F.expr("try_cast(date AS date)"))
-    rows = rows.withColumns({c: clean(c) for c in MEASURES}).dropna(subset=["date", "close"])
+    rows = rows.withColumn("path", F.col("_metadata.file_path"))
+    rows = dated(rows, MEASURES, "drop", rejects).dropna(subset=["close"]).select("product", "contract", "date", *MEASURES, "path")
+    missing = f"no contract rows under {path}"
+    if lazy:
+        return some_rows(rows, rows.select("close"), missing)
     if rows.isEmpty():
-        raise ValueError(f"no contract rows under {path}")
-    return rows.select("product", "contract", "date", *MEASURES, "path")
+        raise ValueError(missing)
+    return rows
+
 
+def read_market(spark: SparkSession, path: str, dataset: str | None = None, on_bad: str = "raise", rejects: Observation | None = None) -> DataFrame:
+    """Main or weighted series from CSV (*.csv) or Parquet, normalised; the file's own row order decides repeats.
 
-def read_market(spark: SparkSession, path: str, dataset: str) -> DataFrame:
-    """A main or weighted series from CSV (*.csv) or Parquet, normalised; the file's own row order decides repeats."""
-    csv = spark.read.option("header", True).option("inferSchema", True)
+    CSV is read as text and coerced, in one scan. dataset=None: path is a folder
+    with a part dataset=<name> for each series, all read at once.
+    """
+    csv = spark.read.option("header", True).option("inferSchema", False)
     raw = csv.csv(path) if path.endswith(".csv") else spark.read.parquet(path)
+    if dataset is None:
+        raw = raw.withColumn("dataset", F.col("dataset").cast("string"))
     ordinal = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
-    return normalize_market(raw.withColumn("_ordinal", ordinal), dataset, "_ordinal")
+    return normalize_market(raw.withColumn("_ordinal", ordinal), dataset, "_ordinal", on_bad=on_bad, rejects=rejects)
 
 
 def save_bars(df: DataFrame, table: str, by: str = "symbol", partial: bool = False) -> None:
