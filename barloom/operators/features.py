@@ -40,6 +40,13 @@ def feature_columns(columns: Sequence[str]) -> list[str]:
     return names + [c for c in WEIGHTED if c in columns]
 
 
+def _known(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """dropna, with a condition for each column: one on all of them doubles in the optimizer with every column renamed."""
+    for n in names:
+        df = df.filter(F.col(n).isNotNull())
+    return df
+
+
 def _with_features(df: DataFrame, key: Sequence[str], ahead: Callable[[WindowSpec], dict[str, Column]], reach: int, block_rows: int | None, has_weighted: Column | None) -> tuple[DataFrame, list[str]]:
     """Rows with all features known, and the features' names; ahead gives columns that look at most ``reach`` rows ahead.
 
@@ -69,10 +76,10 @@ def _with_features(df: DataFrame, key: Sequence[str], ahead: Callable[[WindowSpe
     out = N.inside(out) if block_rows else out
     names = feature_columns(df.columns)
     if has_weighted is None:
-        return out.dropna(subset=names), names
+        return _known(out, names), names
     optional = [n for n in names if n in WEIGHTED or n == "oi_volume_weighted_close_gap_pct"]
-    # one condition per column: the optimizer multiplies out a condition on many columns
-    filled = out.withColumns({n: F.when(has_weighted, F.col(n)).otherwise(0) for n in optional}).dropna(subset=names)
+    filled = out.withColumns({n: F.when(has_weighted, F.col(n)).otherwise(0) for n in optional})
+    filled = _known(filled, names)
     return filled.withColumns({n: F.when(has_weighted, F.col(n)) for n in optional}), names
 
 

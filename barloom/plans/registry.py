@@ -26,6 +26,7 @@ from barloom.sources.adapters import read_table
 from barloom.sources.schemas import BARS, MEASURES
 from barloom.sources.scratch import scratch_path, settled
 from barloom.streaming.refresh import refresh_bars as stream_refresh
+from barloom.streaming.refresh import refresh_index as stream_index
 
 FLAGSHIP = "weighted_index"
 SYMBOLS = D.SYMBOLS
@@ -183,6 +184,44 @@ def manifest(spark: SparkSession, sf: str) -> DataFrame:
     return IO.contract_manifest(_contracts(spark, sf))
 
 
+_FILE_ROWS = f"{D.CONTRACTS}, filed AS (SELECT product, contract, date, open, CASE WHEN day(date) <> 29 THEN high END AS high, low, close, CASE WHEN day(date) <> 13 THEN volume END AS volume, hold, settle FROM contracts WHERE day(date) < 30)"
+
+
+def _contract_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Contract bars written as CSV files in a folder for each product, some values spoilt, and read back.
+
+    Of a month's days the 31st has no date, the 30th no close, the 29th an infinite
+    high and the 13th a volume that is no number.
+    """
+    day, where = F.dayofmonth("date"), scratch_path(spark, "contracts")
+    rows = _contracts(spark, sf).select(
+        F.col("product").alias("folder"),
+        "contract",
+        F.when(day == 31, "no date").otherwise(F.col("date").cast("string")).alias("date"),
+        "open",
+        F.when(day == 29, "Infinity").otherwise(F.col("high").cast("string")).alias("high"),
+        "low",
+        F.when(day != 30, F.col("close")).alias("close"),
+        F.when(day == 13, "many").otherwise(F.col("volume").cast("string")).alias("volume"),
+        "hold",
+        "settle",
+    )
+    rows.write.option("header", True).partitionBy("folder").csv(where)
+    read = IO.read_contracts(spark, f"{where}/*/*.csv", lazy=True)
+    return read.withColumn("product", F.regexp_replace("product", "^folder=", ""))
+
+
+@query(f"WITH {_FILE_ROWS} SELECT product, contract, date, {', '.join(MEASURES)} FROM filed")
+def contract_files(spark: SparkSession, sf: str) -> DataFrame:
+    return _contract_files(spark, sf).drop("path")
+
+
+@query(f"WITH {_FILE_ROWS} SELECT contract, count(*) AS rows, min(date) AS start_date, max(date) AS end_date, CAST(coalesce(sum(volume), 0) AS BIGINT) AS volume_sum, 'csv' AS path_ending FROM filed GROUP BY contract")
+def contract_files_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    out = IO.contract_manifest(_contract_files(spark, sf))
+    return out.withColumn("path_ending", F.substring_index("path", ".", -1)).drop("path")
+
+
 # --- contract calendars and sessions
 
 
@@ -836,3 +875,15 @@ def refresh_bars(spark: SparkSession, sf: str) -> DataFrame:
         part.write.mode("append").parquet(arrivals)
         stream_refresh(spark, arrivals, table, checkpoint).awaitTermination()
     return spark.read.parquet(table).select(*[F.col(f.name).cast(f.dataType) for f in BARS.fields])
+
+
+@query(ORACLES["weighted_index"])
+def refresh_index(spark: SparkSession, sf: str) -> DataFrame:
+    """Two arrivals of contract bars: all, with wrong closes of one product, then that product; its index alone is rebuilt."""
+    rows = _contracts(spark, sf)
+    arrivals, contracts, index, features, checkpoint = (scratch_path(spark, t) for t in ("arrivals", "contracts", "index", "features", "checkpoint"))
+    first = F.col("product") == "A"
+    for part in (rows.withColumn("close", F.when(first, F.col("close") + 1).otherwise(F.col("close"))), rows.filter(first)):
+        part.write.mode("append").parquet(arrivals)
+        stream_index(spark, arrivals, contracts, index, features, checkpoint, rows.schema).awaitTermination()
+    return both_rounded(spark.read.parquet(index), [n for n in _INDEX_NAMES if n not in _INDEX_PLAIN]).select("product", "date", *_INDEX_NAMES)
