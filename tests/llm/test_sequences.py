@@ -198,3 +198,27 @@ def test_rows_with_null_or_repeated_ids_are_texts_of_their_own(spark):
     got = suffixes.without_repeats(docs(spark, [one, one, two, two[:350]], ids=[None, 5, 5, None])).collect()
     assert sorted((r["doc_id"] or 0, len(r["kept"])) for r in got) == [(0, 0), (0, 350), (5, 0), (5, 700)]
     assert suffixes.without_repeats(docs(spark, [one]).limit(0)).count() == 0
+
+
+# --- without a library
+
+
+def test_a_missing_library_leaves_the_panel(monkeypatch):
+    import builtins
+    import sys
+
+    import __spark_entry__ as entry
+
+    load = builtins.__import__
+
+    def blocked(name, *args, **kwargs):
+        if name.split(".")[0] in ("ahocorasick", "xxhash"):
+            raise ImportError(name)
+        return load(name, *args, **kwargs)
+
+    for m in [m for m in sys.modules if m.startswith(("barloom.llm", "corpus_pipeline")) or m in ("ahocorasick", "xxhash")]:
+        monkeypatch.delitem(sys.modules, m)
+    monkeypatch.setattr(builtins, "__import__", blocked)
+    with pytest.warns(UserWarning):
+        names = entry.queries()
+    assert "weighted_index" in names and not any(n.startswith("op") for n in names)
