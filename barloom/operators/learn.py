@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from barloom.operators.folds import tested
+from barloom.functions.guards import some_rows
+from barloom.operators.folds import NO_FOLDS
 
 
 @dataclass(frozen=True)
@@ -192,11 +193,14 @@ def _dot(features: Sequence[str]) -> F.Column:
 
 def walk_forward(df: DataFrame, features: Sequence[str], target: str, learner: Ridge | Trees, key: Sequence[str] = ("dataset",), test_rows: int = 63) -> DataFrame:
     """The tested rows of df (from assign_folds) with their prediction; reading them fails if there is no fold."""
-    tests = tested(df)
+    tests = df.filter("fold IS NOT NULL")
     if isinstance(learner, Ridge):
         found = ridge_coefficients(df, key, features, target, learner.penalty, test_rows).drop("standard")
-        return tests.join(found, [*key, "fold"]).withColumn("prediction", _dot(features)).drop("coefficients")
-    return _same(tests, tree_predictions(df, key, features, target, learner), [*key, "position"])
+        out = tests.join(found, [*key, "fold"]).withColumn("prediction", _dot(features)).drop("coefficients")
+    else:
+        out = _same(tests, tree_predictions(df, key, features, target, learner), [*key, "position"])
+    # above the joins: below one whose other side is empty the check would not run
+    return some_rows(out, tests.select("fold"), NO_FOLDS)
 
 
 def final_fit(features: DataFrame, rows: DataFrame, columns: Sequence[str], learner: Ridge | Trees, target: str = "target", key: Sequence[str] = ("dataset",)) -> tuple[DataFrame, DataFrame]:
