@@ -214,7 +214,7 @@ def test_index_refresh_leaves_other_products_alone(spark, tmp_path):
     from barloom.streaming.refresh import refresh_index
 
     def bars(close, products, days):
-        return [(p, f"{p}2401", START + dt.timedelta(i), 1.0, 2.0, 0.5, close + i, 1.2, 10.0, 3.0) for p in products for i in range(days)]
+        return [(p, f"{p}2401", START + dt.timedelta(i), 1.0, 2.0, 0.5, close + i, 1.2, 10.0, 3.0 + i % 7) for p in products for i in range(days)]
 
     schema = "product string, contract string, date date, open double, high double, low double, close double, settle double, volume double, hold double"
     paths = [str(tmp_path / n) for n in ("in", "contracts", "index", "features", "checkpoint")]
