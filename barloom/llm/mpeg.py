@@ -3,13 +3,14 @@
 write() stores payloads losslessly as the ancillary data of silent Layer III
 frames; read() walks any MPEG audio stream of Layers I to III: it skips tags and
 junk, resynchronises where a header doesn't lead to another, checks the CRC of
-Layer III frames, and reads a Xing or VBRI table.
+frames of all layers, reads a Xing or VBRI table, and sums exact durations.
 """
 
 from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from fractions import Fraction
 from typing import Any
 
 import numpy as np
@@ -28,6 +29,14 @@ BITRATES = {
     (False, 3): (8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160),
 }
 RATES = (44100, 48000, 32000)
+# Fixed values of the same: widths in bits of a Layer II allocation by subband, as (subbands, bits); tables a to d of MPEG-1, then MPEG-2.
+ALLOCATIONS = (
+    ((11, 4), (12, 3), (4, 2)),
+    ((11, 4), (12, 3), (7, 2)),
+    ((2, 4), (6, 3)),
+    ((2, 4), (10, 3)),
+    ((4, 4), (7, 3), (19, 2)),
+)
 TOC = 100
 _ROWS = 64
 #: Frames compared at once while a run of equal headers is followed.
@@ -52,10 +61,20 @@ def crc16(rows: np.ndarray) -> np.ndarray:
     return crc
 
 
+def _crc_bits(front: bytes, rest: bytes, bits: int) -> int:
+    """crc16 of the front and of this many bits of the rest."""
+    whole, left = divmod(bits, 8)
+    crc = int(crc16(np.frombuffer(front + rest[:whole], np.uint8)[None])[0])
+    for i in range(left):
+        high = crc >> 15 ^ (rest[whole] >> (7 - i) & 1)
+        crc = crc << 1 & 0xFFFF ^ (0x8005 if high else 0)
+    return crc
+
+
 class Header:
     """What four header bytes say; None from parse() if they are no header."""
 
-    __slots__ = ("version", "layer", "protected", "size", "samples", "rate", "channels", "side", "kbps")
+    __slots__ = ("version", "layer", "protected", "size", "samples", "rate", "channels", "bound", "side", "kbps")
 
     @classmethod
     def parse(cls, b: bytes) -> Header | None:
@@ -73,9 +92,50 @@ class Header:
         h.samples = 384 if layer == 1 else 1152 if layer == 2 or first else 576
         h.size = (12000 * h.kbps // h.rate + pad) * 4 if layer == 1 else h.samples // 8 * 1000 * h.kbps // h.rate + pad
         h.channels = 1 if b[3] >> 6 == 3 else 2
+        # Subbands from this one on share an allocation (joint stereo).
+        h.bound = (b[3] >> 4 & 3) * 4 + 4 if b[3] >> 6 == 1 else 32
         h.side = 0 if layer != 3 else (17 if h.channels == 1 else 32) if first else (9 if h.channels == 1 else 17)
         return h
 
+    def widths(self) -> list[int]:
+        """Bits of a Layer II allocation by subband."""
+        each = self.kbps // self.channels
+        if self.version != "1":
+            table = 4
+        elif each <= 48:
+            table = 3 if self.rate == 32000 else 2
+        else:
+            table = 0 if each <= 80 or self.rate == 48000 else 1
+        return [bits for n, bits in ALLOCATIONS[table] for _ in range(n)]
+
+
+def _layer2_bits(rest: bytes, h: Header) -> int | None:
+    """Bits of allocation and scale factor selection, which the CRC of a Layer II frame covers; None if the frame is too short."""
+    value, total, at, used = int.from_bytes(rest, "big"), 8 * len(rest), 0, 0
+    for band, bits in enumerate(h.widths()):
+        for _ in range(h.channels if band < h.bound else 1):
+            at += bits
+            if at > total:
+                return None
+            if value >> (total - at) & ((1 << bits) - 1):
+                used += 1 if band < h.bound else h.channels
+    return at + 2 * used if at + 2 * used <= total else None
+
+
+def _good_frames(run: np.ndarray, h: Header) -> int:
+    """How many of these protected frames, which share a header, hold their checksum."""
+    if h.layer == 2:
+        good = 0
+        for row in run:
+            rest = row[6:].tobytes()
+            bits = _layer2_bits(rest, h)
+            good += bits is not None and _crc_bits(row[2:4].tobytes(), rest, bits) == int(row[4]) << 8 | int(row[5])
+        return good
+    covered = h.side if h.layer == 3 else (16 if h.channels == 1 else (32 + h.bound) // 2)
+    if 6 + covered > h.size:
+        return 0
+    return int((crc16(np.hstack([run[:, 2:4], run[:, 6 : 6 + covered]])) == run[:, 4].astype(np.uint16) * 256 + run[:, 5]).sum())
+
 
 def _synchsafe(b: bytes) -> int:
     return b[0] << 21 | b[1] << 14 | b[2] << 7 | b[3]
@@ -99,17 +159,35 @@ def _id3v2(data: bytes) -> tuple[dict[str, str], int]:
 
 
 def _vbr(frame: bytes, h: Header) -> dict[str, Any] | None:
+    """The table of a Xing, Info or VBRI frame; what the frame's end cuts off is left out.
+
+    toc holds the 100 seek positions of a Xing table (in 256ths of the stream), or
+    the bytes of each VBRI entry, step how many frames such an entry spans.
+    """
     at = 4 + (2 if h.protected else 0) + h.side
-    if frame[at : at + 4] in (b"Xing", b"Info"):
-        flags, at, out = int.from_bytes(frame[at + 4 : at + 8], "big"), at + 8, {"kind": frame[at : at + 4].decode()}
+    out: dict[str, Any] = {"toc": []}
+
+    def number(size: int) -> int | None:
+        nonlocal at
+        at += size
+        return int.from_bytes(frame[at - size : at], "big") if at <= len(frame) else None
+
+    if h.layer == 3 and frame[at : at + 4] in (b"Xing", b"Info"):
+        out["kind"], at = frame[at : at + 4].decode(), at + 4
+        flags = number(4) or 0
         for bit, name in ((1, "frames"), (2, "bytes")):
             if flags & bit:
-                out[name], at = int.from_bytes(frame[at : at + 4], "big"), at + 4
-        out["toc"] = list(frame[at : at + TOC]) if flags & 4 else []
+                out[name] = number(4)
+        if flags & 4 and at + TOC <= len(frame):
+            out["toc"] = list(frame[at : at + TOC])
+        return out
+    if h.layer == 3 and frame[36:40] == b"VBRI":
+        out["kind"], at = "VBRI", 46
+        out["bytes"], out["frames"] = number(4), number(4)
+        entries, scale, width, out["step"] = (number(2) for _ in range(4))
+        if out["step"] is not None and 0 < width <= 4 and at + entries * width <= len(frame):
+            out["toc"] = [int.from_bytes(frame[i : i + width], "big") * scale for i in range(at, at + entries * width, width)]
         return out
-    if frame[36:40] == b"VBRI":
-        size, frames = struct.unpack(">II", frame[46:54])
-        return {"kind": "VBRI", "frames": frames, "bytes": size, "toc": []}
     return None
 
 
@@ -123,6 +201,7 @@ def parse(data: bytes) -> dict[str, Any]:
         tags = {k: v for k, (a, b) in fields.items() if (v := data[end + a : end + b].rstrip(b"\0 ").decode("latin-1"))} | tags
     raw = np.frombuffer(data, np.uint8)
     out: dict[str, Any] = {"tags": tags, "vbr": None, "frames": 0, "samples": 0, "rate": 0, "channels": 0, "version": "", "layer": 0, "crc_ok": 0, "crc_bad": 0, "junk": 0}
+    length = Fraction(0)
     bodies, offsets = [], []
     synced = False
     while pos < end:
@@ -147,17 +226,19 @@ def parse(data: bytes) -> dict[str, Any]:
                 continue
         run = run[:n]
         head = 4 + (2 if h.protected else 0) + h.side
-        if h.protected and h.layer == 3:
-            good = int((crc16(np.hstack([run[:, 2:4], run[:, 6 : 6 + h.side]])) == run[:, 4].astype(np.uint16) * 256 + run[:, 5]).sum())
+        if h.protected:
+            good = _good_frames(run, h)
             out["crc_ok"] += good
             out["crc_bad"] += n - good
         bodies.append(run[:, head:].tobytes())
         offsets.append(pos + np.arange(n) * h.size)
         out["frames"] += n
         out["samples"] += n * h.samples
+        length += Fraction(n * h.samples, h.rate)
         pos += n * h.size
     out["offsets"] = np.concatenate(offsets).tolist() if offsets else []
     out["body"] = b"".join(bodies)
+    out["duration"] = {"numerator": length.numerator, "denominator": length.denominator}
     return out
 
 
@@ -218,7 +299,9 @@ _PARSED = T.StructType(
         T.StructField("vbr_frames", T.LongType()),
         T.StructField("vbr_bytes", T.LongType()),
         T.StructField("vbr_toc", T.ArrayType(T.LongType())),
+        T.StructField("vbr_step", T.LongType()),
         *(T.StructField(n, T.LongType()) for n in ("frames", "samples", "rate", "channels", "layer", "crc_ok", "crc_bad", "junk")),
+        T.StructField("duration", T.StructType([T.StructField(n, T.LongType()) for n in ("numerator", "denominator")])),
         T.StructField("version", T.StringType()),
         T.StructField("offsets", T.ArrayType(T.LongType())),
         T.StructField("body", T.BinaryType()),
@@ -227,9 +310,12 @@ _PARSED = T.StructType(
 
 
 def read(df: DataFrame, media_col: str = "media") -> DataFrame:
-    """df with what its streams hold: tags, VBR table, frames, samples and rate (the exact duration), seek offsets, body.
+    """df with what its streams hold: tags, VBR table, frames, samples, exact duration, seek offsets, body.
 
-    offsets are the byte offsets of the audio frames; body joins what follows the
+    duration is the exact sum over the audio frames, in seconds, as a fraction in
+    lowest terms, whether or not the sample rate changes; rate, channels, version
+    and layer are the first frame's. crc_ok and crc_bad count the protected frames
+    of all three layers. vbr_toc and vbr_step are described at _vbr. offsets are the byte offsets of the audio frames; body joins what follows the
     side information of each. Null, empty and foreign values have 0 frames; bytes
     outside tags and frames count as junk. Repeated rows and extra columns stay;
     columns of df with a new column's name are replaced.
@@ -240,10 +326,11 @@ def read(df: DataFrame, media_col: str = "media") -> DataFrame:
     def one(data: bytes | None) -> dict[str, Any]:
         found = parse(data or b"")
         vbr = found.pop("vbr") or {}
-        return found | {"tags": list(found["tags"].items()), "vbr_kind": vbr.get("kind"), "vbr_frames": vbr.get("frames"), "vbr_bytes": vbr.get("bytes"), "vbr_toc": vbr.get("toc", [])}
+        return found | {"tags": list(found["tags"].items()), "vbr_kind": vbr.get("kind"), "vbr_frames": vbr.get("frames"), "vbr_bytes": vbr.get("bytes"), "vbr_toc": vbr.get("toc", []), "vbr_step": vbr.get("step")}
 
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = {"tags": pa.map_(pa.string(), pa.string()), "vbr_kind": pa.string(), "version": pa.string(), "vbr_toc": pa.list_(pa.int64()), "offsets": pa.list_(pa.int64()), "body": pa.binary()}
+        fraction = pa.struct([("numerator", pa.int64()), ("denominator", pa.int64())])
+        types = {"tags": pa.map_(pa.string(), pa.string()), "duration": fraction, "vbr_kind": pa.string(), "version": pa.string(), "vbr_toc": pa.list_(pa.int64()), "offsets": pa.list_(pa.int64()), "body": pa.binary()}
         for batch in found:
             for at in range(0, batch.num_rows, _ROWS):
                 part = batch.slice(at, _ROWS)

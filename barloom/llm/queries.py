@@ -55,6 +55,9 @@ def op4_mpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.octet_length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"),
         feature.alias("feature"),
+        F.col("duration.numerator").alias("duration_numerator"),
+        F.col("duration.denominator").alias("duration_denominator"),
+        F.sha2(F.array_join("offsets", ","), 256).alias("offsets_sha256"),
     )
 
 

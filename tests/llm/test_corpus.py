@@ -4,7 +4,9 @@ import hashlib
 import math
 import random
 import re
+import struct
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
@@ -214,6 +216,92 @@ def test_mpeg_headers():
     assert mpeg.Header.parse(bytes([0xFF, 0xF3, 0x40, 0xC0])).size == 72 * 32000 // 22050
 
 
+def crc_by_bits(bits: str) -> int:
+    crc = 0xFFFF
+    for bit in bits:
+        top = (crc >> 15) ^ int(bit)
+        crc = (crc << 1) & 0xFFFF
+        crc ^= 0x8005 if top else 0
+    return crc
+
+
+def bits_of(data: bytes) -> str:
+    return "".join(f"{b:08b}" for b in data)
+
+
+def test_mpeg_checksums_of_layers_one_and_two():
+    rng = random.Random(4)
+    # header bytes, and by subband the bits of an allocation, written out for these headers alone
+    layer2 = [
+        (b"\xff\xfc\xa4\x00", [4] * 11 + [3] * 12 + [2] * 4, 32, 2),  # 192 kbit/s, 48 kHz, stereo
+        (b"\xff\xfc\xc0\x40", [4] * 11 + [3] * 12 + [2] * 7, 4, 2),  # 256 kbit/s, 44.1 kHz, joint from subband 4
+        (b"\xff\xfc\x28\xc0", [4] * 2 + [3] * 10, 32, 1),  # 48 kbit/s, 32 kHz, mono
+        (b"\xff\xfc\x14\xc0", [4] * 2 + [3] * 6, 32, 1),  # 32 kbit/s, 48 kHz, mono
+        (b"\xff\xf4\x80\x60", [4] * 4 + [3] * 7 + [2] * 19, 12, 2),  # MPEG-2, 64 kbit/s, 22.05 kHz, joint from 12
+    ]
+    streams = []
+    for head, widths, bound, channels in layer2:
+        alloc, picks = "", 0
+        for band, width in enumerate(widths):
+            for _ in range(channels if band < bound else 1):
+                code = rng.randrange(1 << width) if rng.random() < 0.5 else 0
+                alloc += f"{code:0{width}b}"
+                picks += 2 * bool(code) * (1 if band < bound else channels)
+        alloc += "".join(rng.choice("01") for _ in range(picks))
+        streams.append((head, alloc))
+    for head, size in ((b"\xff\xfe\x80\x00", 256), (b"\xff\xfe\x80\x50", 160), (b"\xff\xfe\x80\xc0", 128)):
+        streams.append((head, "".join(rng.choice("01") for _ in range(size))))
+    for head, covered in streams:
+        h = mpeg.Header.parse(head)
+        rest = covered.ljust(-(-len(covered) // 8) * 8, "1")
+        data = int(rest, 2).to_bytes(len(rest) // 8, "big")
+        frame = head + crc_by_bits(bits_of(head[2:]) + covered).to_bytes(2, "big") + data.ljust(h.size - 6, b"\x5a")
+        found = mpeg.parse(frame * 3)
+        assert (found["frames"], found["crc_ok"], found["crc_bad"], found["junk"]) == (3, 3, 0, 0), (head, found["crc_ok"])
+        spoilt = bytearray(frame * 3)
+        spoilt[h.size + 6] ^= 0x80
+        assert mpeg.parse(bytes(spoilt))["crc_ok"] < 3
+        spoilt = bytearray(frame * 3)
+        spoilt[-1] ^= 1  # samples are not covered
+        assert mpeg.parse(bytes(spoilt))["crc_ok"] == 3
+        assert Fraction(*found["duration"].values()) == Fraction(3 * h.samples, h.rate)
+
+
+def test_mpeg_tables_cut_off_or_whole():
+    head = b"\xff\xf3\x20\xc0"  # MPEG-2 Layer III, 16 kbit/s, 22.05 kHz: 52 bytes
+    assert mpeg.Header.parse(head).size == 52
+    short = head + bytes(32) + b"VBRI" + bytes(12)
+    found = mpeg.parse(short * 2)
+    assert found["vbr"]["kind"] == "VBRI" and found["vbr"]["frames"] is None and found["vbr"]["toc"] == []
+    head = b"\xff\xfb\x90\x00"  # 128 kbit/s, 44.1 kHz: 417 bytes
+    table = struct.pack(">HHHIIHHHH", 1, 0, 75, 5000, 12, 3, 10, 2, 4) + struct.pack(">HHH", 7, 8, 9)
+    vbri = (head + bytes(32) + b"VBRI" + table).ljust(417, b"\0")
+    found = mpeg.parse(vbri + (head + bytes(413)) * 12)
+    assert found["vbr"] == {"kind": "VBRI", "bytes": 5000, "frames": 12, "toc": [70, 80, 90], "step": 4} and found["frames"] == 12
+    xing = (head + bytes(32) + b"Xing" + struct.pack(">III", 3, 12, 5000)).ljust(417, b"\0")
+    found = mpeg.parse(xing + (head + bytes(413)) * 12)
+    assert found["vbr"] == {"kind": "Xing", "frames": 12, "bytes": 5000, "toc": []}
+    slow, fast = b"\xff\xfb\x98\x00", b"\xff\xfb\x94\x00"  # 32 and 48 kHz
+    both = mpeg.parse((slow + bytes(572)) * 5 + (fast + bytes(380)) * 7)
+    assert both["frames"] == 12 and Fraction(*both["duration"].values()) == Fraction(5 * 1152, 32000) + Fraction(7 * 1152, 48000)
+
+
+def test_mpeg_takes_any_bytes(spark):
+    rng = random.Random(5)
+    heads = [bytes([0xFF, b, c, d]) for b in (0xFA, 0xFB, 0xFC, 0xFE, 0xF2, 0xF3, 0xF4, 0xE3) for c in (0x10, 0x24, 0x90, 0xE8) for d in (0, 0x40, 0xC0)]
+    marks = [b"VBRI", b"Xing", b"ID3\x04\0\0", b"ID3\x03\0\0", b"TAG", b"TXXX"]
+    made = []
+    for _ in range(10000):
+        parts = [rng.choice(heads) + rng.randbytes(rng.randrange(40)) if rng.random() < 0.6 else rng.choice(marks) + rng.randbytes(rng.randrange(60)) for _ in range(rng.randrange(6))]
+        made.append(b"".join(parts) + rng.randbytes(rng.randrange(80)))
+    for data in made:
+        found = mpeg.parse(data)
+        assert found["crc_ok"] + found["crc_bad"] <= found["frames"] and found["junk"] <= len(data)
+    rows = [(i, b) for i, b in enumerate([None, b"", *made[:500]])]
+    out = mpeg.read(spark.createDataFrame(rows, "doc_id long, media binary")).agg(F.count("*").alias("n"), F.count("duration").alias("known"))
+    assert tuple(out.first()) == (502, 502)
+
+
 # --- quality
 
 
