@@ -320,6 +320,71 @@ def test_quality_learns_and_handles_no_labels(spark):
     assert quality.classify(df.limit(0), labels).count() == 0
 
 
+def direct_fit(x, label, penalty):
+    """Both classes weigh the same; the penalty is on slopes of standardised columns."""
+    weight = np.where(label > 0, len(label) / (2 * label.sum()), len(label) / (2 * (1 - label).sum()))
+    total = weight.sum()
+    mean = weight @ x / total
+    deviation = np.sqrt(weight @ (x - mean) ** 2 / (total - (weight**2).sum() / total))
+    used = deviation > 1e-12
+    z = np.column_stack([(x[:, used] - mean[used]) / deviation[used], np.ones(len(x))])
+    ridge = np.append(np.full(used.sum(), penalty), 0.0)
+    w = np.zeros(z.shape[1])
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-z @ w))
+        w -= np.linalg.solve((z.T * (weight * p * (1 - p))) @ z / total + np.diag(ridge + 1e-12), z.T @ (weight * (p - label)) / total + ridge * w)
+    return lambda y: (y[:, used] - mean[used]) / deviation[used] @ w[:-1] + w[-1]
+
+
+def test_quality_equals_direct_co_training(spark):
+    rng = random.Random(12)
+    rows, truth = [], []
+    for i in range(2000):
+        good = rng.random() < 0.6
+        truth.append(int(good))
+        text = " ".join(f"{'good' if rng.random() < (0.56 if good else 0.44) else 'bad'}{rng.randrange(30)}" for _ in range(rng.randrange(5, 40)))
+        rows.append((i, text, rng.choice(["en", "de"]), rng.choice("aab" if good else "abb"), "x"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, _quality_text string").repartition(3)
+    labels = spark.createDataFrame([(i, truth[i]) for i in range(0, 2000, 2)], "doc_id long, quality int")
+    settings = quality.Fit(features=64, iterations=300, share=0.05, confident=0.6, penalty=0.05)
+    out = quality.classify(df, labels, settings=settings).toPandas().set_index("doc_id").sort_index()
+    assert set(out["_quality_text"]) == {"x"} and not [c for c in out if c.startswith("__")]
+
+    made = quality._with_features(df, "text", ["lang", "source"], 64, "own_").withColumn("part", F.expr("pmod(xxhash64(doc_id, 3), 5)")).orderBy("doc_id").toPandas()
+    x = {v: np.array([row.toArray() for row in made[f"own_{v}"]]) for v in quality.VIEWS}
+    label, part = np.array(truth, float), made["part"].to_numpy()
+    known = np.arange(2000) % 2 == 0
+    learn, held, free = known & (part > 0), known & (part == 0), ~known
+    fits = {v: direct_fit(x[v][learn], label[learn], 0.05) for v in quality.VIEWS}
+    edge = np.log(0.6 / 0.4)
+    for _ in range(2):
+        scales = {v: quality.calibrated(fits[v](x[v][held])[:, None], label[held]) for v in quality.VIEWS}
+        odds = {v: fits[v](x[v][free]) * scales[v][0][0] + scales[v][1] for v in quality.VIEWS}
+        after = {}
+        for teacher, pupil in (("text", "page"), ("page", "text")):
+            inorder, n = np.sort(odds[teacher]), free.sum()
+            low, high = (inorder[int(np.ceil(share * n)) - 1] for share in (0.05, 0.95))
+            sure = (odds[teacher] <= min(low, -edge)) | (odds[teacher] >= max(high, edge))
+            assert sure.any()
+            after[pupil] = direct_fit(np.vstack([x[pupil][learn], x[pupil][free][sure]]), np.append(label[learn], odds[teacher][sure] > 0), 0.05)
+        fits = after
+    odds = np.column_stack([fits[v](x[v]) for v in quality.VIEWS])
+    slopes, intercept = quality.calibrated(odds[held], label[held])
+    assert min(slopes) > 0.1
+    np.testing.assert_allclose(out["score"], 1 / (1 + np.exp(-(odds @ slopes + intercept))), atol=2e-3)
+
+
+def test_quality_calibration():
+    rng = np.random.default_rng(1)
+    odds = rng.normal(0, 2, (20000, 2))
+    label = (rng.random(20000) < 1 / (1 + np.exp(-(odds @ [0.5, 2.0] - 1)))).astype(float)
+    slopes, intercept = quality.calibrated(odds, label)
+    assert slopes == pytest.approx([0.5, 2.0], abs=0.1) and intercept == pytest.approx(-1, abs=0.1)
+    assert quality.calibrated(odds[:0], label[:0]) == ([1.0, 1.0], 0.0)  # nothing held out: the plain sum
+    few, _ = quality.calibrated(odds[:3], np.ones(3))
+    assert all(0 < w < 3 for w in few)
+
+
 # --- secrets
 
 
