@@ -564,6 +564,55 @@ def test_shingle_groups_equal_brute_force(spark):
     assert shingles.keep_one_per_group(df.limit(0)).count() == 0
 
 
+def shingles_of(text):
+    words = (text or "").lower().split()
+    return frozenset(" ".join(words[i : i + 5]) for i in range(max(len(words) - 4, min(1, len(words)))))
+
+
+def on_template(rng, own):
+    """A template of 100 words, then so many words of its own."""
+    return " ".join([*(f"t{i}" for i in range(100)), *(f"o{rng.randrange(10**9)}" for _ in range(own))])
+
+
+def test_shingle_groups_on_a_template(spark):
+    """Texts that share most of their shingles, on both sides of the bound: with n own words n apart, (96) / (96 + 2n)."""
+    rng = random.Random(31)
+    texts = [on_template(rng, own) for own in (10, 11, 12, 13, 14, 20, 24, 30) for _ in range(12)]
+    for t in texts[::9]:
+        words = t.split()
+        words[rng.randrange(100)] = "edit"
+        texts.append(" ".join(words))
+    texts += [texts[0]] * 40 + ODD
+    sets = [shingles_of(t) for t in texts]
+    root = list(range(len(texts)))
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if x == sets[j] or 10 * len(x & sets[j]) >= 8 * len(x | sets[j]):
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    df = docs(spark, texts).withColumns({c: F.lit(1) for c in ("node", "size", "firsts", "root", "class", "component_id", "_id", "text_key")})
+    out = shingles.keep_one_per_group(df)
+    assert out.columns == df.columns and sorted(r["doc_id"] for r in out.collect()) == sorted(set(root))
+    assert 10 < len(set(root)) < 90
+    # null ids take part and stay; of repeated rows one stays
+    nulls = df.filter("doc_id < 3").withColumn("doc_id", F.lit(None).cast("long"))
+    more = shingles.keep_one_per_group(df.unionByName(df).unionByName(nulls))
+    ids = [r["doc_id"] for r in more.select("doc_id").collect()]
+    assert ids.count(None) == 3 and sorted(i for i in ids if i is not None) == [i for i in sorted(set(root))]
+
+
+def test_shingle_pairs_tried_grow_with_the_texts(spark):
+    for own in (16, 24):  # similarities 0.75 and 0.67: nothing links
+        tried = []
+        for n in (100, 400):
+            rng = random.Random(n)
+            marks = shingles._marks(shingles._with_text_key(docs(spark, [on_template(rng, own) for _ in range(n)]), "doc_id", "text"), 5, 0.8)
+            rows = shingles._buckets(shingles._nodes(marks)).withColumn("root", F.col("node"))
+            assert rows.count() >= n
+            tried.append(shingles._meetings(rows, 0.8).count())
+        assert tried[0] <= 100 and tried[1] <= 400
+
+
 # --- licenses
 
 
