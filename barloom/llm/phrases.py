@@ -7,7 +7,8 @@ the threshold, wherever in the cycle that is, and for exactly one full cycle. Ta
 learn from a table of fixed size when a subphrase became frequent: each phrase has
 two cells, each cell keeps the first round that set it, and the later of the two is
 the phrase's round. Phrases that share cells are at worst counted too early, and
-the same in every round, so each phrase still gets one whole cycle and its count is exact.
+the same in every round; none is counted before its subphrases are. So each phrase
+still gets one whole cycle and its count is exact.
 """
 
 from __future__ import annotations
@@ -113,7 +114,8 @@ def _counts(lang: str, texts: pa.Array, known: np.ndarray, at: int, shards: int,
             yield rows(k, place[first[due]], n[due])
         if k == most:
             return
-        number, rounds = inverse, known[cells_of(hashes, len(known))].max(0)[inverse]
+        # cells that others set say nothing before the phrase itself is counted: longer ones would miss the rounds until then
+        number, rounds = inverse, np.maximum(known[cells_of(hashes, len(known))].max(0), own[first])[inverse]
 
 
 def _round(shard: DataFrame, known: np.ndarray, at: int, shards: int, most: int) -> DataFrame:

@@ -60,6 +60,14 @@ def test_phrases_equal_brute_force(spark, cells, shards):
     assert {tuple(r) for r in got.collect()} == phrases_by_hand(texts, langs, 5, 5, 12)
 
 
+@pytest.mark.parametrize("cells", [64, 256])
+def test_phrases_that_share_some_cells_equal_brute_force(spark, cells):
+    """Cells that are all set by others before a phrase is counted do not start its longer phrases."""
+    texts, langs = chatter(3), ["en", "fr", None, "en", "en"]
+    got = phrases.collocations(docs(spark, texts, langs), least=5, most=5, top=10**6, shards=3, cells=cells)
+    assert {tuple(r) for r in got.collect()} == phrases_by_hand(texts, langs, 5, 5, 10**6)
+
+
 def test_phrases_without_frequent_ones(spark):
     assert phrases.collocations(docs(spark, ["a b", None, ""])).count() == 0
     assert phrases.collocations(docs(spark, ["a b"]).limit(0)).count() == 0
