@@ -1,13 +1,17 @@
-"""Near copies by similarity of word shingles: a lossless set-similarity join.
+"""Near copies by SimHash, each link verified by shingle similarity, and a lossless join for what fingerprints miss.
 
 Two texts link when the Jaccard similarity of their shingle sets is at least
-``least``. With all sets in one order of shingles, two similar sets share a
-shingle among the first n - ceil(least * n) + 1 of each; only those are shuffled.
-The order puts shingles that are frequent in a sample last, then goes by hash;
-the links don't depend on it. Equal sets are one node from the start, and every
-link is verified on the whole sets. Pairs of a bucket are tried in two rounds: each
-set with the bucket's least one, then those that the first round has not connected.
-There, a set only meets the classes of sizes that its place in the bucket allows.
+``least``. First come the pairs that SimHash finds: texts whose 64-bit fingerprints
+over the same shingles differ in at most ``radius`` bits (simhash.links). Similar
+texts can differ in more bits, so a set-similarity join seeks the others, among
+sets that the fingerprints have not connected. With all sets in one order of
+shingles, two similar sets share a shingle among the first n - ceil(least * n) + 1
+of each; only those are shuffled. The order puts shingles that are frequent in a
+sample last, then goes by hash; the links don't depend on it. Equal sets are one
+node from the start, and every link, by fingerprints or not, is verified on the
+whole sets. Pairs of a bucket are tried in two rounds: each set with the bucket's
+least one, then those that are not connected by then. There, a set only meets the
+classes of sizes that its place in the bucket allows.
 """
 
 from __future__ import annotations
@@ -22,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
+from barloom.llm import simhash
 from barloom.llm.common import maybe_broadcast, staged
 from barloom.llm.components import components
 from barloom.llm.simhash import _LOWER, keep_least
@@ -85,13 +90,14 @@ def _frequent(docs: DataFrame, shingle: int) -> np.ndarray:
 
 
 def _marks(docs: DataFrame, shingle: int, least: float) -> DataFrame:
-    """(id, text_key, node, size, firsts) per row: the key and size of its set, and the shingles of _firsts."""
+    """(id, text_key, node, size, fingerprint, firsts) per row: the key and size of its set, the text's SimHash, and the shingles of _firsts."""
     last = _frequent(docs, shingle)
-    schema = T.StructType([docs.schema["id"], *_long("text_key", "node", "size"), T.StructField("firsts", _LONGS)])
+    schema = T.StructType([docs.schema["id"], *_long("text_key", "node", "size", "fingerprint"), T.StructField("firsts", _LONGS)])
 
     def rows_of(part: pa.RecordBatch, sets: list[np.ndarray], keys: np.ndarray) -> list[pa.Array]:
         firsts = pa.array([_firsts(s, least, last) for s in sets], pa.list_(pa.int64()))
-        return [part.column("id"), part.column("text_key"), pa.array(keys), pa.array([len(s) for s in sets], pa.int64()), firsts]
+        marks = np.array([simhash.simhash(t, shingle) for t in part.column("text").to_pylist()], np.uint64).view(np.int64)
+        return [part.column("id"), part.column("text_key"), pa.array(keys), pa.array([len(s) for s in sets], pa.int64()), pa.array(marks), firsts]
 
     return staged(_sets(docs, schema, shingle, rows_of), "sets")
 
@@ -187,14 +193,37 @@ def _meetings(rows: DataFrame, least: float) -> DataFrame:
     return met.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
 
 
-def links(docs: DataFrame, nodes: DataFrame, shingle: int, least: float) -> DataFrame:
+def alike(marks: DataFrame, radius: int) -> DataFrame:
+    """Pairs (a, b), a > b, of set keys that SimHash links: all sets with one fingerprint as a star, and stars of fingerprints within the radius."""
+    own = marks.select("node", "fingerprint").distinct()
+    heads = staged(own.groupBy("fingerprint").agg(F.min("node").alias("head")), "fingerprint-heads")
+    pairs = own.join(heads.hint("merge"), "fingerprint").select(F.col("node").alias("x"), F.col("head").alias("y"))
+    near = staged(simhash.links(heads.select("fingerprint"), radius), "fingerprint-links")
+    for end, name in (("a", "x"), ("b", "y")):
+        near = near.join(heads.select(F.col("fingerprint").alias(end), F.col("head").alias(name)).hint("merge"), end)
+    pairs = pairs.unionByName(near.select("x", "y")).filter("x <> y")
+    return pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+
+
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs (a, b) that these components (node, root) don't connect."""
+    n = roots.count()
+    for end in ("a", "b"):
+        of = roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
+        pairs = pairs.join(maybe_broadcast(of, n, 16), end, "left")
+    return pairs.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+
+
+def links(docs: DataFrame, nodes: DataFrame, marks: DataFrame, shingle: int, least: float, radius: int) -> DataFrame:
     """Edges (a, b), a > b, between keys of shingle sets; their closure is that of all pairs with the similarity."""
+    known = staged(verified(docs, nodes, staged(alike(marks, radius), "simhash-pairs"), shingle, least), "simhash-links")
     rows = staged(_buckets(nodes), "shingle-buckets")
     heads = rows.groupBy("hash").agg(F.min(F.struct("node", "size", "place")).alias("head"))
     stars = rows.select("hash", F.struct("node", "size", "place").alias("own")).join(heads.hint("merge"), "hash")
     stars = stars.filter((F.col("own.node") > F.col("head.node")) & _enough("own", "head", least) & (F.least("own.size", "head.size") >= least * F.greatest("own.size", "head.size") - 1e-9))
     stars = stars.select(F.col("own.node").alias("a"), F.col("head.node").alias("b")).distinct()
-    first = staged(verified(docs, nodes, staged(stars, "star-pairs"), shingle, least), "star-links")
+    stars = staged(_apart(stars, components(known)), "star-pairs")
+    first = known.unionByName(staged(verified(docs, nodes, stars, shingle, least), "star-links"))
 
     roots = components(first)
     rooted = rows.join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -202,7 +231,7 @@ def links(docs: DataFrame, nodes: DataFrame, shingle: int, least: float) -> Data
     return first.unionByName(verified(docs, nodes, staged(_meetings(rooted, least), "other-pairs"), shingle, least))
 
 
-def keep_one_per_group(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
+def keep_one_per_group(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8, radius: int = 4) -> DataFrame:
     """df without the near copies: of each component of links only the row with the smallest id stays.
 
     Equal sets always link, those of texts without words too. Of repeated rows with
@@ -210,7 +239,7 @@ def keep_one_per_group(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     docs = _with_text_key(df, id_col, text_col)
     marks = _marks(docs, shingle, least)
-    roots = components(staged(links(docs, _nodes(marks), shingle, least), "links"))
+    roots = components(staged(links(docs, _nodes(marks), marks, shingle, least, radius), "links"))
     nodes = marks.groupBy("node").agg(F.min("id").alias("_least")).join(roots, "node", "left")
     nodes = staged(nodes.withColumn("root", F.coalesce("root", "node")), "set-roots")
     named = nodes.join(nodes.groupBy("root").agg(F.min("_least").alias("component_id")), "root").select("node", "component_id")

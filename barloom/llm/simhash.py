@@ -88,8 +88,8 @@ def _ball(df: DataFrame, bits: int, value: str, variant: str, radius: int) -> Da
 
 
 def _sharing(keys: DataFrame, by: list[str], tag: str) -> DataFrame:
-    """The rows of keys whose key also another fingerprint has. Counts per key only, so no bucket is gathered."""
-    shared = keys.groupBy(*by).agg(F.min("fingerprint").alias("lo"), F.max("fingerprint").alias("hi")).filter("lo < hi").select(*by)
+    """The rows of distinct (key, fingerprint) whose key also another fingerprint has. Counts per key only, so no bucket is gathered."""
+    shared = keys.groupBy(*by).agg(F.count("*").alias("n")).filter("n > 1").select(*by)
     shared = staged(shared, tag)
     return keys.join(maybe_broadcast(shared, shared.count(), 8 * len(by) + 8), by, "left_semi")
 

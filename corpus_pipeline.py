@@ -38,10 +38,11 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents whose five-word shingles are similar by 0.8 or more, directly or over others, that with the least id.
 
-    Texts without words are copies of each other. Rows with null ids take part and
+    SimHash fingerprints within 4 bits give the first links, each verified; a join
+    of the shingle sets finds the similar texts whose fingerprints are further apart. Texts without words are copies of each other. Rows with null ids take part and
     all stay; of repeated rows of one id, one stays.
     """
-    return shingles.keep_one_per_group(docs, shingle=5, least=0.8)
+    return shingles.keep_one_per_group(docs, shingle=5, least=0.8, radius=4)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

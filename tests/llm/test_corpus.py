@@ -601,6 +601,32 @@ def test_shingle_groups_on_a_template(spark):
     assert ids.count(None) == 3 and sorted(i for i in ids if i is not None) == [i for i in sorted(set(root))]
 
 
+def test_near_dedup_starts_from_fingerprints(spark):
+    """Pairs that SimHash links, against all pairs; a link without the similarity falls to the check, one beyond the radius is found by the join."""
+    from barloom.llm.components import components
+
+    rng = random.Random(41)
+    base = [" ".join(f"w{rng.randrange(5000)}" for _ in range(300)) for _ in range(12)]
+    texts = [*base, *(t.replace(t.split()[150], "edit", 1) for t in base), *(t + " one more" for t in base[:6]), *base[:3], None, ""]
+    block = "five words stand here often " * 200
+    texts += [block + " ".join(f"{x}{i}" for i in range(20)) for x in "uv"]  # one fingerprint, other sets
+    far = base[0].split()
+    texts.append(" ".join(w if i % 70 else "far" for i, w in enumerate(far)))
+    prints = [simhash.simhash(t, 5) for t in texts]
+    n = len(texts)
+    assert prints[n - 3] == prints[n - 2] and (prints[n - 1] ^ prints[0]).bit_count() > 4
+    named = shingles._with_text_key(docs(spark, texts), "doc_id", "text")
+    marks = shingles.staged(shingles._marks(named, 5, 0.8), "test-marks")
+    assert {r["id"]: r["fingerprint"] % 2**64 for r in marks.collect()} == dict(enumerate(prints))
+    root = {r["node"]: r["root"] for r in components(shingles.alike(marks, 4)).collect()}
+    got = {r["id"]: root.get(r["node"], r["node"]) for r in marks.collect()}
+    want = brute_components(prints)
+    assert all((got[i] == got[j]) == (want[i] == want[j]) for i in range(n) for j in range(i))
+    assert any(want[i] != i for i in range(12, 24))
+    kept = {r["doc_id"] for r in shingles.keep_one_per_group(docs(spark, texts)).collect()}
+    assert kept == {*range(12), 33, n - 3, n - 2}
+
+
 def test_shingle_pairs_tried_grow_with_the_texts(spark):
     for own in (16, 24):  # similarities 0.75 and 0.67: nothing links
         tried = []
