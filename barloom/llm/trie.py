@@ -188,7 +188,7 @@ def _subtrees(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.Reco
     parent, level = np.full(table.size, -1), np.zeros(table.size, np.int64)
     level[slot[first]] = depth[first]
     # the first depth of a block has its parent in another, to which its sums are carried as rows
-    inside = (depth[first] == 1) | (depth[first] % block > 1) | ((depth[first] % block == 0) & (depth[first] > 0))
+    inside = (depth[first] == 1) | ((depth[first] > 1) & ((depth[first] - 1) % block > 0))
     parent[slot[first]] = np.where(inside, table.slots(up_lo[first], up_hi[first]), -1)
     order = np.argsort(-level, kind="stable")
     cuts = np.flatnonzero(np.diff(level[order])) + 1
