@@ -14,9 +14,9 @@ from __future__ import annotations
 import base64
 import functools
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 import tiktoken
@@ -27,8 +27,10 @@ from pyspark.sql import types as T
 #: Characters at a chunk's end from which no boundary is trusted.
 MARGIN = 16
 #: Pieces whose ids are remembered; beyond that the memory starts anew.
-REMEMBERED = 100_000
-_ROWS = 256
+REMEMBERED = 40_000
+#: Rows, and chunks of long texts, that a worker holds as Python objects at a time.
+_ROWS, _CHUNKS = 64, 16
+_PARTS = ("ids", "head", "head_ids", "tail", "tail_ids")
 
 
 class _Pieces(dict):
@@ -108,6 +110,18 @@ def encode_chunk(text: str, start: int, cut: int, until: int, of: Codec) -> tupl
     return b"".join(ids), at[head].tolist(), before[head].tolist(), at[tail].tolist(), before[tail].tolist()
 
 
+def encode_chunks(batches: Iterator[pa.RecordBatch], of: Codec) -> Iterator[pa.RecordBatch]:
+    """Rows of chunks with encode_chunk's values in place of cut, until and text; a few at a time, whatever a batch holds."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, _CHUNKS):
+            part = batch.slice(at, _CHUNKS)
+            rows = zip(*(part.column(n).to_pylist() for n in ("text", "start", "cut", "until")), strict=True)
+            made = list(zip(*(encode_chunk(*row, of) for row in rows), strict=True))
+            kept = [part.column(n) for n in ("id", "digest", "size", "start")]
+            lists = [pa.array(m, pa.list_(pa.int64())) for m in made[1:]]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(made[0], pa.binary()), *lists], ["id", "digest", "size", "start", *_PARTS])
+
+
 def stitch(parts: list[tuple[bytes, list[int], list[int], list[int], list[int]]]) -> bytes:
     """Ids of the text whose chunks, in order, gave these parts."""
     out, begin = [], 0
@@ -154,36 +168,37 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
 
     cut_type = T.StructType([*out_type.fields[:1], *(T.StructField(n, T.LongType()) for n in ("digest", "size", "start", "cut", "until")), T.StructField("text", T.StringType())])
 
-    def cutting(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cutting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         splits = regex.compile(pattern)
-        for frame in frames:
-            for id_, text, digest in zip(frame["id"], frame["text"], frame["digest"], strict=True):
-                for start, cut, until, piece in chunks(text, splits, chunk, overlap):
-                    yield pd.DataFrame({"id": [id_], "digest": [digest], "size": [len(text)], "start": [start], "cut": [cut], "until": [until], "text": [piece]})
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                text = row.column("text")[0].as_py()
+                found = chunks(text, splits, chunk, overlap)
+                while some := list(islice(found, _CHUNKS)):
+                    same = [row.column(n).take(pa.array([0] * len(some))) for n in ("id", "digest")]
+                    *places, pieces = zip(*some, strict=True)
+                    numbers = [pa.array(c, pa.int64()) for c in ([len(text)] * len(some), places[0], places[1], places[2])]
+                    yield pa.RecordBatch.from_arrays([*same, *numbers, pa.array(pieces, pa.string())], cut_type.names)
 
     longs = T.ArrayType(T.LongType())
-    part_type = T.StructType([*cut_type.fields[:4], out_type.fields[1], *(T.StructField(n, longs) for n in ("head", "head_ids", "tail", "tail_ids"))])
-
-    def parts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        of = codec(path, pattern)
-        for frame in frames:
-            rows = zip(*(frame[n] for n in ("text", "start", "cut", "until")), strict=True)
-            made = [encode_chunk(*row, of) for row in rows]
-            out = frame[["id", "digest", "size", "start"]].copy()
-            for i, name in enumerate(("ids", "head", "head_ids", "tail", "tail_ids")):
-                out[name] = [m[i] for m in made]
-            yield out
-
-    def joined(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        copies = int((frame["start"] == 0).sum())
-        frame = frame.drop_duplicates("start").sort_values("start")
-        ids = stitch(list(zip(frame["ids"], *(frame[n].map(list) for n in ("head", "head_ids", "tail", "tail_ids")), strict=True)))
-        out = pd.DataFrame({"id": frame["id"].iloc[:1].repeat(copies), "ids": [ids] * copies})
-        return out.assign(decoded=[codec(path, pattern).decode(ids)] * copies) if decoded else out
-
-    cut = rows.filter(is_long).withColumn("digest", F.xxhash64("text")).mapInPandas(cutting, cut_type)
-    done = cut.repartition("id", "digest", "start").mapInPandas(parts, part_type)
-    long = done.groupBy("id", "digest", "size").applyInPandas(joined, out_type)
+    part_type = T.StructType([*cut_type.fields[:4], out_type.fields[1], *(T.StructField(n, longs) for n in _PARTS[1:])])
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from encode_chunks(batches, codec(path, pattern))
+
+    def joined(part: pa.Table) -> pa.Table:
+        rows = part.select(["start", *_PARTS]).to_pylist()
+        copies = sum(r["start"] == 0 for r in rows)
+        once = {r["start"]: tuple(r[n] for n in _PARTS) for r in rows}
+        ids = stitch([once[start] for start in sorted(once)])
+        columns = [ids, *([codec(path, pattern).decode(ids)] if decoded else [])]
+        same = part.column("id").take(pa.array([0] * copies, pa.int64()))
+        return pa.Table.from_arrays([same, *(pa.array([c] * copies, pa.binary()) for c in columns)], out_type.names)
+
+    cut = rows.filter(is_long).withColumn("digest", F.xxhash64("text")).mapInArrow(cutting, cut_type)
+    done = cut.repartition("id", "digest", "start").mapInArrow(parts, part_type)
+    long = done.groupBy("id", "digest", "size").applyInArrow(joined, out_type)
     both = short.unionByName(long)
     return both.select(F.col("id").alias(id_col), (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", *extra)
 

@@ -5,11 +5,13 @@ import math
 import random
 import re
 import struct
+import tracemalloc
 from collections import Counter
 from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -111,6 +113,21 @@ def test_bpe_equals_library(spark, library):
     assert bpe.encode(df.limit(0), RANKS, PATTERN).count() == 0
 
 
+def test_bpe_holds_few_chunks_at_a_time():
+    of, rng = bpe.codec(RANKS, PATTERN), random.Random(3)
+    texts = [" ".join(rng.choice(["wörd", "données", "数据", "of", "x1"]) for _ in range(2000)) for _ in range(300)]
+    n = len(texts)
+    batch = pa.RecordBatch.from_pydict({"id": range(n), "digest": [0] * n, "size": [len(t) for t in texts], "start": [0] * n, "cut": [-1] * n, "until": [0] * n, "text": texts})
+    tracemalloc.start()
+    ids = []
+    for part in bpe.encode_chunks(iter([batch]), of):
+        ids += part.column("ids").to_pylist()
+    held = tracemalloc.get_traced_memory()[1] - sum(map(len, ids))
+    tracemalloc.stop()
+    assert ids == [of.encode(t) for t in texts]
+    assert held < sum(map(len, texts)) / 2
+
+
 # --- WARC
 
 
