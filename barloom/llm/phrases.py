@@ -9,6 +9,10 @@ two cells, each cell keeps the first round that set it, and the later of the two
 the phrase's round. Phrases that share cells are at worst counted too early, and
 the same in every round; none is counted before its subphrases are. So each phrase
 still gets one whole cycle and its count is exact.
+
+Most pairs of frequent words are rare. One scan before the rounds adds up the pairs
+by 42 bits of their hashes (as PCY does, Park et al., SIGMOD 1995); pairs whose sum
+stays below the threshold, and so longer phrases with them, are never counted.
 """
 
 from __future__ import annotations
@@ -20,14 +24,18 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from barloom.llm.common import fresh_path, maybe_broadcast, staged
+from barloom.llm.suffixes import bit_table, in_table
 
 #: Shards of a cycle; cells of the table of rounds (one byte each, the size of what is broadcast).
 SHARDS, CELLS = 4, 1 << 23
+#: Bits of the table of pairs that may be frequent (8 MB); parts in which pairs are added up.
+BITS, PARTS = 1 << 26, 1024
 _UNSET = 255
 _SPACE, _END = 0x20, 0x0A
 _BYTES = bytes(_SPACE if b == 9 else _END if chr(b) in ".,;:!?\n\x0b\x0c\r" else b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -80,7 +88,45 @@ def phrase_hashes(lang: list[str], phrase: list[str]) -> np.ndarray:
     return out
 
 
-def _counts(lang: str, texts: pa.Array, known: np.ndarray, at: int, shards: int, most: int) -> Iterator[pa.RecordBatch]:
+def _pair(hashes: np.ndarray) -> np.ndarray:
+    """The part (10 bits) and the place in it (32 bits) where a pair is added up."""
+    return hashes >> np.uint64(22)
+
+
+def _likely_pairs(docs: DataFrame, least: int, bits: int) -> np.ndarray:
+    """A bit table of the pairs of neighbouring words that occur ``least`` times, and of few others."""
+    kind = np.min_scalar_type(least)
+
+    def pairs(lang: str, texts: pa.Array) -> np.ndarray:
+        words, pieces = words_of(texts)
+        key, ids = lang.encode(), words.indices.to_numpy()
+        single = np.fromiter((_word_hash(key, w) for w in words.dictionary.to_pylist()), np.uint64, len(words.dictionary))
+        at = np.flatnonzero(pieces[1:] == pieces[:-1])
+        return _pair(_longer(single[ids[at]], single[ids[at + 1]]))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs = batch.column("lang")
+            found = [pairs(of, batch.column("text").filter(pc.equal(langs, of))) for of in pc.unique(langs).to_pylist()]
+            pair, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *found]), return_counts=True)
+            edges = np.searchsorted(pair >> np.uint64(32), np.arange(PARTS + 1, dtype=np.uint64))
+            columns = [pair.astype(np.uint32), np.minimum(n, least).astype(kind)]
+            packed = [pa.Array.from_buffers(pa.binary(), PARTS, [None, pa.py_buffer((edges * c.itemsize).astype(np.int32)), pa.py_buffer(c)]) for c in columns]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(PARTS, dtype=np.int32)), *packed], ["part", "places", "n"]).filter(pa.array(np.diff(edges) > 0))
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, packed in zip(batch.column("part").to_pylist(), batch.column("packed"), strict=True):
+                packed = packed.as_py()
+                places, of = np.unique(np.frombuffer(b"".join(p["places"] for p in packed), np.uint32), return_inverse=True)
+                n = np.bincount(of, np.frombuffer(b"".join(p["n"] for p in packed), kind))
+                yield pa.RecordBatch.from_arrays([pa.array((part << 32) + places[n >= least].astype(np.int64))], ["pair"])
+
+    packed = docs.select("lang", "text").mapInArrow(scan, "part int, places binary, n binary").groupBy("part").agg(F.collect_list(F.struct("places", "n")).alias("packed"))
+    return bit_table(packed.mapInArrow(sums, "pair long"), "pair", bits)
+
+
+def _counts(lang: str, texts: pa.Array, known: np.ndarray, likely: np.ndarray, at: int, shards: int, most: int) -> Iterator[pa.RecordBatch]:
     """Counts of the phrases that round ``at`` is to count in these texts of one language."""
     words, pieces = words_of(texts)
     ids, names = words.indices.to_numpy().astype(np.int64), words.dictionary
@@ -104,6 +150,8 @@ def _counts(lang: str, texts: pa.Array, known: np.ndarray, at: int, shards: int,
         after[place] = rounds
         ok = (rounds < _UNSET) & (after[place + 1] < _UNSET)
         ok[ok] = pieces[place[ok]] == pieces[place[ok] + k - 1]
+        if k == 2:
+            ok[ok] = in_table(likely, _pair(_longer(single[number[ok]], single[ids[place[ok] + 1]])))
         place, number, own = place[ok], number[ok], np.maximum(rounds[ok], after[place[ok] + 1])
         if not len(place):
             return
@@ -118,7 +166,7 @@ def _counts(lang: str, texts: pa.Array, known: np.ndarray, at: int, shards: int,
         number, rounds = inverse, np.maximum(known[cells_of(hashes, len(known))].max(0), own[first])[inverse]
 
 
-def _round(shard: DataFrame, known: np.ndarray, at: int, shards: int, most: int) -> DataFrame:
+def _round(shard: DataFrame, known: np.ndarray, likely: Broadcast, at: int, shards: int, most: int) -> DataFrame:
     """(lang, k, phrase, n) of one scan, written."""
     table = shard.sparkSession.sparkContext.broadcast(known)
 
@@ -126,7 +174,7 @@ def _round(shard: DataFrame, known: np.ndarray, at: int, shards: int, most: int)
         for batch in batches:
             langs = batch.column("lang")
             for lang in pc.unique(langs).to_pylist():
-                yield from _counts(lang, batch.column("text").filter(pc.equal(langs, lang)), table.value, at, shards, most)
+                yield from _counts(lang, batch.column("text").filter(pc.equal(langs, lang)), table.value, likely.value, at, shards, most)
 
     found = staged(shard.mapInArrow(scan, "lang string, k int, phrase string, n long").groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n")), "counts")
     table.destroy()
@@ -169,9 +217,10 @@ def frequent(df: DataFrame, least: int = 100, most: int = 5, lang_col: str = "la
     docs.withColumn("shard", F.pmod(F.xxhash64("text", "lang"), F.lit(shards)).cast("int")).write.partitionBy("shard").option("compression", "zstd").parquet(where)
     docs = spark.read.schema("lang string, text string, shard int").parquet(where)
 
+    likely = spark.sparkContext.broadcast(_likely_pairs(docs, least, BITS))
     known, found, last, at = np.full(cells, _UNSET, np.uint8), [], 0, 0
     while at < shards or at <= last + shards:
-        found.append(_round(docs.filter(F.col("shard") == at % shards).drop("shard"), known, at, shards, most))
+        found.append(_round(docs.filter(F.col("shard") == at % shards).drop("shard"), known, likely, at, shards, most))
         # a phrase that is still being counted has all its counts in the rounds of one cycle
         new = _newly(_totals(found[-shards:], least, shards, most - 1).select("lang", "phrase"), cells)
         new = new[known[new] == _UNSET]
@@ -180,6 +229,7 @@ def frequent(df: DataFrame, least: int = 100, most: int = 5, lang_col: str = "la
         at += 1
         if at >= _UNSET:
             raise RuntimeError("too many rounds")
+    likely.destroy()
     words = reduce(DataFrame.unionByName, found[:shards]).filter("k = 1").groupBy("lang").agg(F.sum("n").alias("n"))
     return staged(_totals(found, least, shards, most), "frequent"), words
 

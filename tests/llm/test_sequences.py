@@ -68,6 +68,17 @@ def test_phrases_that_share_some_cells_equal_brute_force(spark, cells):
     assert {tuple(r) for r in got.collect()} == phrases_by_hand(texts, langs, 5, 5, 10**6)
 
 
+def test_rare_pairs_of_frequent_words_are_not_counted(spark, monkeypatch):
+    rng, seen = random.Random(4), []
+    texts = [" ".join(rng.choices([f"w{i}" for i in range(60)], k=30)) + ", new york city" for _ in range(80)]
+    real = phrases.staged
+    monkeypatch.setattr(phrases, "staged", lambda df, tag: seen.append((tag, real(df, tag))) or seen[-1][1])
+    got = phrases.collocations(docs(spark, texts), least=20, most=3, top=100, shards=1)
+    assert {tuple(r) for r in got.collect()} == phrases_by_hand(texts, ["en"], 20, 3, 100)
+    counted = {r["phrase"] for tag, df in seen if tag == "counts" for r in df.filter("k > 1").collect()}
+    assert counted == {"new york", "york city", "new york city"}
+
+
 def test_phrases_without_frequent_ones(spark):
     assert phrases.collocations(docs(spark, ["a b", None, ""])).count() == 0
     assert phrases.collocations(docs(spark, ["a b"]).limit(0)).count() == 0
