@@ -14,7 +14,8 @@ and of two fingerprints that differ in at most 4 bits, some two of the parts
 together differ in at most 2 (the three pairs of parts share at most 8 differing
 bits). So a ball of radius 1 on each pair of parts, 3 x 44 variants, meets for all
 that have a partner. A pair of parts has 43 bits, so few meet by chance: about
-44 n / 2**43 for each variant of n fingerprints.
+44 n / 2**43 for each variant of n fingerprints. What a filter's key brings together
+is linked there where that is cheap, so that a cluster of near copies needs few balls.
 """
 
 from __future__ import annotations
@@ -96,6 +97,8 @@ def _sharing(keys: DataFrame, by: list[str], tag: str) -> DataFrame:
 
 #: Bits of the first two of the three parts (the last has what remains), and of the widest pair of parts.
 _PART, _PAIR = 21, 43
+#: Fingerprints of one key that are compared pair by pair: far fewer pairs than a ball has points.
+_FEW = 64
 
 
 def _pairs_of_parts() -> Column:
@@ -105,26 +108,55 @@ def _pairs_of_parts() -> Column:
     return F.array(whole.bitwiseAND(F.lit((1 << 2 * _PART) - 1)), F.shiftrightunsigned(whole, _PART), F.shiftleft(high, _PART).bitwiseOR(low))
 
 
-def with_possible_partner(distinct: DataFrame, radius: int) -> DataFrame:
-    """The fingerprints that share a variant of a pair of parts with another one."""
+def _near_pairs(distinct: DataFrame, radius: int) -> DataFrame:
+    """(key, fingerprint) of the variants of a pair of parts that another fingerprint has too."""
     # A round-robin deal: the staged table is small, and its 3 x 44 rows for each row are not.
     spread = distinct.repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     sides = spread.select("fingerprint", F.posexplode(_pairs_of_parts()).alias("_side", "_pair"))
     keys = _ball(sides, _PAIR, "_pair", "_variant", -(-(2 * radius // 3) // 2))
     keys = keys.select(F.expr(f"_variant + shiftleft(cast(_side as long), {_PAIR})").alias("key"), "fingerprint")
-    return _sharing(keys, ["key"], "pairs").select("fingerprint").distinct()
+    return staged(_sharing(keys, ["key"], "pairs"), "near-pairs")
 
 
-def links(distinct: DataFrame, radius: int = 4) -> DataFrame:
-    """Edges (a, b), a > b, whose transitive closure is that of all links within the radius."""
+def _stars(pairs: DataFrame, radius: int) -> DataFrame:
+    """Edges (a, b) within the radius between the least fingerprint of a key and the others of it."""
+    heads = pairs.groupBy("key").agg(F.min("fingerprint").alias("b"))
+    edges = pairs.join(heads.hint("merge"), "key").filter("fingerprint > b").select(F.col("fingerprint").alias("a"), "b").distinct()
+    return edges.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
+
+
+def _apart(pairs: DataFrame, edges: DataFrame) -> DataFrame:
+    """(key, fingerprint, root, n) of the keys whose n fingerprints these edges don't all connect."""
+    rooted = pairs.join(components(edges).hint("merge"), pairs["fingerprint"] == F.col("node"), "left")
+    rooted = rooted.select("key", "fingerprint", F.coalesce("root", "fingerprint").alias("root"))
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).filter("low < high")
+    return staged(rooted.join(mixed.select("key", "n").hint("merge"), "key"), "apart")
+
+
+def links(distinct: DataFrame, radius: int = 4, few: int = _FEW) -> DataFrame:
+    """Edges (a, b), a > b, whose transitive closure is that of all links within the radius.
+
+    Two that are linked share a key of the filter. Links between a key's least
+    fingerprint and the others come first; where these connect all of a key, nothing
+    is left to find. Of the other keys, those of at most ``few`` fingerprints are
+    compared pair by pair, and the fingerprints of larger ones emit their balls.
+    """
     if radius % 4:
         raise ValueError("radius must be a multiple of 4")
-    possible = staged(with_possible_partner(distinct, radius), "possible")
+    pairs = _near_pairs(distinct, radius)
+    first = staged(_stars(pairs, radius), "star-links")
+    apart = _apart(pairs, first)
+    near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= radius
+    x, y = (apart.filter(F.col("n") <= few).hint("merge").alias(i) for i in "xy")
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.fingerprint") > F.col("y.fingerprint")) & (F.col("x.root") != F.col("y.root")) & near("x.fingerprint", "y.fingerprint"))
+    met = met.select(F.col("x.fingerprint").alias("a"), F.col("y.fingerprint").alias("b"))
+
+    possible = staged(apart.filter(F.col("n") > few).select("fingerprint").distinct(), "possible")
     spread = possible.repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = _ball(spread, 64, "fingerprint", "variant", radius // 2)
     least = F.min("fingerprint").over(W.Window.partitionBy("variant"))
-    edges = rows.withColumn("b", least).filter("fingerprint > b").select(F.col("fingerprint").alias("a"), "b").distinct()
-    return edges.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
+    edges = rows.withColumn("b", least).filter("fingerprint > b").select(F.col("fingerprint").alias("a"), "b")
+    return first.unionByName(met).unionByName(edges.filter(near("a", "b"))).distinct()
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, seed: int = 42) -> DataFrame:

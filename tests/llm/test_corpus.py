@@ -524,6 +524,40 @@ def test_links_equal_brute_force_at_random(spark):
     assert {(r["a"], r["b"]) for r in simhash.links(nodes).collect()} == want and len(want) > 250
 
 
+@pytest.mark.parametrize("few", [64, 4, 0])
+def test_clusters_need_few_balls(spark, few, monkeypatch):
+    """Clusters whose members are up to 12 bits apart: links as by brute force, and with the registered bound no balls of radius 2."""
+    rng = random.Random(5)
+    prints = set()
+    for centre in [rng.getrandbits(64) for _ in range(12)]:
+        prints |= {centre ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 6))) for _ in range(25)}
+    prints = sorted(p - 2**64 if p >= 2**63 else p for p in prints)
+    nodes = spark.createDataFrame([(p,) for p in prints], "fingerprint long")
+    ball, emitted = simhash._ball, []
+
+    def counted(df, bits, *args):
+        out = ball(df, bits, *args)
+        emitted.append((bits, out.count()))
+        return out
+
+    monkeypatch.setattr(simhash, "_ball", counted)
+    found = simhash.links(nodes, few=few) if few != simhash._FEW else simhash.links(nodes)
+    found = [(r["a"], r["b"]) for r in found.collect()]
+    assert all(a > b and ((a ^ b) % 2**64).bit_count() <= 4 for a, b in found) and len(found) == len(set(found))
+    roots = {p: p for p in prints}
+
+    def root(p):
+        while roots[p] != p:
+            p = roots[p]
+        return p
+
+    for a, b in found:
+        roots[max(root(a), root(b))] = min(root(a), root(b))
+    assert [root(p) for p in prints] == [prints[w] for w in brute_components([p % 2**64 for p in prints])]
+    balls = sum(n for bits, n in emitted if bits == 64)
+    assert balls == 0 if few == 64 else balls > 0
+
+
 def test_mixture_keeps_clashing_columns_and_wordless_copies(spark):
     names = ["_size", "_source", "_key", "_row", "_doc", "_copies", "_bucket"]
     df = docs(spark, ["a b c"] * 40 + ["", None], lambda i: "s").withColumns({n: F.lit(n) for n in names})
