@@ -211,6 +211,28 @@ def test_repeats_equal_brute_force(spark, length, bits):
         assert sum(s["hi"] - s["lo"] for s in spans) == r["n_bytes"] - len(kept)
 
 
+def test_few_windows_are_compared_one_by_one(spark, monkeypatch):
+    """Passages of 500 to 3,000 bytes between words of their own, whole and cut off: as by brute force, with less than a third of the windows at their edges as rows."""
+    rng = random.Random(17)
+    own = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    passages = [own(n) for n in (500, 700, 1500, 3000)]
+    texts = [own(rng.randrange(300)) + p[rng.choice([0, 0, 37]) : rng.choice([None, None, -53])] + own(rng.randrange(300)) for p in passages for _ in range(12)]
+    rows, write = {}, suffixes.staged
+
+    def counted(df, tag):
+        out = write(df, tag)
+        rows[tag] = out.count()
+        return out
+
+    monkeypatch.setattr(suffixes, "staged", counted)
+    got = suffixes.without_repeats(docs(spark, texts, ids=list(range(len(texts)))), 400).collect()
+    want = repeats_by_hand(texts, 400)
+    for r in got:
+        kept = bytes(r["kept"])
+        assert (r["n_bytes"], r["n_bytes"] - len(kept), len(r["spans"]), kept) == want[r["doc_id"]], r["doc_id"]
+    assert len(got) == len(texts) and rows["windows"] < 1500
+
+
 def test_rows_with_null_or_repeated_ids_are_texts_of_their_own(spark):
     rng = random.Random(9)
     one, two = ("".join(rng.choices("abcdef ", k=700)) for _ in range(2))
