@@ -79,6 +79,23 @@ def test_rare_pairs_of_frequent_words_are_not_counted(spark, monkeypatch):
     assert counted == {"new york", "york city", "new york city"}
 
 
+def test_rare_words_are_not_counted_and_rounds_read_what_likely_pairs_leave(spark, monkeypatch):
+    rng, seen, read = random.Random(6), [], []
+    texts = [" ".join([*rng.choices([f"w{i}" for i in range(40)], k=30), f"rare{i}", "once", "New York"]) for i in range(80)] + ["of course"] * 9 + [""]
+    staged, one_round = phrases.staged, phrases._round
+    monkeypatch.setattr(phrases, "staged", lambda df, tag: seen.append((tag, staged(df, tag))) or seen[-1][1])
+    monkeypatch.setattr(phrases, "_round", lambda shard, *rest: read.append(shard) or one_round(shard, *rest))
+    langs = ["en", None]
+    got = phrases.collocations(docs(spark, texts, langs), least=20, most=3, top=100, shards=2)
+    assert {tuple(r) for r in got.collect()} == phrases_by_hand(texts, langs, 20, 3, 100)
+    words = Counter((langs[i % 2] or "und", w) for i, t in enumerate(texts) for w in t.lower().split())
+    counted = {(r["lang"], r["phrase"]) for tag, df in seen if tag == "counts" for r in df.filter("k = 1").collect()}
+    assert counted == {w for w, n in words.items() if n >= 20}
+    assert "text" not in read[0].columns
+    # once new york: three places of each of the 80 texts
+    assert sum(len(ids) for df in read[:2] for b in df.toArrow().to_batches() for *_, ids, _ in phrases._unpacked(b)) == 3 * 80
+
+
 def test_phrases_without_frequent_ones(spark):
     assert phrases.collocations(docs(spark, ["a b", None, ""])).count() == 0
     assert phrases.collocations(docs(spark, ["a b"]).limit(0)).count() == 0
