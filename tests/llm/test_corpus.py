@@ -756,6 +756,52 @@ def test_topk_asks_for_all_words(spark):
         assert [(d, pytest.approx(s)) for _, d, s in got] == want
 
 
+def _shuffled(spark):
+    """Bytes that all stages so far have written to shuffles."""
+    jvm, store = spark._jvm, spark.sparkContext._jsc.sc().statusStore()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.length()))
+
+
+def test_topk_shuffles_no_query_once_per_shard(spark):
+    """40 queries of some 600 words and 40 shards."""
+    rng = random.Random(14)
+    texts = [" ".join(f"{rng.randrange(1 << 40):x}" for _ in range(600)) for _ in range(80)]
+    df = docs(spark, texts).select("doc_id", "text")
+    before = _shuffled(spark)
+    out = topk.search(df, every=2, k=3, segment_docs=2, shard_postings=1200).collect()
+    assert sorted(r["query_id"] for r in out if r["rank"] == 1 and r["doc_id"] == r["query_id"]) == list(range(0, 80, 2))
+    assert _shuffled(spark) - before < 10 * sum(map(len, texts))
+
+
+def test_topk_shards_hold_few_postings(spark, monkeypatch):
+    """Every second segment is small; none of the shards gets the large ones of the others."""
+    seen, real = {}, topk.staged
+    monkeypatch.setattr(topk, "staged", lambda df, tag: seen.setdefault(tag, real(df, tag)))
+    rows = [(i, " ".join(f"w{i % 7} v{j}" for j in range(20))) for i in range(31 * 12)]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows, 12), "doc_id long, text string")
+    assert topk.search(df, every=50, k=3, segment_docs=30).count() == 8 * 3
+    sizes = [topk._unpacked(pa.scalar(bytes(r["lists"]), pa.binary())).column("docs").value_lengths()[0].as_py() for r in seen["shards"].collect()]
+    assert sum(sizes) == 21 * len(rows) and max(sizes) <= 21 * 31
+
+
+def test_topk_memory_of_a_shard():
+    """2 million postings of words that all documents have: what a search holds beside the shard doesn't grow with them."""
+    n, words = 10000, 200
+    ends, docs = np.arange(words + 1) * n, np.tile(np.arange(n, dtype=np.uint16), words)
+    counts = np.random.default_rng(6).integers(1, 9, n * words).astype(np.uint8)
+    tracemalloc.start()
+    shard = topk.Shard(np.full(n, 900.0), np.arange(n), ends, docs, counts, 900.0)
+    built, building = tracemalloc.get_traced_memory()
+    tracemalloc.reset_peak()
+    places, _ = shard.search(np.arange(words), np.linspace(0.1, 1.0, words), 10)
+    searched = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(places) == 10 and built < 14 * n * words and building < 22 * n * words
+    assert searched - built < 12 << 20
+
+
 @pytest.mark.parametrize("n_terms", [12, 150])
 def test_wand_reads_fewer_postings(n_terms):
     """Words by a Zipf law: the search scores clearly fewer postings than there are, and finds the same."""
